@@ -257,7 +257,7 @@ def _aligned(spark, sf):
 @query("asof_nearest", f"WITH {SQL_ALIGN} SELECT * FROM tm")
 def asof_nearest(spark, sf):
     tk, bk = _feeds(spark, sf)
-    return naive_ts(A.nearest_match(tk, bk, _TOL_S), "ts", "match_ts")
+    return naive_ts(A.nearest_match(tk, bk, _TOL_S), "match_ts")
 
 
 @query("align_windows", f"WITH {SQL_ALIGN} SELECT symbol, trade_date, window_start, {', '.join(_WM)}, {_round(_WM_D)} FROM wm")

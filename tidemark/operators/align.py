@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.clock import floor_to, micros
+from tidemark.functions.clock import floor_to
 from tidemark.operators.schema import KEYS
 
 # Alignment scoring.
@@ -23,107 +23,99 @@ ALIGNMENT = {
 }
 
 
-def nearest_match(left: DataFrame, right: DataFrame, tolerance_s: float, keys: tuple[str, ...] = KEYS,
-                  ts: str = "ts", left_id: str = "seq", right_id: str = "seq",
-                  bucket_s: float = 60.0) -> DataFrame:
-    """For each left row the right row nearest in time within the tolerance (earlier one on a tie).
+def match_feeds(ticks: DataFrame, books: DataFrame, tolerance_s: float, keys: tuple[str, ...] = KEYS,
+                ts: str = "ts", seq: str = "seq", bucket_s: float = 60.0) -> DataFrame:
+    """For each row of either feed, the row of the other feed nearest in time within the tolerance
+    (the earlier one on a tie, the last of equal times before, the first of equal times after).
 
-    keys, ts, row_id, match_id, match_ts, distance_ms (the last three NULL when nothing is near).
+    keys, ts, side ('tick' / 'dom'), row_id, match_id, match_ts, distance_ms; the last three are
+    NULL when nothing is near.
 
-    Spark has no as-of join and a range join would compare all pairs.  Both sides are cut into
-    time buckets at least as wide as the tolerance; a right row is copied to a neighbour bucket
-    only when it lies within the tolerance of that border.  Inside a bucket, one ordered union
-    and two running ``last`` values find both neighbours in linear time.  Partitions are
-    (keys, bucket), so a hot symbol spreads over its buckets.
+    Spark has no as-of join and a range join would compare all pairs.  Both feeds are united once
+    and cut into time buckets at least as wide as the tolerance; a row is copied to a neighbour
+    bucket only when it lies within the tolerance of that border.  Inside a bucket, running
+    maxima and minima over the time order find both neighbours of every row in linear time.
+    Partitions are (keys, bucket), so a hot symbol spreads over its buckets.
     """
     tol = int(round(tolerance_s * 1_000_000))
     width = max(tol, int(bucket_s * 1_000_000), 1)
-    bucket = lambda us: ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("bigint")
-
-    own = left.select(*keys, F.col(ts), micros(ts).alias("us"), F.col(left_id).cast("bigint").alias("row_id"))
-    own = own.withColumn("bucket", bucket(F.col("us"))).withColumn("side", F.lit(1))
-    other = right.select(*keys, F.col(ts), micros(ts).alias("us"), F.col(right_id).cast("bigint").alias("row_id"))
-    other = other.withColumn("bucket", F.explode(F.array_distinct(F.array(
-        bucket(F.col("us") - tol), bucket(F.col("us")), bucket(F.col("us") + tol))))).withColumn("side", F.lit(0))
-
-    both = own.unionByName(other)
-    hit = F.when(F.col("side") == 0, F.struct("us", "row_id"))
-    fwd = Window.partitionBy(*keys, "bucket").orderBy("us", "side", "row_id")
-    back = Window.partitionBy(*keys, "bucket").orderBy(F.desc("us"), "side", F.desc("row_id"))
-    found = (
-        both.withColumn("before", F.last(hit, ignorenulls=True).over(fwd))
-        .withColumn("after", F.last(hit, ignorenulls=True).over(back))
-        .where("side = 1")
-    )
-    gap_before = F.col("us") - F.col("before.us")
-    gap_after = F.col("after.us") - F.col("us")
-    use_before = F.col("before").isNotNull() & (F.col("after").isNull() | (gap_before <= gap_after))
-    chosen = F.when(use_before, F.col("before")).otherwise(F.col("after"))
-    gap = F.when(use_before, gap_before).otherwise(gap_after)
-    near = gap <= F.lit(tol)
-    return found.select(
-        *keys, F.col(ts), "row_id",
-        F.when(near, chosen["row_id"]).alias("match_id"),
-        F.when(near, F.timestamp_micros(chosen["us"])).alias("match_ts"),
-        F.when(near, gap / 1000.0).alias("distance_ms"),
-    )
+    feed = lambda df, side: df.selectExpr(
+        *keys, f"{ts} AS ts", f"unix_micros(CAST({ts} AS timestamp)) AS us", f"CAST({seq} AS bigint) AS row_id",
+        f"'{side}' AS side")
+    bucket = lambda shift: f"floor((us + {shift}) / CAST({width} AS DECIMAL(20,0)))"
+    both = feed(ticks, "tick").unionByName(feed(books, "dom")).selectExpr(
+        "*", f"{bucket(0)} AS home",
+        f"explode(array_distinct(array({bucket(-tol)}, {bucket(0)}, {bucket(tol)}))) AS bucket")
+
+    cell = Window.partitionBy(*keys, "bucket")
+    upto = cell.orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = cell.orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    spot = lambda side: F.when(F.col("side") == side, F.struct("us", "row_id"))
+    other = lambda a, b: F.when(F.col("side") == "tick", a).otherwise(b)
+    found = both.withColumns({
+        "before": other(F.max(spot("dom")).over(upto), F.max(spot("tick")).over(upto)),
+        "after": other(F.min(spot("dom")).over(onward), F.min(spot("tick")).over(onward)),
+    }).where("bucket = home")
+    return found.selectExpr(
+        *keys, "ts", "side", "row_id", "us",
+        "CASE WHEN after IS NULL OR us - before.us <= after.us - us THEN before ELSE after END AS hit",
+    ).selectExpr(*keys, "ts", "side", "row_id", "hit", f"abs(us - hit.us) <= {tol} AS near", "abs(us - hit.us) AS gap",
+    ).selectExpr(
+        *keys, "ts", "side", "row_id", "CASE WHEN near THEN hit.row_id END AS match_id",
+        "CASE WHEN near THEN timestamp_micros(hit.us) END AS match_ts",
+        "CASE WHEN near THEN gap / 1000D END AS distance_ms")
 
 
-def window_metrics(tick_matches: DataFrame, book_matches: DataFrame, keys: tuple[str, ...] = KEYS,
-                   ts: str = "ts", window: str = "1 minute") -> DataFrame:
-    """Counts, matched ratios and distances of both feeds per window (full outer)."""
-    def side(matches, name):
-        return matches.groupBy(*keys, floor_to(ts, window).alias("window_start")).agg(
-            F.count(F.lit(1)).alias(f"{name}_count"),
-            F.count("match_id").alias(f"{name}_matched_count"),
-            F.avg("distance_ms").alias(f"{name}_avg"),
-            F.max("distance_ms").alias(f"{name}_max"),
-        )
-
-    on = [*keys, "window_start"]
-    out = side(tick_matches, "tick").join(side(book_matches, "dom"), on, "full")
-    counts = ["tick_count", "tick_matched_count", "dom_count", "dom_matched_count"]
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
-    share = lambda m, n, d: F.when(F.col(n) > 0, F.col(m) / F.col(n)).otherwise(F.lit(d))
-    out = out.withColumns({
-        "unmatched_tick_count": F.col("tick_count") - F.col("tick_matched_count"),
-        "unmatched_dom_count": F.col("dom_count") - F.col("dom_matched_count"),
-        "matched_tick_ratio": share("tick_matched_count", "tick_count", 0.0),
-        "matched_dom_ratio": share("dom_matched_count", "dom_count", 0.0),
-        "avg_alignment_distance_ms": F.coalesce(
-            (F.col("tick_avg") + F.col("dom_avg")) / 2.0, F.col("tick_avg"), F.col("dom_avg")),
-        "max_alignment_distance_ms": F.greatest("tick_max", "dom_max"),
-    })
-    total = F.col("tick_count") + F.col("dom_count")
-    return out.withColumn(
-        "unmatched_ratio",
-        F.when(total > 0, (F.col("unmatched_tick_count") + F.col("unmatched_dom_count")) / total).otherwise(F.lit(1.0)),
-    ).drop("tick_avg", "tick_max", "dom_avg", "dom_max")
-
-
-def global_metrics(tick_matches: DataFrame, book_matches: DataFrame,
-                   keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The eleven alignment totals per group; a missing side yields the empty-input defaults."""
-    ticks = tick_matches.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_tick_count"), F.count("match_id").alias("matched_tick_count"),
-        F.avg("distance_ms").alias("avg_alignment_distance_ms"),
-        F.max("distance_ms").alias("max_alignment_distance_ms"),
-    )
-    books = book_matches.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_dom_count"), F.count("match_id").alias("matched_dom_count"))
-    counts = ["total_tick_count", "matched_tick_count", "total_dom_count", "matched_dom_count"]
-    out = ticks.join(books, list(keys), "full").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
+def nearest_match(left: DataFrame, right: DataFrame, tolerance_s: float, keys: tuple[str, ...] = KEYS,
+                  ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """One direction of ``match_feeds``: every left row with its nearest right row."""
+    return match_feeds(left, right, tolerance_s, keys, ts, seq).where("side = 'tick'").drop("side")
+
+
+def _side(name: str, c: str):
+    return F.when(F.col("side") == name, F.col(c))
+
+
+def _ratios(df: DataFrame, tick: str, dom: str, tick_hit: str, dom_hit: str) -> DataFrame:
     share = lambda m, n: F.when(F.col(n) > 0, F.col(m) / F.col(n)).otherwise(F.lit(0.0))
-    total = F.col("total_tick_count") + F.col("total_dom_count")
-    return out.withColumns({
-        "unmatched_tick_count": F.col("total_tick_count") - F.col("matched_tick_count"),
-        "unmatched_dom_count": F.col("total_dom_count") - F.col("matched_dom_count"),
-        "matched_tick_ratio": share("matched_tick_count", "total_tick_count"),
-        "matched_dom_ratio": share("matched_dom_count", "total_dom_count"),
-    }).withColumn(
-        "unmatched_ratio",
-        F.when(total > 0, (F.col("unmatched_tick_count") + F.col("unmatched_dom_count")) / total).otherwise(F.lit(1.0)),
+    lost = lambda m, n: F.col(n) - F.col(m)
+    total = F.col(tick) + F.col(dom)
+    return df.withColumns({
+        "unmatched_tick_count": lost(tick_hit, tick), "unmatched_dom_count": lost(dom_hit, dom),
+        "matched_tick_ratio": share(tick_hit, tick), "matched_dom_ratio": share(dom_hit, dom),
+        "unmatched_ratio": F.when(total > 0, (lost(tick_hit, tick) + lost(dom_hit, dom)) / total).otherwise(F.lit(1.0)),
+    })
+
+
+def window_metrics(matches: DataFrame, keys: tuple[str, ...] = KEYS, window: str = "1 minute") -> DataFrame:
+    """Counts, matched ratios and distances of both feeds per window.
+
+    Both feeds are in one table, so their per-window figures are one aggregate; no join of two.
+    """
+    average, largest = F.avg, F.max
+    out = matches.groupBy(*keys, floor_to("ts", window).alias("window_start")).agg(
+        F.count_if(F.col("side") == "tick").alias("tick_count"),
+        F.count_if(F.col("side") == "dom").alias("dom_count"),
+        F.count(_side("tick", "match_id")).alias("tick_matched_count"),
+        F.count(_side("dom", "match_id")).alias("dom_matched_count"),
+        average(_side("tick", "distance_ms")).alias("_ta"), average(_side("dom", "distance_ms")).alias("_da"),
+        largest("distance_ms").alias("max_alignment_distance_ms"),
+        *[f(_side(s, "ts")).alias(f"{s}_{n}") for s in ("tick", "dom") for f, n in ((F.min, "from"), (F.max, "to"))],
+    ).withColumn("avg_alignment_distance_ms", F.coalesce((F.col("_ta") + F.col("_da")) / 2.0, "_ta", "_da"))
+    return _ratios(out.drop("_ta", "_da"), "tick_count", "dom_count", "tick_matched_count", "dom_matched_count")
+
+
+def global_metrics(matches: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The eleven alignment totals per group; an absent feed yields the empty-input defaults."""
+    out = matches.groupBy(*keys).agg(
+        F.count_if(F.col("side") == "tick").alias("total_tick_count"),
+        F.count_if(F.col("side") == "dom").alias("total_dom_count"),
+        F.count(_side("tick", "match_id")).alias("matched_tick_count"),
+        F.count(_side("dom", "match_id")).alias("matched_dom_count"),
+        F.avg(_side("tick", "distance_ms")).alias("avg_alignment_distance_ms"),
+        F.max(_side("tick", "distance_ms")).alias("max_alignment_distance_ms"),
     )
+    return _ratios(out, "total_tick_count", "total_dom_count", "matched_tick_count", "matched_dom_count")
 
 
 def window_scores(metrics: DataFrame, **override: float) -> DataFrame:
@@ -148,39 +140,37 @@ def window_scores(metrics: DataFrame, **override: float) -> DataFrame:
     })
 
 
-def overlap_windows(metrics: DataFrame, ticks: DataFrame, books: DataFrame, keys: tuple[str, ...] = KEYS,
-                    ts: str = "ts", window: str = "1 minute") -> DataFrame:
-    """Windows inside the time both feeds cover: a range test, no minute grid."""
-    span = lambda df, n: df.groupBy(*keys).agg(F.min(ts).alias(f"{n}_lo"), F.max(ts).alias(f"{n}_hi"))
-    covered = span(ticks, "t").join(span(books, "b"), list(keys)).select(
-        *keys,
-        floor_to(F.greatest("t_lo", "b_lo"), window).alias("from_ts"),
-        floor_to(F.least("t_hi", "b_hi"), window).alias("to_ts"),
-        (F.greatest("t_lo", "b_lo") <= F.least("t_hi", "b_hi")).alias("overlaps"),
-    )
-    return metrics.join(covered, list(keys)).where(
-        "overlaps AND window_start BETWEEN from_ts AND to_ts").drop("from_ts", "to_ts", "overlaps")
+def overlap_windows(metrics: DataFrame, keys: tuple[str, ...] = KEYS, window: str = "1 minute") -> DataFrame:
+    """Windows inside the time both feeds cover.
+
+    The cover of each feed is read off the window table (one row per bar time), so neither the
+    feeds are scanned again nor is a minute grid built.
+    """
+    group = Window.partitionBy(*keys)
+    lo = F.greatest(F.min("tick_from").over(group), F.min("dom_from").over(group))
+    hi = F.least(F.max("tick_to").over(group), F.max("dom_to").over(group))
+    known = F.min("tick_from").over(group).isNotNull() & F.min("dom_from").over(group).isNotNull()
+    inside = known & (lo <= hi) & F.col("window_start").between(floor_to(lo, window), floor_to(hi, window))
+    return metrics.withColumn("_in", inside).where("_in").drop("_in")
 
 
 def align(ticks: DataFrame, books: DataFrame, tolerance_s: float = 1.0, window: str = "1 minute",
           keys: tuple[str, ...] = KEYS, ts: str = "ts", seq: str = "seq") -> dict[str, DataFrame]:
     """Both match directions, the window metrics and the totals, as lazy tables."""
-    near = lambda a, b: nearest_match(a, b, tolerance_s, keys, ts, seq, seq)
-    tick_matches, dom_matches = near(ticks, books), near(books, ticks)
+    matches = match_feeds(ticks, books, tolerance_s, keys, ts, seq)
     return {
-        "tick_matches": tick_matches,
-        "dom_matches": dom_matches,
-        "window_metrics": window_metrics(tick_matches, dom_matches, keys, ts, window),
-        "global_metrics": global_metrics(tick_matches, dom_matches, keys),
+        "tick_matches": matches.where("side = 'tick'").drop("side"),
+        "dom_matches": matches.where("side = 'dom'").drop("side"),
+        "window_metrics": window_metrics(matches, keys, window).drop("tick_from", "tick_to", "dom_from", "dom_to"),
+        "global_metrics": global_metrics(matches, keys),
     }
 
 
 def valid_windows(ticks: DataFrame, books: DataFrame, tolerance_s: float = 1.0, window: str = "1 minute",
                   keys: tuple[str, ...] = KEYS, ts: str = "ts", seq: str = "seq", **override: float) -> DataFrame:
     """Scored windows inside the overlap that pass all tests."""
-    metrics = align(ticks, books, tolerance_s, window, keys, ts, seq)["window_metrics"]
-    inside = overlap_windows(metrics, ticks, books, keys, ts, window)
-    return window_scores(inside, **override).where("window_valid")
+    metrics = window_metrics(match_feeds(ticks, books, tolerance_s, keys, ts, seq), keys, window)
+    return window_scores(overlap_windows(metrics, keys, window), **override).where("window_valid")
 
 
 def keep_windows(bars: DataFrame, valid: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -100,11 +100,12 @@ def dense_trade_bars(trades: DataFrame, keys: tuple[str, ...] = KEYS, ts: str =
     )
 
 
-def bars_with_trades(bars: DataFrame, trade_sums: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Left join of trade aggregates onto book bars; bars without trades get zeros."""
+def bars_with_trades(bars: DataFrame, trade_sums: DataFrame, keys: tuple[str, ...] = KEYS,
+                     how: str = "left") -> DataFrame:
+    """Trade aggregates joined onto book bars; bars without trades get zeros."""
     wanted = trade_sums.select(*keys, "ts", *TRADE_SUMS, "vwap_1m")
     kept = [c for c in bars.columns if c not in (*TRADE_SUMS, "vwap_1m")]
-    return bars.select(*kept).join(wanted, [*keys, "ts"], "left").withColumns({
+    return bars.select(*kept).join(wanted, [*keys, "ts"], how).withColumns({
         **{c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in TRADE_SUMS},
         "vwap_1m": F.coalesce(F.col("vwap_1m"), F.lit(0.0)),
     })

@@ -34,7 +34,7 @@ def _corr(x: str, y: str):
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y))
     varied = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
-    return F.when(varied, F.corr(a, b))
+    return F.when(varied, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def rule_signals(bars: DataFrame, horizons: tuple[int, ...] = (30, 60, 120), label_pct: int = 3,

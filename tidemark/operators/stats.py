@@ -261,7 +261,7 @@ def config_score(metrics: DataFrame, min_per_day: float, max_per_day: float, wei
         F.when(tpd == 0, cap).when(tpd < min_per_day, F.least((min_per_day - tpd) * 0.01, cap))
         .when(tpd > max_per_day, F.least((tpd - max_per_day) * 0.01, cap)).otherwise(F.lit(0.0)))
     false_penalty = F.least(F.col("false_positive_rate") * fpr_multiplier, cap)
-    # one row per configuration
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "pair"))
+    # one row per configuration; scores equal to nine places share their order by label
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "pair"))
     return metrics.withColumn("score", F.greatest(base - false_penalty - rate_penalty, F.lit(0.0))).withColumn(
         "rank", rank.cast("bigint"))

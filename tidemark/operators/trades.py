@@ -19,116 +19,78 @@ the trades already found.  One scan, no self-join, no 4N+2-way union.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import floor_to
 from tidemark.operators.schema import KEYS, depth_of
 
-TRADE = "array<struct<price:double,qty:bigint,direction:string,priority:int,level_idx:int>>"
+_TYPE = "array<struct<price:double,qty:bigint,direction:string,priority:int,level_idx:int>>"
+_NONE = f"CAST(array() AS {_TYPE})"
 
 
-def _no_trades() -> Column:
-    return F.array().cast(TRADE)
-
+def _state(depth: int) -> str:
+    """The part of a snapshot that inference needs, as one struct."""
+    def side(px: str, qty: str) -> str:
+        levels = ", ".join(f"named_struct('px', CAST({px}{i} AS double), 'qty', CAST({qty}{i} AS bigint))"
+                           for i in range(1, depth + 1))
+        return f"array({levels})"
 
-def _trade(price, qty, direction, priority, level) -> Column:
-    return F.struct(
-        price.cast("double").alias("price"), qty.cast("bigint").alias("qty"),
-        F.lit(direction).alias("direction") if isinstance(direction, str) else direction.alias("direction"),
-        F.lit(priority).cast("int").alias("priority"), level.cast("int").alias("level_idx"),
-    )
+    return (f"named_struct('ltp', CAST(ltp AS double), 'bids', {side('bid', 'bqty')}, "
+            f"'asks', {side('ask', 'aqty')})")
 
 
-def _state(depth: int) -> Column:
-    """The part of a snapshot that inference needs, as one struct."""
-    side = lambda px, qty: F.array(*[
-        F.struct(F.col(f"{px}{i}").cast("double").alias("px"), F.col(f"{qty}{i}").cast("bigint").alias("qty"))
-        for i in range(1, depth + 1)
-    ])
-    return F.struct(F.col("ltp").cast("double").alias("ltp"),
-                    side("bid", "bqty").alias("bids"), side("ask", "aqty").alias("asks"))
-
-
-def _side_trades(now: Column, prev: Column, side: str, direction: str) -> Column:
-    best, was = now[side][0], prev[side][0]
-    through = (lambda a, b: a < b) if side == "asks" else (lambda a, b: a > b)
-
-    def level(x: Column, i: Column) -> Column:
-        lost = x["qty"] - best["qty"]
-        return (
-            F.when(through(x["px"], best["px"]) & (x["px"] > 0) & (x["qty"] > 0),
-                   _trade(x["px"], x["qty"], direction, 1, i + 1))
-            .when((x["px"] == best["px"]) & (lost > 0), _trade(best["px"], lost, direction, 2, i + 1))
-        )
-
-    swept = F.filter(F.transform(prev[side], level), lambda t: t.isNotNull())
-    fell = was["qty"] - best["qty"]
-    return (
-        F.when((was["px"] > 0) & through(was["px"], best["px"]), swept)
-        .when((was["px"] > 0) & (was["px"] == best["px"]) & (fell > 0),
-              F.array(_trade(was["px"], fell, direction, 1, F.lit(1))))
-        .otherwise(_no_trades())
-    )
+def _trade(price: str, qty: str, direction: str, priority: int, level: str) -> str:
+    return (f"named_struct('price', CAST({price} AS double), 'qty', CAST({qty} AS bigint), 'direction', {direction}, "
+            f"'priority', {priority}, 'level_idx', CAST({level} AS int))")
 
 
-def _book_trades(now: Column, prev: Column) -> Column:
-    return F.when(
-        prev.isNotNull(),
-        F.concat(_side_trades(now, prev, "asks", "BUY"), _side_trades(now, prev, "bids", "SELL")).cast(TRADE),
-    ).otherwise(_no_trades())
+def _side_trades(side: str, direction: str) -> str:
+    """Trades of one book side from the columns ``now`` and ``prev``."""
+    through = "<" if side == "asks" else ">"
+    best, was = f"now.{side}[0]", f"prev.{side}[0]"
+    swept = f"""filter(transform(prev.{side}, (x, i) -> CASE
+        WHEN x.px {through} {best}.px AND x.px > 0 AND x.qty > 0 THEN {_trade('x.px', 'x.qty', direction, 1, 'i + 1')}
+        WHEN x.px = {best}.px AND x.qty > {best}.qty
+          THEN {_trade(f'{best}.px', f'x.qty - {best}.qty', direction, 2, 'i + 1')} END), t -> t IS NOT NULL)"""
+    held = f"array({_trade(f'{was}.px', f'{was}.qty - {best}.qty', direction, 1, '1')})"
+    return f"""CASE WHEN {was}.px > 0 AND {was}.px {through} {best}.px THEN {swept}
+      WHEN {was}.px > 0 AND {was}.px = {best}.px AND {was}.qty > {best}.qty THEN {held} ELSE {_NONE} END"""
 
 
-def _price_only(now: Column, prev: Column) -> Column:
-    ask, bid = prev["asks"][0]["px"], prev["bids"][0]["px"]
-    side = (
-        F.when((ask > 0) & (bid > 0), F.when(now["ltp"] >= (ask + bid) / 2.0, "BUY").otherwise("SELL"))
-        .otherwise("BUY")
-    )
-    return F.when(
-        prev["ltp"].isNotNull() & (now["ltp"] != prev["ltp"]) & (now["ltp"] > 0),
-        F.array(_trade(now["ltp"], F.lit(1), side, 3, F.lit(1))).cast(TRADE),
-    ).otherwise(_no_trades())
+_BOOK_TRADES = f"concat({_side_trades('asks', chr(39) + 'BUY' + chr(39))}, {_side_trades('bids', chr(39) + 'SELL' + chr(39))})"
+_PRICE_SIDE = ("CASE WHEN prev.asks[0].px > 0 AND prev.bids[0].px > 0 AND now.ltp < (prev.asks[0].px + prev.bids[0].px) / 2D "
+               "THEN 'SELL' ELSE 'BUY' END")
+_PRICE_MOVED = "prev.ltp IS NOT NULL AND now.ltp <> prev.ltp AND now.ltp > 0"
+_PRICE_TRADE = f"array({_trade('now.ltp', '1', _PRICE_SIDE, 3, '1')})"
 
 
 def infer_trades(book: DataFrame, keys: tuple[str, ...] = KEYS, ts: str = "ts", seq: str = "seq",
                  chunk: str = "1 hour") -> DataFrame:
     """keys, ts, seq, trade_price, trade_qty, direction, priority, level_idx."""
-    depth = depth_of(book.columns)
-    by_chunk = [*keys, "chunk"]
-    in_chunk = Window.partitionBy(*by_chunk).orderBy(ts, seq)
-    same_time = Window.partitionBy(*by_chunk, ts)
-
-    staged = (
-        book.select(*keys, ts, seq, floor_to(ts, chunk).alias("chunk"), _state(depth).alias("now"))
-        .withColumn("prev", F.lag("now").over(in_chunk))
-        .withColumn("head", F.col(ts) == F.first(ts).over(in_chunk))
-        .withColumn("tail", F.lead(ts).over(in_chunk).isNull())
-        .withColumn("found", F.when(~F.col("head"), _book_trades(F.col("now"), F.col("prev"))).otherwise(_no_trades()))
-        .withColumn("at_time", F.max(F.size("found")).over(same_time))
-        .withColumn("found", F.when(~F.col("head") & (F.col("at_time") == 0),
-                                    _price_only(F.col("now"), F.col("prev"))).otherwise(F.col("found")))
-    )
-    edge = F.col("head") | F.col("tail")
-    reduced = staged.where(edge | (F.size("found") > 0)).select(
-        *keys, ts, seq, "head", "found",
-        F.when(edge, F.col("now")).alias("now"),
-        F.when(~edge, F.col("chunk")).alias("grp"),
-    )
-    across = Window.partitionBy(*keys, "grp").orderBy(ts, seq)
-    same_edge_time = Window.partitionBy(*keys, "grp", ts)
-    joined = (
-        reduced.withColumn("prev", F.lag("now").over(across))
-        .withColumn("found", F.when(F.col("head"), _book_trades(F.col("now"), F.col("prev"))).otherwise(F.col("found")))
-        .withColumn("at_time", F.max(F.when(F.col("head"), F.size("found"))).over(same_edge_time))
-        .withColumn("found", F.when(F.col("head") & (F.col("at_time") == 0),
-                                    _price_only(F.col("now"), F.col("prev"))).otherwise(F.col("found")))
-    )
-    return joined.select(*keys, ts, seq, F.explode("found").alias("t")).select(
-        *keys, ts, seq,
-        F.col("t.price").alias("trade_price"), F.col("t.qty").alias("trade_qty"),
-        "t.direction", "t.priority", "t.level_idx",
-    )
+    key = ", ".join(keys)
+    window = lambda part, order=True: f"PARTITION BY {key}, {part}" + (f" ORDER BY {ts}, {seq}" if order else "")
+    found = f"CASE WHEN prev IS NOT NULL AND {{resolve}} THEN {_BOOK_TRADES} ELSE {{keep}} END AS found"
+    priced = ("CASE WHEN {resolve} AND at_time = 0 AND " + _PRICE_MOVED + f" THEN {_PRICE_TRADE} ELSE found END AS found")
+
+    staged = book.select(*keys, ts, seq, floor_to(ts, chunk).alias("chunk"), F.expr(_state(depth_of(book.columns))).alias("now"))
+    inside = window("chunk")
+    staged = staged.selectExpr(
+        *keys, ts, seq, "chunk", "now", f"lag(now) OVER ({inside}) AS prev",
+        f"{ts} = first({ts}) OVER ({inside}) AS head", f"lead({ts}) OVER ({inside}) IS NULL AS tail")
+    staged = staged.selectExpr("*", found.format(resolve="NOT head", keep=_NONE))
+    staged = staged.selectExpr("*", f"max(size(found)) OVER ({window(f'chunk, {ts}', False)}) AS at_time")
+    reduced = staged.selectExpr(
+        *keys, ts, seq, "head", "tail", "chunk", "now", priced.format(resolve="NOT head"),
+    ).where("head OR tail OR size(found) > 0").selectExpr(
+        *keys, ts, seq, "head", "found", "CASE WHEN head OR tail THEN now END AS now",
+        "CASE WHEN NOT (head OR tail) THEN chunk END AS grp")
+    joined = reduced.selectExpr("*", f"lag(now) OVER ({window('grp')}) AS prev")
+    joined = joined.selectExpr(*keys, ts, seq, "head", "grp", "now", "prev", found.format(resolve="head", keep="found"))
+    joined = joined.selectExpr(
+        "*", f"max(CASE WHEN head THEN size(found) END) OVER ({window(f'grp, {ts}', False)}) AS at_time")
+    return joined.selectExpr(*keys, ts, seq, f"explode({priced.format(resolve='head').removesuffix(' AS found')}) AS t").selectExpr(
+        *keys, ts, seq, "t.price AS trade_price", "t.qty AS trade_qty", "t.direction", "t.priority", "t.level_idx")
 
 
 def ordered_trades(trades: DataFrame, keys: tuple[str, ...] = KEYS, ts: str = "ts") -> DataFrame:

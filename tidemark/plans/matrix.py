@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.align import keep_windows, valid_windows
@@ -38,19 +38,21 @@ def feature_matrix(book: DataFrame, ticks: DataFrame | None, trades: DataFrame |
     if ticks is None:
         return feature_matrix(book, book.limit(0), trades, tolerance_s, bar, keys, seq, scores, trade_order)
     unified = is_unified(ticks.columns)
-    source = ticks if unified else book
-    bars = depth_features(book_bars(source, keys, "ts", seq, bar), keys)
-    if not unified:
-        bars = keep_windows(bars, valid_windows(ticks, book, tolerance_s, bar, keys, "ts", seq, **(scores or {})), keys)
+    bars = depth_features(book_bars(ticks if unified else book, keys, "ts", seq, bar), keys)
     if trades is None:
         trades = infer_trades(book, keys, "ts", seq)
     sums = trade_bars(large_trade_flag(trades, keys, order=trade_order), keys, "ts", bar)
-    merged = bars_with_trades(bars, sums, keys)
-    traded = sums.groupBy(*keys).agg(F.lit(True).alias("_traded"))
-    out = all_features(merged, keys).join(traded, list(keys), "left")
-    quiet = F.col("_traded").isNull()
-    fixed = {c: F.when(quiet, F.lit(v)).otherwise(F.col(c)) for c, v in NO_TRADE_DEFAULTS.items()}
-    fixed |= {c: F.when(~quiet, F.col(c)) for c in TRADE_ONLY}
+    # The full join keeps bars with trades only just long enough to know which days traded.
+    whole = Window.partitionBy(*keys)
+    merged = bars_with_trades(bars.withColumn("_book", F.lit(True)), sums, keys, how="full").withColumn(
+        "_traded", F.max("trade_count_1m").over(whole) > 0).where("_book").drop("_book")
+    if not unified:
+        valid = valid_windows(ticks, book, tolerance_s, bar, keys, "ts", seq, **(scores or {}))
+        merged = keep_windows(merged, valid, keys)
+    out = all_features(merged, keys)
+    traded = F.col("_traded")
+    fixed = {c: F.when(traded, F.col(c)).otherwise(F.lit(v)) for c, v in NO_TRADE_DEFAULTS.items()}
+    fixed |= {c: F.when(traded, F.col(c)) for c in TRADE_ONLY}
     return out.withColumns(fixed).drop("_traded")
 
 
