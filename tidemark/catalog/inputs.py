@@ -94,11 +94,11 @@ def scored_bars(spark: SparkSession, sf: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
     return (
         trade_flow(bars).withColumn("roc_3", roc(3)).withColumn("roc_9", roc(9, keys=("symbol",), fill=None))
-        .withColumn("n", n)
+        .withColumn("bar_no", n)
         .withColumns({
-            "prob_long": ((F.col("n") * 37) % 100) / F.lit(100.0),
-            "prob_short": ((F.col("n") * 53) % 100) / F.lit(100.0),
-            "prob_no_trade": ((F.col("n") * 71) % 100) / F.lit(100.0),
+            "prob_long": ((F.col("bar_no") * 37) % 100) / F.lit(100.0),
+            "prob_short": ((F.col("bar_no") * 53) % 100) / F.lit(100.0),
+            "prob_no_trade": ((F.col("bar_no") * 71) % 100) / F.lit(100.0),
         })
     )
 

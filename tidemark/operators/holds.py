@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +67,17 @@ def hold_trades(bars: DataFrame, pred: str = "pred", strategies: tuple[str, ...]
     within the expiry (None = never lapses).
     """
     first = roc_rows if start is None else start
-    names = ("LONG", "SHORT")
     schema = ", ".join(f"{k} {bars.schema[k].dataType.simpleString()}" for k in keys) + ", " + TRADE_FIELDS
 
-    def trade_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        price, ts, n = pdf["ltp"].to_numpy(), pdf["ts"].to_numpy(), len(pdf)
-        side = np.select([pdf["pred"] == "LONG", pdf["pred"] == "SHORT"], [1, -1], 0)
-        change = pdf["ltp"].pct_change(roc_rows, fill_method=None).to_numpy()
+    def trade_group(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group.sort_by("ts")
+        price, side, n = rows["ltp"].to_numpy(), rows["side"].to_numpy(), group.num_rows
+        change = np.full(n, np.nan)
+        if n > roc_rows:
+            change[roc_rows:] = (price[roc_rows:] - price[:-roc_rows]) / price[:-roc_rows]
         move = np.nan_to_num(change, nan=0.0)
-        moved = np.flatnonzero((np.abs(move) >= limit) & (np.arange(n) >= roc_rows))
-        found = []
+        moved = np.flatnonzero(np.abs(move) >= limit)
+        found = []  # strategy, hold, expiry, alert bar, entry bar, direction
         for hold in horizons:
             if "model" in strategies:
                 found += [("model", hold, None, t, t, side[t]) for t in _free_entries(np.flatnonzero(side), hold, n)]
@@ -86,23 +87,26 @@ def hold_trades(bars: DataFrame, pred: str = "pred", strategies: tuple[str, ...]
                 for expiry in expiries:
                     found += [("model_roc", hold, expiry, a, t, d)
                               for t, d, a in _confirmed_entries(side, move, hold, expiry, limit, first, n)]
-        rows = []
-        for strategy, hold, expiry, alert, t, d in found:
-            out = min(t + hold, n - 1)
-            gain = (price[out] - price[t]) / price[t] * d
-            rows.append((*key, strategy, hold, expiry, None if alert is None else ts[alert], ts[t], ts[out],
-                         names[0] if d > 0 else names[1], price[t], price[out], gain, change[t] * 100.0))
-        columns = [*keys, "strategy", "horizon", "expiry", "alert_ts", "entry_ts", "exit_ts", "direction",
-                   "entry_price", "exit_price", "pnl", "roc_at_entry"]
-        made = pd.DataFrame(rows, columns=columns)
-        made["expiry"] = made["expiry"].astype("Int64")
-        for c in ("alert_ts", "entry_ts", "exit_ts"):
-            made[c] = pd.to_datetime(made[c])
-        return made
-
+        strategy, hold, expiry, alert, entry, direction = zip(*found) if found else [()] * 6
+        entry = np.array(entry, dtype="int64")
+        out = np.minimum(entry + np.array(hold, dtype="int64"), n - 1)
+        sign = np.array(direction, dtype="float64")
+        time = rows["ts"].combine_chunks()
+        return pa.table({
+            **{name: pa.array([k.as_py()] * len(entry), k.type) for name, k in zip(keys, key)},
+            "strategy": pa.array(strategy, "string"), "horizon": pa.array(hold, "int64"),
+            "expiry": pa.array(expiry, "int64"), "alert_ts": time.take(pa.array(alert, "int64")),
+            "entry_ts": time.take(pa.array(entry)), "exit_ts": time.take(pa.array(out)),
+            "direction": pa.array(["LONG" if d > 0 else "SHORT" for d in sign], "string"),
+            "entry_price": price[entry], "exit_price": price[out],
+            "pnl": (price[out] - price[entry]) / price[entry] * sign,
+            "roc_at_entry": pa.array(change[entry] * 100.0, from_pandas=True),
+        })
+
+    side = F.when(F.col(pred) == "LONG", 1).when(F.col(pred) == "SHORT", -1).otherwise(0)
     narrow = bars.select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("ltp").cast("double").alias("ltp"),
-                         F.col(pred).alias("pred"))
-    return narrow.groupBy(*keys).applyInPandas(trade_group, schema)
+                         side.alias("side"))
+    return narrow.groupBy(*keys).applyInArrow(trade_group, schema)
 
 
 def hold_without_expiry(bars: DataFrame, pred: str = "pred", horizon: int = 180) -> DataFrame:

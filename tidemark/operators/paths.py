@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import exact_quantiles, top_fraction
 from tidemark.operators.schema import KEYS
+from tidemark.session import stage
 
 METRICS = ["mfe_bps", "mfe_minute", "mae_bps", "mae_minute", "mae_before_mfe_bps",
            "ret_60m_bps", "ret_eod_bps", "bars_to_close"]
@@ -156,7 +157,8 @@ def control_lift(bars: DataFrame, score: str, direction: str = "LONG", fraction:
 
     metrics = metrics or METRICS[:-1]
     bars = bars.withColumn("minute_of_day", F.date_format(F.col("ts").cast("timestamp"), "HH:mm"))
-    signals = top_fraction(bars, score, fraction, ["symbol", "ts"]).drop("rn", "n")
+    bars = stage(bars)  # read by the ranking, the control pool and both sets of paths
+    signals = stage(top_fraction(bars, score, fraction, ["symbol", "ts"]).drop("rn", "n"))
     controls = matched_controls(signals, bars, list(match), list(fallback) if fallback else None, n_controls,
                                 draw, signal_id, control_id)
     moves = lambda s: excursions(s, bars, direction)

@@ -4,6 +4,7 @@ An unpartitioned window (or an exact ``percentile``) would put all rows into one
 rows are first reduced to counts per distinct value, the value range is cut into buckets at
 approximate quantiles (a bounded sketch), and running sums are taken inside a bucket with the
 totals of earlier buckets added.  Cut points only balance the work; results are exact.
+The counts are read three times (cut points, totals, sums), so they are staged once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import col
+from tidemark.session import stage
 
 
 def prefix_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None,
@@ -22,7 +24,7 @@ def prefix_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     """
     by = list(by or [])
     sort_value = -F.col(value) if descending else F.col(value)
-    work = counts.withColumn("_v", sort_value.cast("double"))
+    work = stage(counts.withColumn("_v", sort_value.cast("double")))
     probs = [i / buckets for i in range(1, buckets)]
     cut = F.percentile_approx("_v", probs, 1000).alias("_cuts")
     if by:
@@ -76,6 +78,8 @@ def global_rank(df: DataFrame, value: str, order: list[str], by: list[str] | Non
     therefore still spread over the values of ``split``.
     """
     by = list(by or [])
+    if {"rn", "n"} & set(df.columns):
+        raise ValueError("columns rn and n are added here and must not exist")
     extra = [] if split in by else [split]
     counts = df.groupBy(*by, value, *extra).agg(F.count(F.lit(1)).alias("n"))
     ahead = prefix_sums(counts, value, ["n"], by, extra, descending=descending).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.clock import exchange_time
 from tidemark.functions.scalars import clamp, pair_thresholds
 from tidemark.operators.ranks import decile_of, exact_quantiles, global_rank, top_fraction
+from tidemark.session import stage
 
 
 def trade_metrics(trades: DataFrame, by: list[str], pnl: str = "pnl") -> DataFrame:
@@ -80,6 +81,7 @@ def ranked_returns(bars: DataFrame, score: str, ret: str, direction: str = "LONG
 def decile_table(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Statistics of each tenth; decile 1 holds the highest scores."""
     by = list(by or [])
+    ranked = stage(ranked)
     return _bucket_stats(ranked.withColumn("decile", decile_of("rn", "n")), [*by, "decile"], "ret")
 
 
@@ -89,7 +91,7 @@ def tail_buckets(ranked: DataFrame) -> DataFrame:
               for name, p, lo in TAILS]
     # no row lies in the tails beyond the first cut: filter before the explode
     top = ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(TAILS[0][1]))))
-    rows = top.withColumn("bucket", F.explode(F.filter(F.array(*inside), lambda b: b.isNotNull())))
+    rows = stage(top.withColumn("bucket", F.explode(F.filter(F.array(*inside), lambda b: b.isNotNull()))))
     return _bucket_stats(rows, ["bucket"], "ret")
 
 

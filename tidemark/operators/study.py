@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.momentum import crosses, entry_cost_bps, first_event, next_bar_exits, roc
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.operators.schema import KEYS
+from tidemark.session import stage
 
 PATTERNS = [
     ("single_long", "long_cross", "LONG"), ("single_short", "short_cross", "SHORT"),
@@ -53,7 +54,7 @@ def by_horizon(trades: DataFrame, carry: list[str]) -> DataFrame:
 
 def event_study(trades: DataFrame) -> DataFrame:
     """Trade-level and day-level statistics per pattern and horizon."""
-    long = by_horizon(trades, ["pattern", "trade_date"])
+    long = stage(by_horizon(trades, ["pattern", "trade_date"]))
     group = ["pattern", "horizon"]
     # trades -> days -> totals: the second level sees one row per day
     days = long.groupBy(*group, "trade_date").agg(
@@ -112,6 +113,7 @@ def flag_daily_top(bars: DataFrame, scores: dict[str, str], q: float = 0.99, day
 
 def overlay_ab(bars: DataFrame, keys: tuple[str, ...] = KEYS, q: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """Cross events in the day's top probability (A) against the rest (B): (trades, comparison)."""
+    bars = stage(bars)
     flagged = flag_daily_top(bars, {"top_long": "prob_long", "top_short": "prob_short"}, q)
     prepared = study_bars(flagged, keys)
     # each bar belongs to group A or B by the flag of the direction it signals
@@ -119,7 +121,7 @@ def overlay_ab(bars: DataFrame, keys: tuple[str, ...] = KEYS, q: float = 0.99) -
     for (name, flag, d), top in zip(PATTERNS[:2], ("top_long", "top_short")):
         part = prepared.withColumn("grp", F.when(F.col(top), "A").otherwise("B"))
         parts.append(event_trades(part, [(name, flag, d)], keys, groups=("grp",)))
-    trades = parts[0].unionByName(parts[1])
+    trades = stage(parts[0].unionByName(parts[1]))
     long = by_horizon(trades, ["pattern", "grp", "trade_date"]).withColumnRenamed("net", "value")
     return trades, clustered_t(long, ["pattern", "horizon"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator relies on.  Cluster sizing (executors, memory, shuffle
 # partitions, checkpoint folder) stays with the cluster's own configuration.
@@ -29,11 +29,23 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage: a reliable checkpoint in the shared folder.
+
+    For tables that several branches of a plan read.  Without it each branch would recompute
+    everything below; the copy also survives the loss of an executor.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
+    if spark.conf.get("tidemark.checkpoint.set", None) != named:
+        spark.sparkContext.setCheckpointDir(named)
+        spark.conf.set("tidemark.checkpoint.set", named)
     return named
