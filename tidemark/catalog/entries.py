@@ -9,7 +9,7 @@ from tidemark.operators.bars import bars_with_trades, book_bars, trade_bars
 from tidemark.operators.features import trade_flow
 from tidemark.operators.trades import infer_trades
 
-MODULES = ("raw", "bars_features", "events", "research")
+MODULES = ("raw", "bars_features", "events", "research", "streams")
 
 
 def _merged(attribute: str) -> dict:
