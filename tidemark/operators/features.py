@@ -162,9 +162,9 @@ def large_trade_flag(trades: DataFrame, keys: tuple[str, ...] = KEYS, ts: str =
 
     def flag(block_rows: pa.Table) -> pa.Table:
         rows = block_rows.sort_by("rn")
-        rn, qty = rows["rn"].to_numpy(), rows["trade_qty"].to_numpy()
+        qty = rows["trade_qty"].to_numpy()
         limit = np.full(len(qty), np.inf)
-        if rn[0] == 1:
+        if rows["block"][0].as_py() == 0:
             points = [p for p in (*range(5, 51, 5), *range(100, span + 1, 50)) if p <= len(qty)]
             for p, until in zip(points, [*points[1:], len(qty) + 1]):
                 limit[p - 1:until - 1] = times * np.median(qty[:p])

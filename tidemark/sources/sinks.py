@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import has_key, imbalance, not_sentinel, within_symbols
@@ -55,18 +55,19 @@ def incremental_append(incoming: DataFrame, existing: DataFrame, path: str) -> N
 def split_day(df: DataFrame, path: str, force: bool = False, existing: DataFrame | None = None) -> dict[str, int]:
     """Write a day-level table per (day, symbol); sentinel and empty symbols are counted and dropped.
 
-    Counts come from the job that writes, not from extra scans.  Without ``force`` pairs that
-    already exist are skipped.
+    Counts are one aggregate over the key columns.  (An observation inside the write would be
+    lost when adaptive execution finds that nothing is left to write.)  Without ``force`` pairs
+    that already exist are skipped.
     """
-    stats = Observation("split_day")
     sentinel = ~F.coalesce(not_sentinel(), F.lit(True))
-    df = df.observe(stats, F.count(F.lit(1)).alias("rows"), F.count_if(sentinel).alias("sentinel_rows"),
-                    F.count_if(~F.coalesce(has_key(), F.lit(False))).alias("keyless_rows"))
+    stats = df.select("symbol", "ts").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(sentinel).alias("sentinel_rows"),
+        F.count_if(~F.coalesce(has_key(), F.lit(False))).alias("keyless_rows")).first().asDict()
     kept = df.where(has_key() & not_sentinel())
     if existing is not None and not force:
         kept = new_pairs_only(kept, existing)
     write_table(kept, path, ("trade_date", "symbol"), "overwrite" if force or existing is None else "append")
-    return dict(stats.get)
+    return stats
 
 
 def unified_book(unified: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
