@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 from tidemark.catalog.inputs import BAR, book, naive_ts, rd
@@ -12,6 +13,15 @@ from tidemark.operators.trades import infer_trades
 MODULES = ("raw", "bars_features", "events", "research", "streams")
 
 
+def _in_utc(fn):
+    """Stored times are UTC; a caller's session may be set to another zone."""
+    @functools.wraps(fn)
+    def run(spark, sf):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf)
+    return run
+
+
 def _merged(attribute: str) -> dict:
     out: dict = {}
     for name in MODULES:
@@ -24,13 +34,14 @@ def _merged(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _in_utc(fn) for name, fn in _merged("QUERIES").items()}
 
 
 def sql() -> dict[str, str]:
     return _merged("SQL")
 
 
+@_in_utc
 def flagship(spark, sf: str):
     snapshots = book(spark, sf)
     trades = infer_trades(snapshots)
