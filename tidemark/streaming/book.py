@@ -69,9 +69,9 @@ def make_bars(rows: pd.DataFrame, trades: pd.DataFrame, width_us: int) -> pd.Dat
     start = rows["ts"] - rows["ts"] % width_us
     g = rows.groupby(start)
     price = g["ltp"]
-    # plain running sums, as the batch aggregate takes them: the features compare level means
-    first = np.flatnonzero(np.r_[True, np.diff(start.to_numpy()) != 0])
-    bars = pd.DataFrame(np.add.reduceat(rows[LEVELS].to_numpy(float), first, axis=0), columns=LEVELS,
+    # plain sums in row order, as the batch aggregate takes them: the features compare level means
+    at = g.ngroup().to_numpy()
+    bars = pd.DataFrame({c: np.bincount(at, weights=rows[c].to_numpy(float)) for c in LEVELS},
                         index=price.first().index).div(price.size(), axis=0)
     bars = bars.assign(open_price=price.first(), high_price=price.max(), low_price=price.min(),
                        close_price=price.last(), ltp=price.mean())
