@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.clock import exchange_time
 from tidemark.operators.schema import KEYS, LABEL_HORIZONS, LABEL_THRESHOLDS
 
 
@@ -64,20 +65,22 @@ def first_touch_label(bars: DataFrame, threshold: float = 0.015, price: str = "l
                       keys: tuple[str, ...] = KEYS) -> DataFrame:
     """LONG / SHORT by which barrier a later bar of the day touches first, else NO_TRADE.
 
-    Both barriers are relative to each bar's own price, so a bar meets its followers once:
-    an equi-join inside (symbol, day), at most 375 x 374 / 2 pairs for a full session.
+    Barriers are relative to each bar's own price.  The day is gathered once per group into an
+    array of at most one element per bar time and joined to its bars by key.
     """
-    from tidemark.functions.clock import exchange_time
-
     live = bars.where(exchange_time("ts") < cutoff)
-    w = Window.partitionBy(*keys).orderBy("ts")
-    path = F.collect_list(F.struct("ts", price)).over(w.rowsBetween(1, Window.unboundedFollowing))
-    up = F.filter("path", lambda p: p[price] >= F.col(price) * (1 + threshold))
-    down = F.filter("path", lambda p: p[price] <= F.col(price) * (1 - threshold))
-    first = lambda a: F.when(F.size(a) > 0, a[0]["ts"])
-    return (
-        live.withColumn("path", path).withColumn("up_ts", first(up)).withColumn("down_ts", first(down)).drop("path")
-        .withColumn("first_touch", F.when(F.col("up_ts").isNotNull() & (
-            F.col("down_ts").isNull() | (F.col("up_ts") < F.col("down_ts"))), "LONG")
-            .when(F.col("down_ts").isNotNull(), "SHORT").otherwise("NO_TRADE"))
-    )
+    point = F.struct(F.col("ts").cast("timestamp").alias("t"), F.col(price).alias("p"))
+    days = live.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_path"))
+    now, entry = F.col("ts").cast("timestamp"), F.col(price)
+
+    def first_at(test):
+        hits = F.filter("_path", lambda x: (x["t"] > now) & test(x["p"]))
+        return F.when(F.size(hits) > 0, hits[0]["t"])
+
+    up, down = F.col("up_ts"), F.col("down_ts")
+    return live.join(days, list(keys)).withColumns({
+        "up_ts": first_at(lambda p: p >= entry * (1 + threshold)),
+        "down_ts": first_at(lambda p: p <= entry * (1 - threshold)),
+    }).drop("_path").withColumn(
+        "first_touch", F.when(up.isNotNull() & (down.isNull() | (up < down)), "LONG")
+        .when(down.isNotNull(), "SHORT").otherwise("NO_TRADE"))

@@ -49,10 +49,11 @@ def pair_table(spark, labels: list[str] | None = None) -> DataFrame:
     )).alias("t")).select("pair", "t.*")
 
 
-def day_metrics(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Open, close, high, low and range of each symbol-day."""
+def day_metrics(bars: DataFrame, keys: tuple[str, ...] = KEYS, extra: tuple = ()) -> DataFrame:
+    """Open, close, high, low and range of each symbol-day, with ``extra`` aggregates beside them."""
     order = F.unix_micros(F.col("ts").cast("timestamp"))
     return bars.groupBy(*keys).agg(
+        *extra,
         F.coalesce(F.min_by("open_price", order), F.min_by("ltp", order)).alias("open"),
         F.max_by("ltp", order).alias("close"), F.max("ltp").alias("high"), F.min("ltp").alias("low"),
     ).withColumn("intraday_range_pct", (F.col("high") - F.col("low")) / F.col("low") * 100)
@@ -117,12 +118,12 @@ def sequence_trades(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
     # symbol-day facts come from the bars once, not once per pair
     order = F.unix_micros(F.col("ts").cast("timestamp"))
     earliest_best = lambda c, v: F.max_by(v, F.struct(F.col(c), -order))
-    days = day_metrics(bars, keys).join(bars.groupBy(*keys).agg(
+    days = day_metrics(bars, keys, (
         F.max("prob_long").alias("max_prob_long"), F.max("prob_short").alias("max_prob_short"),
         *[earliest_best(f"prob_{s}", exchange_time("ts")).alias(f"best_{s}_time") for s in ("long", "short")],
         *[earliest_best(f"prob_{s}", F.col("delta_1m") * F.col("close_price") / 100000.0).alias(f"best_{s}_value")
           for s in ("long", "short")],
-    ), list(keys))
+    ))
     return _resolve(found.join(days, list(keys)))
 
 

@@ -12,6 +12,7 @@ from tidemark.operators.features import all_features, depth_features, large_trad
 from tidemark.operators.labels import label_matrix
 from tidemark.operators.schema import KEYS, is_unified
 from tidemark.operators.trades import infer_trades
+from tidemark.session import stage
 
 NO_TRADE_DEFAULTS = {
     "delta_1m": 0.0, "delta_5m": 0.0, "volume_burst": 0.0, "aggressor_ratio": 0.5,
@@ -40,7 +41,8 @@ def feature_matrix(book: DataFrame, ticks: DataFrame | None, trades: DataFrame |
     unified = is_unified(ticks.columns)
     bars = depth_features(book_bars(ticks if unified else book, keys, "ts", seq, bar), keys)
     if trades is None:
-        trades = infer_trades(book, keys, "ts", seq)
+        # the large-trade flag reads the trades twice; inference must not run twice
+        trades = stage(infer_trades(book, keys, "ts", seq))
     sums = trade_bars(large_trade_flag(trades, keys, order=trade_order), keys, "ts", bar)
     # The full join keeps bars with trades only just long enough to know which days traded.
     whole = Window.partitionBy(*keys)
