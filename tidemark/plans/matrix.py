@@ -37,7 +37,8 @@ def feature_matrix(book: DataFrame, ticks: DataFrame | None, trades: DataFrame |
     are taken before the window filter, replenishment and flow features after it.
     """
     if ticks is None:
-        return feature_matrix(book, book.limit(0), trades, tolerance_s, bar, keys, seq, scores, trade_order)
+        nothing = book.limit(0)
+        return feature_matrix(nothing, nothing.select(*keys, "ts", seq), trades, tolerance_s, bar, keys, seq, scores, trade_order)
     unified = is_unified(ticks.columns)
     bars = depth_features(book_bars(ticks if unified else book, keys, "ts", seq, bar), keys)
     if trades is None:
