@@ -9,6 +9,7 @@ from tidemark.catalog.inputs import BAR, book, naive_ts, rd
 from tidemark.operators.bars import bars_with_trades, book_bars, trade_bars
 from tidemark.operators.features import trade_flow
 from tidemark.operators.trades import infer_trades
+from tidemark.session import ship_package
 
 MODULES = ("raw", "bars_features", "events", "research", "streams")
 
@@ -17,6 +18,7 @@ def _in_utc(fn):
     """Stored times are UTC; a caller's session may be set to another zone."""
     @functools.wraps(fn)
     def run(spark, sf):
+        ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf)
     return run
