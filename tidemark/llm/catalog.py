@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, licenses, media, packing, quality, sharding
+from tidemark.llm import bpe, jaccard, langid, licenses, media, packing, quality, sharding
 from tidemark.llm.common import staged, utf8
+from tidemark.session import ship_package
 
 SHARDS = 40
 
@@ -21,6 +24,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def shipped(fn):
+    """The workers need this package's sources."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(ship_package(spark), sf_dir)
+    return run
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entire texts and lines of all documents against the built-in licences and notices."""
     return licenses.scan(documents(spark, sf_dir))
@@ -61,6 +72,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of near copies: five-word n-grams, similarity of 0.8 or more."""
+    return jaccard.near_classes(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(utf8("text")).cast("long").alias("n_bytes"), media.payload_of("text").alias("payload"))
     found = media.media_columns(media.store(docs).drop("payload"))
@@ -75,6 +91,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("keyframes="), F.array_join(ranges, ","))).alias("feature"))
 
 
-OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op10_media_columns]
-QUERIES = {fn.__name__: fn for fn in OPERATORS}
+OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op9_ngram_jaccard, op10_media_columns]
+QUERIES = {fn.__name__: shipped(fn) for fn in OPERATORS}
 SQL: dict[str, str] = {}

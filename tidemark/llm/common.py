@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +40,19 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def rows_like(batch: pa.RecordBatch, schema: pa.Schema, **columns: Iterable) -> pa.RecordBatch:
-    """A batch of the schema: given columns, and those of the same name carried over from batch."""
-    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name).cast(f.type) for f in schema]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def portions(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in order, cut so that a portion holds about `limit` bytes of a text or binary column, or one row."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            done = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, done + limit, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
-def slices(total: int, step: int) -> Iterator[tuple[int, int]]:
-    for lo in range(0, total, step):
-        yield lo, min(total, lo + step)
+def row_portions(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import crc_mod, portions
+
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -95,7 +97,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", orders=O
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in portions(batches, "text", 4 << 20):
             texts, labels = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             for lang in set(labels):
                 own = [t for t, x in zip(texts, labels, strict=True) if x == lang]
@@ -140,7 +142,7 @@ def predict(docs: DataFrame, model, text: str = "text", prediction: str = "lang_
 
     def run(batches):
         weights = shared.value
-        for batch in batches:
+        for batch in portions(batches, text, 4 << 20):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             total = np.tile(prior, (len(texts), 1))
             for numbers, starts, found in grams.slices(texts) if languages else ():
@@ -160,6 +162,4 @@ def predict(docs: DataFrame, model, text: str = "text", prediction: str = "lang_
 
 def held_out(key: str | Column = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """True for rows of the test fold by crc32 of the key's text; false for a NULL key."""
-    from tidemark.llm.common import crc_mod
-
     return F.coalesce(crc_mod(key, folds) == fold, F.lit(False))

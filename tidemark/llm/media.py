@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import utf8
+from tidemark.llm.common import portions, utf8
 
 #: Boxes whose body is a run of boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
@@ -162,7 +162,7 @@ def store(df: DataFrame, payload: str = "payload", media: str = "media") -> Data
     schema = df.withColumn(media, F.lit(None).cast("binary")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, payload):
             made = [None if p is None else write_container(p) for p in batch.column(payload).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, media])
     return df.mapInArrow(run, schema)
@@ -182,7 +182,7 @@ def media_columns(df: DataFrame, media: str = "media", column: str = "facts") ->
                        ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", span), ("samples", span), ("error", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, media):
             found = [describe(m or b"") for m in batch.column(media).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, facts)], names=[*batch.schema.names, column])
     return df.mapInArrow(run, schema)

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import ship
-from tidemark.llm.common import staged
+from tidemark.llm.common import portions, staged
 
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a worker; the memo starts anew beyond it (speed only).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 SLICE = 4_000_000
 ROWS_PER_CHUNK = 20_000
 
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches):
         own = word_ids(SparkFiles.get(name))
-        for batch in batches:
+        for batch in portions(batches, "text", 8 << 20):
             rows = []
             for doc_id, made in zip(batch.column(0).to_pylist(), own([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 made += closing
