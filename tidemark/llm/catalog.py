@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, langid, licenses, media, packing, quality, sharding
+from tidemark.llm import bpe, jaccard, langid, licenses, media, packing, quality, repeats, sharding
 from tidemark.llm.common import staged, utf8
 from tidemark.session import ship_package
 
@@ -72,6 +72,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that also start elsewhere."""
+    found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    size, kept = F.octet_length("text").cast("long"), F.octet_length("kept").cast("long")
+    return found.select("doc_id", size.alias("n_bytes"), (size - kept).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of near copies: five-word n-grams, similarity of 0.8 or more."""
     return jaccard.near_classes(documents(spark, sf_dir))
@@ -91,6 +99,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("keyframes="), F.array_join(ranges, ","))).alias("feature"))
 
 
-OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op9_ngram_jaccard, op10_media_columns]
+OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats, op9_ngram_jaccard, op10_media_columns]
 QUERIES = {fn.__name__: shipped(fn) for fn in OPERATORS}
 SQL: dict[str, str] = {}
