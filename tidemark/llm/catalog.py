@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, langid, licenses, media, packing, quality, repeats, sharding
-from tidemark.llm.common import staged, utf8
+from tidemark.llm import bpe, jaccard, langid, licenses, media, packing, quality, repeats, sharding, suffix_lm
+from tidemark.llm.common import crc_mod, staged, utf8
 from tidemark.session import ship_package
 
 SHARDS = 40
@@ -52,7 +52,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = langid.train(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("lang").isNotNull()))
+    model = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
     rows = docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out"))
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -80,6 +80,10 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(documents(spark, sf_dir), crc_mod("doc_id", 5) == 1)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of near copies: five-word n-grams, similarity of 0.8 or more."""
     return jaccard.near_classes(documents(spark, sf_dir))
@@ -99,6 +103,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("keyframes="), F.array_join(ranges, ","))).alias("feature"))
 
 
-OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats, op9_ngram_jaccard, op10_media_columns]
+OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats, op8_suffix_tree_lm, op9_ngram_jaccard, op10_media_columns]
 QUERIES = {fn.__name__: shipped(fn) for fn in OPERATORS}
 SQL: dict[str, str] = {}
