@@ -12,11 +12,14 @@ from __future__ import annotations
 import base64
 import functools
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import portions, row_portions
+
 #: The split of the public 50k byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 16_384
@@ -105,9 +108,13 @@ def codec(path: str, pattern: str, leaf: int) -> Codec:
 
 def ship(spark: SparkSession, path: str) -> str:
     """Sends a vocabulary file of the driver (a few MB) to the executors once; its name there."""
-    name = path.rpartition("/")[2]
-    if not any(f.rpartition("/")[2] == name for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
+    context, name = spark.sparkContext, path.rpartition("/")[2]
+    sent = context.__dict__.setdefault("vocabularies_sent", {})
+    if name not in sent:
+        context.addFile(path)
+        sent[name] = path
+    if sent[name] != path:
+        raise ValueError(f"another file named {name} was sent before: {sent[name]}")
     return name
 
 
@@ -121,8 +128,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, text: str = "text", ids: str
 
     def run(batches):
         own = codec(SparkFiles.get(name), pattern, leaf)
-        for batch in batches:
-            made = [own.encode(t or "") for t in batch.column(text).to_pylist()]
+        for batch in portions(batches, text):
+            made = [np.array(own.encode(t.as_py() or ""), np.int32) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
     return docs.mapInArrow(run, schema)
 
@@ -134,7 +141,7 @@ def decode_ids(tokens: DataFrame, ranks_path: str, ids: str = "ids", decoded: st
 
     def run(batches):
         own = codec(SparkFiles.get(name), pattern, leaf)
-        for batch in batches:
-            made = [own.decode(i or []) for i in batch.column(ids).to_pylist()]
+        for batch in row_portions(batches, 256):
+            made = [own.decode(i.values.to_pylist() if i.is_valid else []) for i in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, decoded])
     return tokens.mapInArrow(run, schema)
