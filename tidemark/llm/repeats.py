@@ -140,13 +140,13 @@ SUFFIXES = "key binary, gram bigint, at int, first int, last int, ahead binary,
 SPANS = "key binary, start int, stop int"
 
 
-def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Suffixes at the listed anchors of rows (key, text, grams), with the bytes ahead and, reversed, behind.
+def suffixes(docs: DataFrame, length: int, gram: int, turned: bool = True) -> DataFrame:
+    """Suffixes at the listed anchors of rows (key, text, grams), with the bytes ahead and behind, these turned around.
 
     Bytes are raised by one, so that zero can mark the end.  A context that occurs again in its own text is sent
     once; the strings that start there are known to be repeated and come as rows without bytes (first to last).
     """
-    shifted = bytes((b + 1) % 256 for b in range(256))
+    shifted, step = bytes((b + 1) % 256 for b in range(256)), -1 if turned else 1
 
     def run(batches):
         own = anchors(length, gram)
@@ -158,13 +158,14 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 wanted = batch.column("grams")
                 listed = np.concatenate([np.isin(r.gram[r.owner == k], wanted[k].values.to_numpy()) for k in range(len(texts))]) if len(texts) > 1 else np.isin(r.gram, wanted[0].values.to_numpy())
                 r = Runs(*(c[listed] for c in r))
+            if r is not None and len(r.at):
                 order = np.lexsort((r.context, r.gram, r.owner))
                 o, g, c = r.owner[order], r.gram[order], r.context[order]
                 again = np.concatenate(([False], (o[1:] == o[:-1]) & (g[1:] == g[:-1]) & (c[1:] == c[:-1])))
                 local = again | np.concatenate((again[1:], [False]))
                 for k, at, lo, hi, gr in zip(*(x[order][~again].tolist() for x in (r.owner, r.at, r.lo, r.hi, r.gram)), strict=True):
                     text = texts[k]
-                    rows.append((keys[k], gr, at, lo, hi, text[at:hi + length].translate(shifted), text[lo:at][::-1].translate(shifted)))
+                    rows.append((keys[k], gr, at, lo, hi, text[at:hi + length].translate(shifted), text[lo:at][::step].translate(shifted)))
                 if local.any():
                     o, lo, hi = r.owner[order][local], r.lo[order][local], r.hi[order][local]
                     by = np.lexsort((lo, o))
@@ -284,9 +285,10 @@ def scan(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def counted(rows: DataFrame, length: int) -> DataFrame:
-    """Spans from suffixes of hot grams: their strings are counted by digest, combined per task before the shuffle."""
+    """Spans from suffixes of hot grams (bytes behind not turned): their strings are counted by digest, combined per task
+    before the shuffle, so that no group of suffixes has to meet."""
     strings = rows.where("ahead IS NOT NULL").select(
-        "key", F.explode(F.sequence(F.col("first"), F.col("last"))).alias("start"), F.concat(F.reverse("behind"), "ahead").alias("bytes"), "first")
+        "key", F.explode(F.sequence(F.col("first"), F.col("last"))).alias("start"), F.concat("behind", "ahead").alias("bytes"), "first")
     strings = strings.select("key", "start", F.unhex(F.md5(F.substring(F.col("bytes"), F.col("start") - F.col("first") + 1, F.lit(length)))).alias("digest"))
     often = strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return strings.join(often, "digest", "left_semi").select("key", "start", (F.col("start") + length).alias("stop"))
@@ -321,7 +323,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     spans = scan(suffixes(cold.select("key", "text", "grams"), length, gram), length, gram)
     if sought.where(F.size("hot") > 0).limit(1).count():
         few = met.where(F.size("hot") > 0).select("key", "text", F.col("hot").alias("grams"))
-        spans = spans.unionByName(counted(suffixes(few, length, gram), length))
+        hot_rows = suffixes(few, length, gram, turned=False)
+        known = hot_rows.where("ahead IS NULL").select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+        spans = spans.unionByName(counted(hot_rows, length)).unionByName(known)
     grouped = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.where("copies > 1").select("key", "copies").join(grouped, "key", "full").select(
         "key", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
