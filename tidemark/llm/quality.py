@@ -30,7 +30,8 @@ RULES = [
 RISING = {"n_words", "stop_share", "variety"}
 ROUNDS = 12
 START = 0.8
-SMOOTHING = 1.0
+#: So many rows of each class are assumed beforehand, half of their votes abstaining and the rest right with START.
+PRIOR_ROWS = 1
 THRESHOLD = 0.5
 #: Frequent short words of English, German, French and Spanish.
 STOPS = ["the", "of", "and", "to", "in", "is", "that", "it", "a", "for", "with",
@@ -105,26 +106,27 @@ def with_votes(measured_rows: DataFrame, rules=RULES) -> DataFrame:
     return measured_rows.withColumns({f"vote_{name}": vote(signal, good, bad) for name, signal, good, bad in rules})
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, start: float = START, smoothing: float = SMOOTHING):
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, start: float = START, prior: float = PRIOR_ROWS):
     """(log odds of good, per rule {vote: log likelihood ratio}) from vote patterns and their row counts.
 
     Two classes with votes independent within each; a rule starts as right with probability `start`, so that class
-    `good` is the one that most rules vote for.  No rows give even odds and the starting ratios.
+    `good` is the one that most rules vote for.  No rows give even odds and no rules.
     """
     k = len(patterns[0][0]) if patterns else 0
     total = sum(n for _, n in patterns)
+    assumed = {1: (start / 2, (1 - start) / 2), 0: (0.5, 0.5), -1: ((1 - start) / 2, start / 2)}
     odds = 0.0
-    ratio = [{1: math.log(start / (1 - start)), 0: 0.0, -1: math.log((1 - start) / start)} for _ in range(k)]
+    ratio = [{v: math.log(g / b) for v, (g, b) in assumed.items()} for _ in range(k)]
     for _ in range(rounds if total else 0):
         good = [1 / (1 + math.exp(-(odds + sum(ratio[j][v] for j, v in enumerate(votes))))) for votes, _ in patterns]
         n_good = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
         n_bad = total - n_good
-        odds = math.log((n_good + smoothing) / (n_bad + smoothing))
+        odds = math.log((n_good + prior) / (n_bad + prior))
         for j in range(k):
-            for v in (1, 0, -1):
-                g = sum(p * n for p, (votes, n) in zip(good, patterns, strict=True) if votes[j] == v)
-                b = sum((1 - p) * n for p, (votes, n) in zip(good, patterns, strict=True) if votes[j] == v)
-                ratio[j][v] = math.log((g + smoothing) / (n_good + 3 * smoothing)) - math.log((b + smoothing) / (n_bad + 3 * smoothing))
+            for v, (in_good, in_bad) in assumed.items():
+                g = prior * in_good + sum(p * n for p, (votes, n) in zip(good, patterns, strict=True) if votes[j] == v)
+                b = prior * in_bad + sum((1 - p) * n for p, (votes, n) in zip(good, patterns, strict=True) if votes[j] == v)
+                ratio[j][v] = math.log(g / (n_good + prior)) - math.log(b / (n_bad + prior))
     return odds, ratio
 
 
