@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, jaccard, langid, licenses, media, packing, quality, repeats, sharding, suffix_lm
+from tidemark.llm import bpe, jaccard, langid, licenses, media, oracle, packing, quality, repeats, sharding, suffix_lm
 from tidemark.llm.common import crc_mod, staged, utf8
 from tidemark.session import ship_package
 
@@ -106,4 +106,4 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats, op8_suffix_tree_lm, op9_ngram_jaccard, op10_media_columns]
 QUERIES = {fn.__name__: shipped(fn) for fn in OPERATORS} | {"pipeline": shipped(corpus_pipeline.run)}
-SQL: dict[str, str] = {}
+SQL = {"op1_license_scan": oracle.license_scan(), "op5_quality_rules": oracle.quality_rules(), "op6_sharding": oracle.sharding(SHARDS)}
