@@ -431,11 +431,7 @@ def large_flag(spark, sf):
     return naive_ts(large_trade_flag(T.infer_trades(book(spark, sf)), order=order))
 
 
-@query("bar_count_pivot", f"""
-SELECT symbol, {', '.join(f"count(DISTINCT CASE WHEN trade_date = DATE '2024-01-{d:02d}' THEN {SQL_BAR} END) AS d{d:02d}" for d in range(1, 31))}
-FROM ({SQL_TICKS}) GROUP BY 1""")
+@query("bar_count_pivot", f"""SELECT * FROM (PIVOT (SELECT symbol, strftime(trade_date, 'd%Y_%m_%d') AS day, count(DISTINCT {SQL_BAR}) AS bars FROM ({SQL_TICKS}) GROUP BY ALL)
+  ON day USING CAST(coalesce(sum(bars), 0) AS BIGINT) GROUP BY symbol)""")
 def bar_count_pivot(spark, sf):
-    counts = P.bars_per_day(ticks(spark, sf), bar=BAR).withColumn("day", F.date_format("trade_date", "'d'dd"))
-    return counts.groupBy("symbol").pivot("day", [f"d{d:02d}" for d in range(1, 31)]).agg(F.sum("bars")).na.fill(0)
-
-
+    return P.bar_count_pivot(ticks(spark, sf), bar=BAR)

@@ -112,12 +112,12 @@ def _ids():
     return {"draw": _DRAW, "signal_id": F.col("id"), "control_id": F.col("id")}
 
 
-def _sql_controls(match, fallback=None, n=20, src="sb"):
+def _sql_controls(match, fallback=None, n=20, src="sb", sig="sig"):
     on = lambda keys: " AND ".join(f"s.{k} = c.{k}" for k in keys)
-    fall = "" if fallback is None else f""" UNION ALL SELECT s.id AS sid, c.*, {_SQL_DRAW} AS o FROM sig s JOIN quiet c ON {on(fallback)}
+    fall = "" if fallback is None else f""" UNION ALL SELECT s.id AS sid, c.*, {_SQL_DRAW} AS o FROM {sig} s JOIN quiet c ON {on(fallback)}
     WHERE NOT EXISTS (SELECT 1 FROM quiet c2 WHERE {' AND '.join(f's.{k} = c2.{k}' for k in match)})"""
     return f"""quiet AS (SELECT * FROM {src} WHERE symbol NOT IN (SELECT symbol FROM sig)),
-cand AS (SELECT s.id AS sid, c.*, {_SQL_DRAW} AS o FROM sig s JOIN quiet c ON {on(match)}{fall}),
+cand AS (SELECT s.id AS sid, c.*, {_SQL_DRAW} AS o FROM {sig} s JOIN quiet c ON {on(match)}{fall}),
 ctl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY o, id) AS draw_no FROM cand) WHERE draw_no <= {n})"""
 
 
@@ -165,7 +165,8 @@ def _sql_lift(cols, vol):
     src = "vd" if vol else "sb"
     match = ["trade_date", "ts", "vol_decile"] if vol else ["trade_date", "ts"]
     return f"""WITH {SQL_BARS}, {SQL_SCORED}, {SQL_VOL + ',' if vol else ''} {_sql_top(src, 'score', 0.02)},
-{_sql_controls(match, ['trade_date', 'ts'] if vol else None, 20, src)},
+followed AS (SELECT * FROM sig WHERE EXISTS (SELECT 1 FROM bars b WHERE b.symbol = sig.symbol AND b.trade_date = sig.trade_date AND b.ts > sig.ts)),
+{_sql_controls(match, ['trade_date', 'ts'] if vol else None, 20, src, 'followed')},
  cc AS (SELECT sid AS id, symbol, trade_date, ts, close_price FROM ctl),
 {_sql_moves('ms', 'sig', 'LONG')}, {_sql_moves('mc', 'cc', 'LONG')},
  lg AS ({_sql_long('ms', 'A', cols)} UNION ALL {_sql_long('mc', 'B', cols)}),
@@ -429,22 +430,24 @@ def shuffle_control(spark, sf):
     return O.evaluate(scored, _LABEL, ["fold"])
 
 
-@query("importance")
-def importance(spark, sf):
-    return O.tree_importance(_model_bars(spark, sf), _LABEL, _INPUTS)
+def _per_fold(run):
+    def query_(spark, sf):
+        b = _model_bars(spark, sf)
+        return O.per_fold(b, P.block_folds(b, 3), run, _LABEL, None)
+    return query_
 
 
-@query("permutation_importance")
-def permutation_importance(spark, sf):
-    b = _model_bars(spark, sf)
-    train, val = P.split_fold(b, P.block_folds(b, 3), 1, None)
-    score = O.logistic(max_iter=20)(O.training_rows(train, _LABEL, _INPUTS), _INPUTS)
-    return O.permutation_importance(score, val.where(F.col(_LABEL).isNotNull()), _LABEL, _INPUTS)
+query("importance")(_per_fold(lambda train, val: O.tree_importance(train, _LABEL, _INPUTS)))
+query("coefficients")(_per_fold(lambda train, val: O.coefficients(train, _LABEL, _INPUTS)))
 
 
-@query("coefficients")
-def coefficients(spark, sf):
-    return O.coefficients(_model_bars(spark, sf), _LABEL, _INPUTS)
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    """Every fold, and their mean per feature."""
+    def run(train, val):
+        score = O.logistic(max_iter=20)(O.training_rows(train, _LABEL, _INPUTS), _INPUTS)
+        return O.permutation_importance(score, val.where(F.col(_LABEL).isNotNull()), _LABEL, _INPUTS)
+    return O.fold_means(_per_fold(run)(spark, sf), ["feature"], ["mcc", "mcc_shuffled", "importance"])
 
 
 # --------------------------------------------------------------------------- comparison and audit

@@ -89,7 +89,7 @@ def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 4
         assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
         rows = assembler.transform(train)
         models = [
-            GBTClassifier(labelCol="is_class", weightCol="w", maxIter=rounds, maxDepth=min(depth, 10), stepSize=step,
+            GBTClassifier(labelCol="is_class", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step,
                           seed=seed, checkpointInterval=-1).fit(rows.withColumn("is_class", (F.col("y") == float(i)).cast("double")))
             for i in range(len(CLASSES))
         ]
@@ -127,6 +127,28 @@ def out_of_fold(bars: DataFrame, folds: DataFrame, fit: Fit, label: str, feature
     return reduce(DataFrame.unionByName, parts)
 
 
+def per_fold(bars: DataFrame, folds: DataFrame, run: Callable[[DataFrame, DataFrame], DataFrame], label: str,
+             horizon_min: int | None = 60) -> DataFrame:
+    """run(train, validation) of every fold with a column fold; ``bars`` should be staged.
+
+    Folds whose training rows hold fewer than two classes have nothing to learn from and are left out.
+    """
+    parts = []
+    for row in folds.select("fold").distinct().orderBy("fold").toLocalIterator():
+        train, val = split_fold(bars, folds, row["fold"], horizon_min)
+        if train.where(F.col(label).isNotNull()).select(label).distinct().limit(2).count() == 2:
+            parts.append(run(train, val).withColumn("fold", F.lit(row["fold"])))
+    if not parts:
+        raise ValueError("no fold has training rows of two classes")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fold_means(results: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """The rows of every fold and, with fold NULL, their means per group."""
+    means = results.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values]).withColumn("fold", F.lit(None).cast(results.schema["fold"].dataType))
+    return results.select("fold", *by, *values).unionByName(means)
+
+
 def keyed_out_of_fold(bars: DataFrame, fit: Fit, label: str, features: list[str] | None = None,
                       folds: int = 5) -> DataFrame:
     """As ``out_of_fold`` for rows that carry a fold number by symbol."""

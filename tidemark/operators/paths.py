@@ -106,8 +106,9 @@ def seeded_draw(seed: int = 42) -> Draw:
 def matched_controls(signals: DataFrame, pool: DataFrame, match: list[str], fallback: list[str] | None = None,
                      n: int = 20, draw: Draw | None = None, signal_id: Column | None = None,
                      control_id: Column | None = None, carry: tuple[str, ...] = ("symbol", "ts", "close_price"),
-                     ) -> DataFrame:
-    """Up to ``n`` control bars per signal, drawn without replacement from symbols that never signal.
+                     loud: DataFrame | None = None) -> DataFrame:
+    """Up to ``n`` control bars per signal, drawn without replacement from symbols that never signal
+    (by default, that have none of ``signals``; else none of ``loud``).
 
     Candidates are gathered per match key (at most one per symbol, since a symbol has one bar
     per bar time), joined to each signal by key, ordered by ``draw`` and cut to ``n``.  A signal
@@ -116,7 +117,7 @@ def matched_controls(signals: DataFrame, pool: DataFrame, match: list[str], fall
     draw = draw or seeded_draw()
     sid = signal_id if signal_id is not None else F.concat_ws("|", "symbol", F.col("ts").cast("string"))
     cid = control_id if control_id is not None else F.concat_ws("|", "symbol", F.col("ts").cast("string"))
-    quiet = pool.join(signals.select("symbol").distinct(), "symbol", "left_anti")
+    quiet = pool.join((signals if loud is None else loud).select("symbol").distinct(), "symbol", "left_anti")
     member = F.struct(cid.alias("id"), *[F.col(c).alias(c) for c in carry])
 
     def gathered(on, name):
@@ -152,15 +153,20 @@ def control_lift(bars: DataFrame, score: str, direction: str = "LONG", fraction:
                  fallback: tuple[str, ...] | None = None, metrics: list[str] | None = None,
                  draw: Draw | None = None, signal_id: Column | None = None,
                  control_id: Column | None = None) -> DataFrame:
-    """Signals against matched controls: pooled means, day-clustered difference and t per metric."""
+    """Signals against matched controls: pooled means, day-clustered difference and t per metric.
+
+    A signal on the last bar of its day has no path: it counts in neither group and draws no controls.
+    """
     from tidemark.operators.study import clustered_t
 
     metrics = metrics or METRICS[:-1]
     bars = bars.withColumn("minute_of_day", F.date_format(F.col("ts").cast("timestamp"), "HH:mm"))
     bars = stage(bars)  # read by the ranking, the control pool and both sets of paths
     signals = stage(top_fraction(bars, score, fraction, ["symbol", "ts"]).drop("rn", "n"))
-    controls = matched_controls(signals, bars, list(match), list(fallback) if fallback else None, n_controls,
-                                draw, signal_id, control_id)
+    last = bars.groupBy(*KEYS).agg(F.max("ts").alias("_last"))
+    followed = signals.join(last, list(KEYS)).where(F.col("ts") < F.col("_last")).drop("_last")
+    controls = matched_controls(followed, bars, list(match), list(fallback) if fallback else None, n_controls,
+                                draw, signal_id, control_id, loud=signals)
     moves = lambda s: excursions(s, bars, direction)
     both = long_metrics(moves(signals), "A", metrics).unionByName(long_metrics(moves(controls), "B", metrics))
     return clustered_t(both, ["metric"])

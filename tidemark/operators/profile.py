@@ -121,3 +121,9 @@ def bars_per_day(bars: DataFrame, ts: str = "ts", bar: str = "1 minute") -> Data
     """Distinct bar times per (symbol, day)."""
     return bars.groupBy("symbol", "trade_date").agg(
         F.countDistinct(floor_to(ts, bar)).alias("bars"))
+
+
+def bar_count_pivot(bars: DataFrame, ts: str = "ts", bar: str = "1 minute") -> DataFrame:
+    """Bars per symbol with one column for each day of the data (dYYYY_MM_DD), 0 where a symbol has none."""
+    counts = bars_per_day(bars, ts, bar).withColumn("day", F.date_format("trade_date", "'d'yyyy_MM_dd"))
+    return counts.groupBy("symbol").pivot("day").agg(F.sum("bars")).na.fill(0)

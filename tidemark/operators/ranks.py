@@ -9,6 +9,8 @@ The counts are read three times (cut points, totals, sums), so they are staged o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +18,30 @@ from tidemark.functions.scalars import col
 from tidemark.session import stage
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys meet NULL keys; keys come from the left side."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    met = left.join(renamed, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]))
+    return met.drop(*[f"_r_{k}" for k in keys])
+
+
 def prefix_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None,
                 order: list[str] | None = None, buckets: int = 64, descending: bool = False) -> DataFrame:
     """Adds before_{s} and total_{s}: sums over all rows ordered ahead, and over the group.
 
-    ``order`` lists further sort columns after ``value``.
+    ``order`` lists further sort columns after ``value``.  Rows are ordered by the value itself; its
+    double only chooses the bucket.  NULL values come first, NULL groups are groups.
     """
     by = list(by or [])
     sort_value = -F.col(value) if descending else F.col(value)
-    work = stage(counts.withColumn("_v", sort_value.cast("double")))
+    work = stage(counts.withColumns({"_sorted": sort_value, "_v": sort_value.cast("double")}))
     probs = [i / buckets for i in range(1, buckets)]
     cut = F.percentile_approx("_v", probs, 1000).alias("_cuts")
     if by:
-        work = work.join(work.groupBy(*by).agg(cut), by)
+        work = same_keys(work, work.groupBy(*by).agg(cut), by)
     else:
         work = work.crossJoin(F.broadcast(work.agg(cut)))
-    work = work.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    work = work.withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))).drop("_cuts")
     totals = work.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     # one row per bucket: a small table whatever the size of the data
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -41,12 +51,12 @@ def prefix_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(group).alias(f"total_{s}") for s in sums],
     )
-    inner = (Window.partitionBy(*by, "_b").orderBy("_v", *(order or []))
+    inner = (Window.partitionBy(*by, "_b").orderBy("_sorted", *(order or []))
              .rowsBetween(Window.unboundedPreceding, -1))
     return (
-        work.join(offsets, [*by, "_b"])
+        same_keys(work, offsets, [*by, "_b"])
         .withColumns({f"before_{s}": F.coalesce(F.sum(s).over(inner), F.lit(0)) + F.col(f"_o_{s}") for s in sums})
-        .drop("_v", "_b", *[f"_o_{s}" for s in sums])
+        .drop("_sorted", "_v", "_b", *[f"_o_{s}" for s in sums])
     )
 
 
@@ -86,7 +96,7 @@ def global_rank(df: DataFrame, value: str, order: list[str], by: list[str] | Non
         *by, value, *extra, "before_n", "total_n")
     w = Window.partitionBy(*by, value, *extra).orderBy(*order)
     return (
-        df.join(ahead, [*by, value, *extra])
+        same_keys(df, ahead, [*by, value, *extra])
         .withColumn("rn", F.row_number().over(w) + F.col("before_n"))
         .withColumnRenamed("total_n", "n").drop("before_n")
     )

@@ -25,6 +25,10 @@ SEMANTIC_SETTINGS = {
 
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
+    # streaming state processors are first loaded by a Python process of the driver, which takes this path
+    root = str(Path(__file__).resolve().parent.parent)
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

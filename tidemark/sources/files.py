@@ -46,13 +46,27 @@ def usable_files(files: DataFrame, min_bytes: int = MIN_FILE_BYTES) -> DataFrame
 
 
 def read_tolerant(spark: SparkSession, path: str, columns: list[str] | None = None,
-                  defaults: dict[str, str] | None = None) -> DataFrame:
-    """Parquet with differing schemas: columns united by name, damaged and near-empty files skipped,
-    the day taken from the file name, an absent column filled from another (close_price <- ltp)."""
-    df = (spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(path)
-          .where(F.col("_metadata.file_size") > MIN_FILE_BYTES)
-          .withColumn("date_str", F.regexp_extract(F.col("_metadata.file_name"), SLUG_DAY, 1)))
-    return complete(df, columns, defaults)
+                  defaults: dict[str, str] | None = None, skip_bad: bool = True) -> DataFrame:
+    """Parquet with differing schemas: columns united by name, the day taken from the file name, an absent
+    column filled from another (close_price <- ltp).
+
+    ``skip_bad``: damaged and near-empty files are left out, and ``bad_files`` names them; otherwise the
+    read fails on the first one.
+    """
+    reader = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(skip_bad).lower())
+    df = reader.parquet(path)
+    if skip_bad:
+        df = df.where(F.col("_metadata.file_size") > MIN_FILE_BYTES)
+    return complete(df.withColumn("date_str", F.regexp_extract(F.col("_metadata.file_name"), SLUG_DAY, 1)), columns, defaults)
+
+
+def bad_files(spark: SparkSession, path: str, min_bytes: int = MIN_FILE_BYTES) -> DataFrame:
+    """path, bytes, reason of the files that a tolerant read leaves out: near-empty ones, and those that gave no row."""
+    listed = list_files(spark, [path]).select("path", "bytes")
+    seen = (spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(path)
+            .select(F.col("_metadata.file_path").alias("path")).distinct().withColumn("seen", F.lit(True)))
+    reason = F.when(F.col("bytes") <= min_bytes, "near-empty").when(F.col("seen").isNull(), "unreadable or without rows")
+    return listed.join(seen, "path", "left").withColumn("reason", reason).where("reason IS NOT NULL").drop("seen")
 
 
 def complete(df: DataFrame, columns: list[str] | None = None, defaults: dict[str, str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions.clock import as_utc, exchange_time, in_session, seconds_of
+from tidemark.functions.clock import as_utc, exchange_time, in_session, order_key, seconds_of
 from tidemark.functions.scalars import is_equity
 from tidemark.operators.schema import KEYS, MODEL_FEATURES
 from tidemark.operators.sequences import BYPASS_PROB
@@ -48,8 +48,10 @@ class BarProcessor(StatefulProcessor):
     """Bars and features of one symbol-day.
 
     State: the snapshot before the open bar, the open bar's snapshots, the last twenty bars, the
-    recent trade quantities and the large-trade limit.  A bar closes when a later bar's first
-    snapshot arrives or when the watermark passes its end.
+    recent trade quantities and the large-trade limit.  A bar closes when the watermark passes its
+    end, so the result does not depend on how rows fall into micro-batches; rows behind the
+    watermark are dropped and counted by Spark (``late_rows``).  What is still open at the end of
+    the input comes from ``flush``.
     """
 
     def __init__(self, width_s: int, max_gap_s: float | None):
@@ -64,8 +66,6 @@ class BarProcessor(StatefulProcessor):
             self.handle.registerTimer(_day_end_ms(key[1]))
         state = self._load()
         fresh = pd.concat(list(rows))[K.SNAPSHOT].sort_values(["ts", "seq"], kind="stable")
-        # snapshots of a bar that is already closed cannot be placed any more
-        fresh = fresh[fresh["ts"] >= state["closed_until"]]
         yield from self._advance(key, state, fresh, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -83,7 +83,7 @@ class BarProcessor(StatefulProcessor):
     def _load(self) -> dict:
         if self.blob.exists():
             return json.loads(self.blob.get()[0])
-        return {"before": [], "open": [], "bars": [], "recent": [], "limit": None, "closed_until": 0, "timer": None}
+        return {"before": [], "open": [], "bars": [], "recent": [], "limit": None, "timer": None}
 
     def _advance(self, key, state, fresh, watermark) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame(state["open"], columns=K.SNAPSHOT)
@@ -92,17 +92,14 @@ class BarProcessor(StatefulProcessor):
             return
         rows = rows.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
         start = rows["ts"] - rows["ts"] % self.width
-        done = start < start.iloc[-1]
-        if watermark is not None:
-            done |= start + self.width <= watermark
+        done = start + self.width <= (-1 if watermark is None else watermark)
         if done.any():
             closing = rows[done]
             yield self._close(key, state, closing)
             state["before"] = closing[K.SNAPSHOT].iloc[-1:].to_numpy().tolist()
-            state["closed_until"] = int(start[done].iloc[-1]) + self.width
         state["open"] = rows.loc[~done, K.SNAPSHOT].to_numpy().tolist()
         if state["open"]:
-            self._set_timer(state, int(start.iloc[-1]) + self.width)
+            self._set_timer(state, int(start[~done].iloc[0]) + self.width)
         self.blob.update((json.dumps(state),))
 
     def _set_timer(self, state, end_us: int) -> None:
@@ -151,7 +148,7 @@ def live_bars(snapshots: DataFrame, bar: str = "1 minute", delay: str = DEFAULT_
 def book_bars_stream(snapshots: DataFrame, bar: str = "1 minute", delay: str = DEFAULT_DELAY) -> DataFrame:
     """Price and book part of the bars as a plain watermarked window aggregate (no Python)."""
     df = snapshots.withColumn("event_time", as_utc("ts")).withWatermark("event_time", delay)
-    order = F.unix_micros("event_time")
+    order = order_key("event_time", "seq")
     return df.groupBy("symbol", "trade_date", F.window("event_time", bar)).agg(
         F.min_by("ltp", order).alias("open_price"), F.max("ltp").alias("high_price"), F.min("ltp").alias("low_price"),
         F.max_by("ltp", order).alias("close_price"), F.avg("ltp").alias("ltp"),
@@ -269,16 +266,31 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = Tru
     return query
 
 
-def state_summary(signals: DataFrame) -> DataFrame:
-    """Signals and misses per direction and reason."""
-    return signals.groupBy("direction", "rejection_reason").agg(F.count(F.lit(1)).alias("n"))
+def late_rows(query) -> int:
+    """Rows that a finished or running query dropped because they came behind its watermark (last hundred batches)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def flush(spark: SparkSession, checkpoint: str, bar: str = "1 minute", max_gap_s: float | None = 3600.0) -> DataFrame:
+    """Bars that a stopped ``live_bars`` query still holds open, from its state: the end of the input.
 
+    ``bar`` and ``max_gap_s`` as in the query.  The state itself is left as it is, so the query can go on later.
+    """
+    prepare_session(spark)
+    kept = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "day").load()
+    kept = kept.select("key.symbol", "key.trade_date", F.col("value.blob").alias("blob"))
+    processor = BarProcessor(seconds_of(bar), max_gap_s)
+
+    def close(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                state = json.loads(r.blob)
+                if state["open"]:
+                    rows = pd.DataFrame(state["open"], columns=K.SNAPSHOT)
+                    yield processor._close((r.symbol, r.trade_date), state, rows)
+    return kept.mapInPandas(close, BAR_SCHEMA)
 
-def bars_closed_by(bars: DataFrame, watermark, bar: str) -> DataFrame:
-    """Bars a stream has emitted by the time its watermark stands at ``watermark``: those with a later
-    bar in their day, and those whose end it has passed."""
-    from pyspark.sql import Window
 
-    later = F.lead("ts").over(Window.partitionBy(*KEYS).orderBy("ts")).isNotNull()
-    ended = F.col("ts").cast("timestamp") + F.expr(f"INTERVAL {seconds_of(bar)} SECONDS") <= watermark
-    return bars.where(F.col("ts").isNotNull()).withColumn("_c", later | ended).where("_c").drop("_c")
+def state_summary(signals: DataFrame) -> DataFrame:
+    """Signals and misses per direction and reason."""
+    return signals.groupBy("direction", "rejection_reason").agg(F.count(F.lit(1)).alias("n"))
