@@ -13,6 +13,7 @@ HEADLINE = [
     "clean_book", "infer_trades", "book_bars", "ohlc_bars", "bars_with_trades", "large_trade_flag", "lineitem_trade_bars",
     "asof_nearest", "valid_windows", "feature_matrix", "label_matrix", "double_momentum_exits", "alert_trigger_detail",
     "hold_alert_roc", "event_study", "excursion_profile", "control_lift", "decile_table", "average_precision",
+    "oof_lr", "oof_rf", "oof_gbt", "stream_features",
 ]
 
 

@@ -531,7 +531,7 @@ def hold_sweep(spark, sf):
     return S.trade_metrics(trades, ["strategy", "horizon", "expiry"])
 
 
-@query("best_config")
+@query("best_config", f"""SELECT * FROM ({SQL['hold_sweep']}) ORDER BY CASE WHEN num_trades >= 20 THEN 0 ELSE 1 END, mean_pnl DESC, horizon, expiry LIMIT 1""")
 def best_config(spark, sf):
     trades = H.hold_trades(predicted(spark, sf), strategies=("model_roc",), horizons=_HOLD, expiries=_HEXP, limit=_LIMIT)
     return best_row(S.trade_metrics(trades, ["strategy", "horizon", "expiry"]),

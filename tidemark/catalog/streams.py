@@ -74,12 +74,13 @@ def stream_features(spark, sf):
     return naive_ts(rounded(out, *MODEL_FEATURES, "roc_3", places=5))
 
 
-@query("stream_book_bars")
+@query("stream_book_bars", f"""{_SQL_LIVE} SELECT symbol, trade_date, ts, {', '.join(f'rd({c}, 5) AS {c}' for c in _PX)} FROM live
+  WHERE ts + INTERVAL '15 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '2 minutes'""")
 def stream_book_bars(spark, sf):
-    """The JVM-only window aggregate; bars close when the watermark passes them."""
+    """The JVM-only window aggregate; it emits the bars that the watermark has passed, as append mode does."""
     place = _place(spark)
     L.run_to_table(L.book_bars_stream(_stream(spark, sf), BAR), f"{place}/bars", f"{place}/ckpt")
-    return naive_ts(spark.read.parquet(f"{place}/bars").select(*_HEAD, *_PX))
+    return naive_ts(rounded(spark.read.parquet(f"{place}/bars").select(*_HEAD, *_PX), *_PX, places=5))
 
 
 def _score(bars):
