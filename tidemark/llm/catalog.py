@@ -106,4 +106,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats, op8_suffix_tree_lm, op9_ngram_jaccard, op10_media_columns]
 QUERIES = {fn.__name__: shipped(fn) for fn in OPERATORS} | {"pipeline": shipped(corpus_pipeline.run)}
-SQL = {"op1_license_scan": oracle.license_scan(), "op5_quality_rules": oracle.quality_rules(), "op6_sharding": oracle.sharding(SHARDS)}
+SQL = {"op1_license_scan": oracle.license_scan(),
+       "op5_quality_rules": oracle.quality_rules(), "op6_sharding": oracle.sharding(SHARDS),
+       "op7_suffix_repeats": oracle.repeats(repeats.LENGTH), "op9_ngram_jaccard": oracle.near_classes(jaccard.WORDS, jaccard.THRESHOLD)}

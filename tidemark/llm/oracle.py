@@ -1,4 +1,4 @@
-"""SQL checks of the native operators, for DuckDB over the same tables."""
+"""SQL checks, for DuckDB over the same tables."""
 
 from __future__ import annotations
 
@@ -109,3 +109,35 @@ placed AS (SELECT *, row_number() OVER (ORDER BY f, s, o, doc_id) - 1 AS p, coun
 SELECT doc_id, CAST(len + 16 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * {shards} // total AS INTEGER) AS shard,
   CAST(p - ((p * {shards} // total) * total + {shards - 1}) // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM placed JOIN crc USING (rid)"""
+
+
+def repeats(length: int) -> str:
+    """Every string of every text by its digest; removed runs from the starts of those that occur twice."""
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, s, md5(b[s:s + {length - 1}]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - {length - 2})) AS s FROM d)),
+twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+marked AS (SELECT rid, s, CASE WHEN s > lag(s) OVER (PARTITION BY rid ORDER BY s) + {length} THEN 1 ELSE 0 END AS fresh FROM twice),
+runs AS (SELECT rid, min(s) AS a, max(s) + {length - 1} AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS g FROM marked) GROUP BY rid, g),
+gaps AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) + 1 AS p, a - 1 AS q FROM runs UNION ALL SELECT rid, max(z) + 1, NULL FROM runs GROUP BY rid),
+kept AS (SELECT rid, string_agg(CASE WHEN q IS NULL THEN hex(b[p:octet_length(b)]) WHEN q >= p THEN hex(b[p:q]) ELSE '' END, '' ORDER BY p) AS h FROM gaps JOIN d USING (rid) GROUP BY rid),
+sums AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed FROM runs GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN sums USING (rid)"""
+
+
+def near_classes(words: int, threshold: float) -> str:
+    """All pairs that share an n-gram, their exact similarity, and what the links connect."""
+    window = ", ' ', ".join(f"w[i + {k}]" for k in range(words))
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT rid, g FROM (
+  SELECT rid, concat({window}) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {words - 2})) AS i FROM d WHERE len(w) >= {words})
+  UNION ALL SELECT rid, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {words - 1})),
+sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+shared AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM grams x JOIN grams y USING (g) WHERE x.rid <> y.rid GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b, c = p.n AND c = q.n AS same FROM shared JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b WHERE c >= {threshold} * (p.n + q.n - c)),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT a AS rid, min(d.doc_id) AS class_id FROM reach JOIN d ON d.rid = reach.b GROUP BY a),
+equal_sets AS (SELECT a AS rid, min(d.doc_id) AS other FROM links JOIN d ON d.rid = b WHERE same GROUP BY a),
+counts AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(other, doc_id)) AS set_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM d JOIN classes USING (rid) LEFT JOIN equal_sets USING (rid) LEFT JOIN counts USING (rid)"""
