@@ -200,8 +200,8 @@ def strategy(spark, sf):
 SELECT pair, direction, symbol, trade_date, max(i0) AS i_theta, max(i1) AS i_mark1, max(i2) AS i_between, max(i3) AS i_trigger FROM s3 GROUP BY ALL""")
 def double_momentum(spark, sf):
     steps = Q.double_momentum(scored_bars(spark, sf), Q.pair_table(spark))
-    return steps.groupBy("pair", "direction", "symbol", "trade_date").agg(
-        *[F.max(c).cast("bigint").alias(c) for c in ("i_theta", "i_mark1", "i_between", "i_trigger")])
+    return steps.select("pair", "direction", "symbol", "trade_date",
+                        *[F.col(c).cast("bigint").alias(c) for c in ("i_theta", "i_mark1", "i_between", "i_trigger")])
 
 
 @query("double_momentum_exits", f"""WITH {SQL_BARS}, {SQL_SEQ}

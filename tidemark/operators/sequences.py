@@ -2,14 +2,14 @@
 
 Per (symbol, day, direction, threshold pair): the first bar whose probability reaches the
 threshold; then the first later bar with momentum at or beyond the mark; then the first later
-bar back under it; then the first later bar beyond it again (the trigger).  Each step is one
-conditional minimum over the same partitioning, so all steps share a single shuffle and no
-row-by-row state is needed.  A group is one symbol-day of bars for one pair.
+bar back under it; then the first later bar beyond it again (the trigger).  A symbol-day is
+gathered once and every step is a search of its array, so the bars are shuffled once and never
+multiplied by the parameters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import exchange_time, slug
@@ -60,71 +60,53 @@ def day_metrics(bars: DataFrame, keys: tuple[str, ...] = KEYS, extra: tuple = ()
 
 
 def double_momentum(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
-                    keys: tuple[str, ...] = KEYS, threshold: float = ROC_THRESHOLD) -> DataFrame:
-    """Every bar of every (pair, direction) with the row indices of the four steps.
+                    keys: tuple[str, ...] = KEYS, threshold: float = ROC_THRESHOLD, extra: tuple = ()) -> DataFrame:
+    """One row per (symbol-day, pair, direction): the bars of the four steps, their row numbers, and day facts.
 
-    Whole days whose probability never reaches a threshold are kept (they report NO_ALERT),
-    but they pass through the windows as one row, not as a day of bars.
+    A day is gathered once, by the aggregate that also gives its facts, into an array of at most one
+    element per bar time.  Parameters meet that one row, and each step is a search of the array;
+    a day whose probability never reaches a threshold meets it without its bars.
     """
-    day = Window.partitionBy(*keys)
-    ordered = day.orderBy("ts")
-    base = bars.withColumns({
-        "rn": F.row_number().over(ordered),
-        "clock": exchange_time("ts"),
-        "best_long": F.max("prob_long").over(day),
-        "best_short": F.max("prob_short").over(day),
-    })
-    # pairs is a parameter table of a few dozen rows
-    spread = base.crossJoin(F.broadcast(pairs))
+    bar = F.struct(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), exchange_time("ts").alias("clock"), F.col("ltp").cast("double").alias("ltp"),
+        F.col("prob_long").alias("prob_long"), F.col("prob_short").alias("prob_short"), F.col(roc_col).cast("double").alias("roc"),
+        F.col("delta_1m").cast("double").alias("delta"))
+    days = day_metrics(bars, keys, (
+        F.sort_array(F.collect_list(bar)).alias("_day"), F.max("prob_long").alias("max_prob_long"), F.max("prob_short").alias("max_prob_short"), *extra))
+    days = days.withColumn("_day", F.transform("_day", lambda x, i: F.struct((i + 1).alias("rn"), x.alias("b"))))
     is_long = F.col("direction") == "LONG"
-    spread = spread.withColumns({
-        "prob": F.when(is_long, F.col("prob_long")).otherwise(F.col("prob_short")),
-        "move": F.when(is_long, F.col(roc_col)).otherwise(-F.col(roc_col)),
-        "best": F.when(is_long, F.col("best_long")).otherwise(F.col("best_short")),
-    }).where((F.col("best") >= F.col("theta")) | (F.col("rn") == 1))
-    run = Window.partitionBy(*keys, "pair", "direction")
-    rn = F.col("rn")
-    beyond, under = F.col("move") >= threshold, F.col("move") < threshold
-    first = lambda c: F.min(F.when(c, rn)).over(run)
-    return (
-        spread.withColumn("i_theta", first(F.col("prob") >= F.col("theta")))
-        .withColumn("i_mark1", first((rn > F.col("i_theta")) & beyond))
-        .withColumn("i_between", first((rn > F.col("i_mark1")) & under))
-        .withColumn("i_trigger", first((rn > F.col("i_between")) & beyond))
-    )
+    best = F.when(is_long, F.col("max_prob_long")).otherwise(F.col("max_prob_short"))
+    # pairs is a parameter table of a few dozen rows
+    out = days.crossJoin(F.broadcast(pairs)).withColumn("_day", F.when(best >= F.col("theta"), F.col("_day")))
+    prob = lambda x: F.when(is_long, x["b"]["prob_long"]).otherwise(x["b"]["prob_short"])
+    move = lambda x: F.when(is_long, x["b"]["roc"]).otherwise(-x["b"]["roc"])
+    first = lambda test: F.get(F.filter("_day", test), F.lit(0))
+    out = out.withColumn("_theta", first(lambda x: prob(x) >= F.col("theta")))
+    out = out.withColumn("_mark1", first(lambda x: (x["rn"] > F.col("_theta.rn")) & (move(x) >= threshold)))
+    out = out.withColumn("_between", first(lambda x: (x["rn"] > F.col("_mark1.rn")) & (move(x) < threshold)))
+    out = out.withColumn("_trigger", first(lambda x: (x["rn"] > F.col("_between.rn")) & (move(x) >= threshold)))
+    return out.withColumns({f"i_{step}": F.col(f"_{step}.rn") for step in ("theta", "mark1", "between", "trigger")})
 
 
 def sequence_trades(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
                     keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The strategy table: one row per (pair, symbol, day, direction), 28 columns plus the pair."""
-    steps = double_momentum(bars, pairs, roc_col, keys)
-    group = [*keys, "pair", "direction"]
-    run = Window.partitionBy(*group)
-    rn, trig = F.col("rn"), F.col("i_trigger")
-    exit_row = F.coalesce(
-        F.min(F.when((rn >= trig) & (F.col("clock") >= ENTRY_CUTOFF), rn)).over(run), F.max("rn").over(run))
-    steps = steps.withColumn("i_exit", exit_row)
-    at = lambda idx, c: F.max(F.when(rn == F.col(idx), F.col(c)))
-    held = (rn >= trig) & (rn <= F.col("i_exit"))
-    found = steps.groupBy(*group, "theta").agg(
-        *[F.max(i).alias(i) for i in ("i_theta", "i_mark1", "i_between", "i_trigger")],
-        at("i_theta", "clock").alias("theta_caught_time"), at("i_mark1", "clock").alias("mark1_ts"),
-        at("i_between", "clock").alias("between_ts"), at("i_trigger", "clock").alias("entry_time_ist"),
-        at("i_trigger", "ltp").alias("entry_price"), at("i_exit", "ltp").alias("raw_exit"),
-        at("i_trigger", roc_col).alias("roc_at_entry"), at("i_trigger", "prob").alias("entry_prob"),
-        at("i_trigger", "delta_1m").alias("entry_delta"),
-        F.max(F.when(held, F.col("ltp"))).alias("held_high"), F.min(F.when(held, F.col("ltp"))).alias("held_low"),
-    )
-    # symbol-day facts come from the bars once, not once per pair
     order = F.unix_micros(F.col("ts").cast("timestamp"))
     earliest_best = lambda c, v: F.max_by(v, F.struct(F.col(c), -order))
-    days = day_metrics(bars, keys, (
-        F.max("prob_long").alias("max_prob_long"), F.max("prob_short").alias("max_prob_short"),
+    steps = double_momentum(bars, pairs, roc_col, keys, extra=(
         *[earliest_best(f"prob_{s}", exchange_time("ts")).alias(f"best_{s}_time") for s in ("long", "short")],
         *[earliest_best(f"prob_{s}", F.col("delta_1m") * F.col("close_price") / 100000.0).alias(f"best_{s}_value")
           for s in ("long", "short")],
     ))
-    return _resolve(found.join(days, list(keys)))
+    late = F.filter("_day", lambda x: (x["rn"] >= F.col("i_trigger")) & (x["b"]["clock"] >= ENTRY_CUTOFF))
+    steps = steps.withColumn("_exit", F.when(F.col("i_trigger").isNotNull(), F.coalesce(F.get(late, F.lit(0)), F.element_at("_day", -1))))
+    held = F.transform(F.slice("_day", F.col("i_trigger"), F.col("_exit.rn") - F.col("i_trigger") + 1), lambda x: x["b"]["ltp"])
+    entry = F.col("_trigger.b")
+    return _resolve(steps.withColumns({
+        "theta_caught_time": F.col("_theta.b.clock"), "mark1_ts": F.col("_mark1.b.clock"), "between_ts": F.col("_between.b.clock"),
+        "entry_time_ist": entry["clock"], "entry_price": entry["ltp"], "raw_exit": F.col("_exit.b.ltp"), "roc_at_entry": entry["roc"],
+        "entry_prob": F.when(F.col("direction") == "LONG", entry["prob_long"]).otherwise(entry["prob_short"]), "entry_delta": entry["delta"],
+        "held_high": F.array_max(held), "held_low": F.array_min(held)}).drop("_day"))
 
 
 def _resolve(t: DataFrame) -> DataFrame:
