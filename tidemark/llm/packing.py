@@ -10,6 +10,7 @@ Pieces find their place by their rank within their length.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from typing import NamedTuple
 
@@ -26,24 +27,55 @@ from tidemark.llm.common import portions, staged
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a worker; the memo starts anew beyond it (speed only).
-MEMO_WORDS = 300_000
+MEMO_WORDS = 450_000
+#: Fixed value: the split of the public word vocabulary.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SLICE = 4_000_000
 ROWS_PER_CHUNK = 20_000
 
 
 class WordIds:
-    """Ids of a tokenizer whose words end at blanks: each distinct word is encoded once while it is remembered."""
+    """Ids of a tokenizer whose words end at blanks: each distinct word is encoded once while it is remembered.
+
+    The tokenizer lower-cases a word and splits it at PARTS; most new words are made of parts that are known already.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends = frozenset(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
+        self.parts_of, self.plain = regex.compile(PARTS).findall, regex.compile(r"[\x21-\x7E\xA1-\xFF]*").fullmatch
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
+        # in this range lower-casing and composing act on single characters, as they do in Python
+        plain = {w: self.parts_of(w.lower()) for w in words if self.plain(w)}
+        fresh = set().union(*plain.values()).difference(self.parts)
+        if len(self.parts) + len(fresh) > MEMO_WORDS:
+            self.parts.clear()
+            fresh = set().union(*plain.values())
+        self.encode(list(fresh))
+        for w, parts in plain.items():
+            self.memo[w] = b"".join(map(self.parts.__getitem__, parts))
+        other = [w for w in words if w not in plain]
+        for lo in range(0, len(other), 1000):
+            for w, e in zip(other[lo:lo + 1000], self.tokenizer.encode_batch_fast(other[lo:lo + 1000], add_special_tokens=False), strict=False):
+                self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def encode(self, parts: list[str]) -> None:
+        """Ids of parts, many to a text; each ends with its first id that ends a word."""
+        for lo in range(0, len(parts), 6400):
+            some = parts[lo:lo + 6400]
+            lines = [some[k:k + 64] for k in range(0, len(some), 64)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, "<u4")
+                stops = [0, *(k + 1 for k, i in enumerate(e.ids) if i in self.ends)]
+                for part, a, b in zip(line, stops[:-1], stops[1:], strict=True):
+                    self.parts[part] = ids[a:b].tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -86,6 +118,7 @@ class WordIds:
 
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return WordIds(path)
 
 
