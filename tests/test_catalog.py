@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.catalog import entries
 from tools.check import TABLES, rows_of
 
-QUICK = ["clean_book", "infer_trades", "bars_with_trades", "window_scores", "label_summary", "double_momentum_exits",
-         "alert_trigger_detail", "time_profile", "audit_list_join"]
+CHECKED = sorted(entries.sql())
 
 
 def test_names():
@@ -21,11 +21,11 @@ def test_flagship(spark):
     assert df.columns[:3] == ["symbol", "trade_date", "ts"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", CHECKED)
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = rows_of(entry.queries()[name](spark, sf).toArrow())
-    want = rows_of(con.execute(entry.oracle_sql()[name]).to_arrow_table())
+    want = rows_of(con.sql(entry.oracle_sql()[name]).to_arrow_table())
     assert got[0] == want[0] and got[1] == want[1]

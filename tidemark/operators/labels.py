@@ -65,22 +65,22 @@ def first_touch_label(bars: DataFrame, threshold: float = 0.015, price: str = "l
                       keys: tuple[str, ...] = KEYS) -> DataFrame:
     """LONG / SHORT by which barrier a later bar of the day touches first, else NO_TRADE.
 
-    Barriers are relative to each bar's own price.  The day is gathered once per group into an
-    array of at most one element per bar time and joined to its bars by key.
+    Barriers are relative to each bar's own price.  A day is one array of at most one element per bar
+    time and is searched where it lies; its bars get back only the two times.
     """
     live = bars.where(exchange_time("ts") < cutoff)
     point = F.struct(F.col("ts").cast("timestamp").alias("t"), F.col(price).alias("p"))
     days = live.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_path"))
-    now, entry = F.col("ts").cast("timestamp"), F.col(price)
 
-    def first_at(test):
-        hits = F.filter("_path", lambda x: (x["t"] > now) & test(x["p"]))
-        return F.when(F.size(hits) > 0, hits[0]["t"])
+    def first_at(x, test):
+        hits = F.filter("_path", lambda y: (y["t"] > x["t"]) & test(y["p"]))
+        return F.get(hits, F.lit(0))["t"]
 
+    touched = days.select(*keys, F.explode(F.transform("_path", lambda x: F.struct(
+        x["t"].alias("_at"), first_at(x, lambda p: p >= x["p"] * (1 + threshold)).alias("up_ts"),
+        first_at(x, lambda p: p <= x["p"] * (1 - threshold)).alias("down_ts")))).alias("_touch")).select(*keys, "_touch.*")
     up, down = F.col("up_ts"), F.col("down_ts")
-    return live.join(days, list(keys)).withColumns({
-        "up_ts": first_at(lambda p: p >= entry * (1 + threshold)),
-        "down_ts": first_at(lambda p: p <= entry * (1 - threshold)),
-    }).drop("_path").withColumn(
+    met = live.withColumn("_at", F.col("ts").cast("timestamp")).join(touched.dropDuplicates([*keys, "_at"]), [*keys, "_at"]).drop("_at")
+    return met.withColumn(
         "first_touch", F.when(up.isNotNull() & (down.isNull() | (up < down)), "LONG")
         .when(down.isNotNull(), "SHORT").otherwise("NO_TRADE"))

@@ -74,7 +74,7 @@ def fold_summary(per_fold: DataFrame, metric: str, by: list[str] | None = None)
     by = list(by or [])
     return per_fold.groupBy(*by).agg(
         F.count(F.lit(1)).alias("folds"), F.avg(metric).alias(f"{metric}_mean"),
-        F.coalesce(F.stddev_pop(metric), F.lit(0.0)).alias(f"{metric}_std"))
+        F.stddev_pop(metric).alias(f"{metric}_std"))
 
 
 def ranked(df: DataFrame, score: str, by: list[str], ties: list[str]) -> DataFrame:

@@ -26,13 +26,15 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prefix_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None,
-                order: list[str] | None = None, buckets: int = 64, descending: bool = False) -> DataFrame:
+                order: list[str] | None = None, buckets: int | None = None, descending: bool = False) -> DataFrame:
     """Adds before_{s} and total_{s}: sums over all rows ordered ahead, and over the group.
 
     ``order`` lists further sort columns after ``value``.  Rows are ordered by the value itself; its
-    double only chooses the bucket.  NULL values come first, NULL groups are groups.
+    double only chooses the bucket.  NULL values come first, NULL groups are groups.  By default there are
+    as many buckets as the session has shuffle partitions, 8 at least.
     """
     by = list(by or [])
+    buckets = buckets or max(8, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sort_value = -F.col(value) if descending else F.col(value)
     work = stage(counts.withColumns({"_sorted": sort_value, "_v": sort_value.cast("double")}))
     probs = [i / buckets for i in range(1, buckets)]

@@ -18,12 +18,14 @@ UNIFIED_TICK = ["ts", "symbol", "ltp", "volume", "oi", "aggressor", "trade_qty",
 
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("trade_date",), mode: str = "overwrite",
-                spread: int = 8, sort: tuple[str, ...] = ("symbol", "ts")) -> None:
+                spread: int | None = None, sort: tuple[str, ...] = ("symbol", "ts")) -> None:
     """Partitioned parquet.  Overwrite replaces only the partitions present in ``df``.
 
     Rows of one partition value are spread over ``spread`` writers by a salt on the symbol and
-    the hour, so a day (or one hot symbol in it) is not written by a single task.
+    the hour, so a day (or one hot symbol in it) is not written by a single task.  By default one in
+    25 of the session's shuffle partitions, so that the number follows the cluster.
     """
+    spread = spread or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 25)
     cols = [F.col(c) for c in by]
     if "symbol" in df.columns and "ts" in df.columns:
         salt = F.pmod(F.xxhash64("symbol", F.date_trunc("hour", F.col("ts").cast("timestamp"))), F.lit(spread))
