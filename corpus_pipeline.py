@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, langid, packing, quality, repeats
-from tidemark.llm.common import crc_mod, staged
-from tidemark.session import ship_package
+from tidemark.llm.common import crc_mod, prepared, staged
 
 #: Least posterior probability of the predicted language.
 LANGUAGE_SCORE = 0.5
@@ -16,7 +15,7 @@ LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without a letter, or with a doubtful prediction, go."""
-    ship_package(spark)
+    prepared(spark)
     model = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
     found = langid.predict(docs, model, prediction="_language", score="_language_score")
     return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LANGUAGE_SCORE)).select(*docs.columns)
@@ -24,20 +23,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voting rules find good."""
-    ship_package(spark)
+    prepared(spark)
     named = docs.select([F.struct(*docs.columns).alias("_row"), F.col("text").alias("text")])
     return quality.judge(named, store=lambda rows: staged(rows.drop("text"), "measured")).where("kept").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    ship_package(spark)
+    prepared(spark)
     return jaccard.first_of_class(docs, jaccard.near_classes(docs)).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which nothing but blanks is left go."""
-    ship_package(spark)
+    prepared(spark)
     cut = repeats.remove_repeats(docs, characters=True)
     text = F.decode("kept", "UTF-8")
     out = cut.withColumn("text", F.when(F.size("removed") == 0, F.decode("text", "UTF-8")).otherwise(text))
@@ -48,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their sequences and offsets."""
-    ship_package(spark)
+    prepared(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import bpe, jaccard, langid, licenses, media, oracle, packing, quality, repeats, sharding, suffix_lm
-from tidemark.llm.common import crc_mod, staged, utf8
-from tidemark.session import ship_package
+from tidemark.llm.common import crc_mod, prepared, staged, utf8
 
 SHARDS = 40
 
@@ -29,7 +28,7 @@ def shipped(fn):
     """The workers need this package's sources."""
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(ship_package(spark), sf_dir)
+        return fn(prepared(spark), sf_dir)
     return run
 
 

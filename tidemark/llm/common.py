@@ -8,15 +8,27 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, ship_package
 
 #: Characters that end a word: space and the five ASCII controls 9 to 13.
 BLANKS = r"\x20\x09-\x0D"
 
 
+#: Bytes of a batch that a Python worker gets at a time, where the session names no size of its own.
+BATCH_BYTES = "8m"
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Workers have this package's sources, and batches of long texts stay small beside them."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return ship_package(spark)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors, goes with the session."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from tidemark.llm.common import crc_mod, portions
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-SLICE = 1 << 20
+SLICE = 1 << 19
 UNKNOWN = "und"
 
 MIX = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
@@ -97,7 +97,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", orders=O
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in portions(batches, "text", 4 << 20):
+        for batch in portions(batches, "text", 1 << 20):
             texts, labels = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             for lang in set(labels):
                 own = [t for t, x in zip(texts, labels, strict=True) if x == lang]
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model, text: str = "text", prediction: str = "lang_
 
     def run(batches):
         weights = shared.value
-        for batch in portions(batches, text, 4 << 20):
+        for batch in portions(batches, text, 1 << 20):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             total = np.tile(prior, (len(texts), 1))
             for numbers, starts, found in grams.slices(texts) if languages else ():

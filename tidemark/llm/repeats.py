@@ -27,9 +27,11 @@ from tidemark.llm.jaccard import mixed
 
 LENGTH = 200
 GRAM = 32
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: An anchor gram with more suffixes than this is counted by whole strings instead of in one task.
 HOT = 20_000
+#: Suffixes that a scan takes at a time, and all of their last gram.
+SCANNED = 5_000
 
 
 class Runs(NamedTuple):
@@ -150,7 +152,7 @@ def suffixes(docs: DataFrame, length: int, gram: int, turned: bool = True) -> Da
 
     def run(batches):
         own = anchors(length, gram)
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, "text", 1 << 20):
             texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
             r = joined_runs(own.runs(texts))
             rows = []
@@ -267,11 +269,11 @@ def scan(rows: DataFrame, length: int, gram: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, HOT):
-                part = batch.slice(lo, HOT)
+            for lo in range(0, batch.num_rows, SCANNED):
+                part = batch.slice(lo, SCANNED)
                 held.append(part)
                 count += part.num_rows
-                if count >= HOT:
+                if count >= SCANNED:
                     table = pa.Table.from_batches(held)
                     grams = table.column("gram").to_numpy()
                     cut = int(np.searchsorted(grams, grams[-1]))  # the last gram may go on
@@ -367,7 +369,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     names = [n for n in met.columns if n not in ("copies", "spans")]
 
     def run(batches):
-        for batch in portions(batches, text):
+        for batch in portions(batches, text, 1 << 20):
             kept, removed = [], []
             for data, copies, own in zip(*(batch.column(c).to_pylist() for c in (text, "copies", "spans")), strict=True):
                 if (copies or 1) > 1 and len(data) >= length:
