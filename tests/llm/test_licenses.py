@@ -41,3 +41,27 @@ def test_own_table_and_ties(spark, docs):
 def test_plan_stays_native(docs):
     plan = licenses.scan(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_licences_with_title_and_holder(docs):
+    bsd = licenses.BSD.format("1. ", "2. ", "3. " + licenses.BSD_THIRD.format("the copyright holder"), *licenses.BSD_PARTIES[0])
+    apache = licenses.TEXTS["Apache-2.0"].strip()
+    bare = apache[apache.index("TERMS AND CONDITIONS FOR USE"):apache.index("APPENDIX: How to apply")]
+    lesser = licenses.TEXTS["LGPL-2.1-only"].replace("51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")
+    files = {
+        1: ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + MIT),
+        2: ("MIT", "The MIT License (MIT)\n\nCopyright The Authors\nCopyright Jane Doe\n\n" + MIT),
+        3: ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, Jane Doe\nAll rights reserved.\n\n" + bsd),
+        4: ("Apache-2.0", apache), 5: ("Apache-2.0", bare), 6: ("LGPL-2.1-only", lesser),
+        7: ("ISC", "ISC License\r\n\r\nCopyright Jane Doe <jane@example.org>\r\n\r\n" + licenses.KNOWN[1][1].replace("\n", "\r\n")),
+        8: ("Unlicense", next(t for n, t in licenses.KNOWN if n == "Unlicense")),
+        **{20 + k: (n, t) for k, (n, t) in enumerate(licenses.TEXTS.items())},
+    }
+    got = found(licenses.scan(docs([(k, t) for k, (_, t) in files.items()])))
+    assert {k: got[k, 0] for k in files} == {k: n for k, (n, _) in files.items()}
+
+
+def test_running_text_about_copyright_stays(spark):
+    lines = ["copyright notice and this permission notice shall be included in all copies", "copyright holder.", "copyright law:", "Copyright is a right of authors to works of theirs"]
+    df = spark.createDataFrame([(x,) for x in lines], "text string").select(licenses.canonical("text").alias("t"))
+    assert all(r.t for r in df.collect())

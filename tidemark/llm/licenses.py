@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.license_texts import TEXTS
+
 #: Spellings that count as equal, as in the public matching guidelines for licence texts.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
@@ -39,8 +41,8 @@ SPELLINGS = {
     "wilful": "willful",
 }
 
-#: Licences and notices that are known from the start, by SPDX identifier.
-KNOWN = [
+#: Short licences and notices that are known from the start, by SPDX identifier.
+SHORT = [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
@@ -78,9 +80,99 @@ governing permissions and limitations under the License."""),
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""),
 ]
 
-COPYRIGHT_LINE = r"(^|\n)[^\n\p{L}\p{N}]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[)|©|\(c\))[^\n]*"
+#: Title lines under which short licences are distributed.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                     "Modified BSD License", "BSD License", "The BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+#: Lines of an entire text that files of it often lack: its title, and the line at which an appendix begins.
+TITLE_LINES = {"Apache-2.0": 3, "GPL-1.0-only": 2, "GPL-2.0-only": 2, "GPL-3.0-only": 2, "LGPL-2.0-only": 2, "LGPL-2.1-only": 2, "LGPL-3.0-only": 2,
+               "MPL-1.1": 2, "MPL-2.0": 1, "CC0-1.0": 2, "CC-BY-SA-4.0": 1, "GFDL-1.3-only": 2}
+APPENDIX = ("appendix: how to apply", "how to apply these terms", "addendum: how to use", "exhibit a")
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+             "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"]
+
+#: The two and three clauses, by numbering of the clauses, by name in the third, and by who provides the software.
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+{2}THIS SOFTWARE IS PROVIDED BY THE {3} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {4} BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_THIRD = """Neither the name of {0} nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+BSD_NAMES = ["the copyright holder", "the copyright holders", "the University", "the author", "the project", "the organization", "the <organization>"]
+BSD_PARTIES = [("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"), ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS"),
+               ("REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"), ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"),
+               ("AUTHORS AND CONTRIBUTORS", "AUTHORS OR CONTRIBUTORS"), ("AUTHOR", "AUTHOR")]
+
+
+def _bsd() -> list[tuple[str, str]]:
+    out = []
+    for one, two, three in (("1. ", "2. ", "3. "), ("(1) ", "(2) ", "(3) "), ("a. ", "b. ", "c. "), ("* ", "* ", "* ")):
+        for party in BSD_PARTIES:
+            out.append(("BSD-2-Clause", BSD.format(one, two, "", *party)))
+            out += [("BSD-3-Clause", BSD.format(one, two, three + BSD_THIRD.format(name), *party)) for name in BSD_NAMES]
+    return out
+
+
+def _whole(name: str, text: str) -> list[str]:
+    """An entire text as published, and without its title, its appendix or both; with the former addresses of its steward."""
+    lines = text.strip("\n").split("\n")
+    at = next((k for k, x in enumerate(lines) if x.strip().lower().startswith(APPENDIX)), len(lines))
+    title = [k for k, x in enumerate(lines) if any(map(str.isalnum, x))][TITLE_LINES[name]]
+    cuts = ["\n".join(lines[lo:hi]) for lo in (0, title) for hi in {at, len(lines)}]
+    have = next((a for a in ADDRESSES if a in " ".join(text.split())), None)
+    narrow = ["\n".join(" ".join(x.split()) for x in cut.split("\n")) for cut in cuts]
+    return narrow if have is None else [cut.replace(have, other) for cut in narrow for other in ADDRESSES]
+
+
+def _known() -> list[tuple[str, str]]:
+    short = SHORT + _bsd()
+    # a licence of several paragraphs is a text to which a title belongs; notices of one line have none
+    titled = [(name, f"{title}\n\n{text}") for name, text in short if "\n" in text for title in TITLES.get(name, ())]
+    return short + titled + [(name, t) for name, text in TEXTS.items() for t in _whole(name, text)]
+
+
+#: All licences and notices that are known from the start, by SPDX identifier.
+KNOWN = _known()
+
+#: A line that begins with "copyright" and a year, sign or placeholder, or that is "copyright" and a holder: up to five words, of which
+#: the last ends in a letter, digit or ">", or names a company or group.  Lines of running text are longer or end a sentence.
+NAME = r"[\p{L}<][\p{L}\p{N}'’.,&@<>_+-]*"
+COPYRIGHT_LINE = (
+    r"(^|\n)[^\n\p{L}\p{N}]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[)|©|\(c\)|"
+    rf"copyright[ \t]+(by[ \t]+)?({NAME}[ \t]+){{0,4}}([\p{{L}}<]|{NAME}[\p{{L}}\p{{N}}>]|inc\.|ltd\.|co\.|corp\.)"
+    r"([ \t.,]+all rights reserved\.?)?[ \t\r]*(?m:$))[^\n]*")
 RESERVED = r"all rights reserved\.?"
 NEITHER = r"[^\p{L}\p{N}\n]+"
 
@@ -98,7 +190,7 @@ def levelled(text: str | Column) -> Column:
 
 def canonical(text: str | Column) -> Column:
     """One line of lower-case words, one space apart; empty for NULL and for texts without letters and digits."""
-    return F.trim(F.regexp_replace(levelled(text), r" *\n *", " "))
+    return F.trim(F.regexp_replace(levelled(text), r"[ \n]+", " "))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -119,6 +211,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, unit, digest, license_id: unit 0 is the entire text of each document (license_id NULL if it is no known
     licence); unit k is its k-th line, present only if that entire line is a known licence or notice.
 
+    The digest of unit 0 has one space for each line break; licences are matched without regard to the number of breaks, so
+    that blank lines and removed copyright lines between paragraphs do not count.
     NULL, empty and wordless texts have the digest of the empty form and no licence.  A text of one line is
     judged as unit 0 and as unit 1.  Equal rows give equal results for each row.  The planner broadcasts the
     digests if it knows them to be small, and else shuffles both sides by digest.
@@ -129,5 +223,6 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     entire = F.array(F.trim(F.regexp_replace("lines", r" *\n *", " ")))
     units = level.select("doc_id", F.posexplode(F.concat(entire, F.split("lines", "\n"))).alias("unit", "words"))
     units = units.select("doc_id", "unit", F.trim("words").alias("words")).where("unit = 0 OR words <> ''")
-    hashed = units.select("doc_id", "unit", F.sha2("words", 256).alias("digest"))
-    return hashed.join(digests, "digest", "left").where("unit = 0 OR license_id IS NOT NULL").select("doc_id", "unit", "digest", "license_id")
+    hashed = units.select("doc_id", "unit", F.sha2("words", 256).alias("digest"), F.sha2(F.regexp_replace("words", " +", " "), 256).alias("known_digest"))
+    found = hashed.join(digests.withColumnRenamed("digest", "known_digest"), "known_digest", "left")
+    return found.where("unit = 0 OR license_id IS NOT NULL").select("doc_id", "unit", "digest", "license_id")
