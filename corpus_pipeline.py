@@ -14,11 +14,14 @@ LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without a letter, or with a doubtful prediction, go."""
+    """Documents whose language is identified; those without a letter, with a doubtful prediction, or whose n-grams are less
+    probable than those of labelled rows of the predicted language that were not learned from, go."""
     prepared(spark)
     model = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
-    found = langid.predict(docs, model, prediction="_language", score="_language_score")
-    return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    bounds = langid.calibrate(docs.where(crc_mod("doc_id", 4) == 2), model)
+    found = langid.predict(docs, model, prediction="_language", score="_language_score", fit="_language_fit")
+    sure = (F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LANGUAGE_SCORE)
+    return found.where(sure & langid.fits(bounds, "_language", "_language_fit")).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

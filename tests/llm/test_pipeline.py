@@ -75,3 +75,20 @@ def test_empty_table(spark, docs, sf):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, sf)
     assert df.collect() == []
+
+
+def test_unlearned_languages_and_noise_go(spark, docs, sf):
+    import random
+    draw = random.Random(0)
+    words = {
+        "en": "the house stands on a green hill and every morning people walk down to the river with their children because water is good there in summer".split(),
+        "de": "das haus steht auf einem hohen berg und jeden morgen gehen die leute mit ihren kindern zum fluss weil das wasser dort im sommer gut ist".split(),
+    }
+    rows = [(k, " ".join(draw.choices(words[lang], k=draw.randint(20, 200))), lang, "s", 1) for k, lang in enumerate(["en", "de"] * 150)]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 3
+    noise = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz   ", k=900))
+    code = "for (int i = 0; i < n; i++) { if (a[i] > max) { max = a[i]; } } return max; " * 5
+    odd = [(1001, finnish, None, "s", 1), (1002, noise, None, "s", 1), (1003, code, None, "s", 1), (1004, "Все люди рождаются свободными и равными", None, "s", 1)]
+    short = [(2001, "The house stands on a hill.", None, "s", 1), (2002, "Das Wasser ist gut.", None, "s", 1)]
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs(rows + odd + short), sf).collect()}
+    assert got == {r[0] for r in rows + short}

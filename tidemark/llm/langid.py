@@ -20,6 +20,9 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 SLICE = 1 << 19
+#: Allowance below a language's usual score per n-gram, in standard deviations; calibration rows that a language needs for its own bound.
+DEVIATIONS = 6.0
+LEAST_ROWS = 5
 UNKNOWN = "und"
 
 MIX = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
@@ -127,15 +130,19 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", orders=O
 
 
 def predict(docs: DataFrame, model, text: str = "text", prediction: str = "lang_pred", score: str = "score",
-            orders=ORDERS) -> DataFrame:
+            orders=ORDERS, fit: str | None = None) -> DataFrame:
     """Adds the most probable language and its posterior probability, from the whole text alone.
 
+    The posterior compares the known languages only, and nears 1 with the length of any text.  `fit` names a column more, for
+    the mean log probability of the text's n-grams in that language, which does not, and `fit`_n for their number.
+
     NULL, and texts without a letter: `und` with score 0; so is every text if the model knows no language.
     Equal posteriors go to the first language by name.  Former columns of these names are replaced.
     """
     languages, prior, logs = model
-    docs = docs.drop(prediction, score)
-    schema = docs.withColumns({prediction: F.lit("").cast("string"), score: F.lit(0.0)}).schema
+    docs = docs.drop(prediction, score, *([fit, f"{fit}_n"] if fit else []))
+    more = {fit: F.lit(0.0), f"{fit}_n": F.lit(0).cast("long")} if fit else {}
+    schema = docs.withColumns({prediction: F.lit("").cast("string"), score: F.lit(0.0)} | more).schema
     names = schema.names
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))  # languages x buckets
     grams = Grams(orders, logs.shape[0])
@@ -145,9 +152,12 @@ def predict(docs: DataFrame, model, text: str = "text", prediction: str = "lang_
         for batch in portions(batches, text, 1 << 20):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             total = np.tile(prior, (len(texts), 1))
+            size = np.zeros(len(texts), np.int64)
             for numbers, starts, found in grams.slices(texts) if languages else ():
                 for begin, buckets in zip(starts, found, strict=True):
-                    some = np.diff(np.append(begin, len(buckets))) > 0
+                    each = np.diff(np.append(begin, len(buckets)))
+                    some = each > 0
+                    np.add.at(size, numbers, each)
                     if some.any():
                         for k in range(len(languages)):
                             np.add.at(total[:, k], numbers[some], np.add.reduceat(weights[k][buckets], begin[some]))
@@ -156,10 +166,44 @@ def predict(docs: DataFrame, model, text: str = "text", prediction: str = "lang_
             sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if languages else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()),
-                 pa.array(np.where(known, sure, 0.0))], names=names)
+                 pa.array(np.where(known, sure, 0.0)), *([pa.array(usual(total, best, size)), pa.array(size)] if fit else [])], names=names)
+
+    def usual(total, best, size):
+        if not languages:
+            return np.zeros(len(size))
+        return (total[np.arange(len(best)), best] - prior[best]) / np.maximum(size, 1)
     return docs.mapInArrow(run, schema)
 
 
+def calibrate(labelled: DataFrame, model, text: str = "text", label: str = "lang", orders=ORDERS) -> dict[str, tuple[float, float, float]]:
+    """language: (usual mean log probability of a text's n-grams, its deviation between texts, variance of one n-gram).
+
+    From labelled rows that the model has not learned from: quartiles of the rows that it gives their own label, so that a
+    few rows of noise do not widen them.  A language with less than LEAST_ROWS rows has the widest bound of the others; if all
+    have less, there are no bounds.  One row for each language reaches the driver.
+    """
+    languages, _, logs = model
+    found = predict(labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label")), model, orders=orders, fit="fit")
+    rows = found.where("lang_pred = label").groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("fit", [0.25, 0.5, 0.75], 100_000).alias("q")).collect()
+    share = np.exp(logs)
+    one = ((share * logs ** 2).sum(axis=0) - (share * logs).sum(axis=0) ** 2).tolist()
+    own = {r.label: (r.q[1], (r.q[2] - r.q[0]) / 1.349) for r in rows if r.n >= LEAST_ROWS}
+    if not own:
+        return {}
+    widest = min(m for m, _ in own.values()), max(d for _, d in own.values())
+    return {lang: (*own.get(lang, widest), one[k]) for k, lang in enumerate(languages)}
+
+
+def fits(bounds: dict[str, tuple[float, float, float]], prediction: str = "lang_pred", fit: str = "fit", orders=ORDERS, deviations: float = DEVIATIONS) -> Column:
+    """Whether a text's n-grams are as probable as those of its predicted language usually are; short texts have more play."""
+    out = F.lit(True)
+    for lang, (middle, spread, one) in bounds.items():
+        # every character is in one n-gram of each order, and these vary together
+        play = deviations * F.sqrt(F.lit(spread ** 2) + F.lit(len(orders) * one) / F.greatest(F.col(f"{fit}_n"), F.lit(1)))
+        out = F.when(F.col(prediction) == lang, F.col(fit) >= F.lit(middle) - play).otherwise(out)
+    return out
+
+
 def held_out(key: str | Column = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """True for rows of the test fold by crc32 of the key's text; false for a NULL key."""
     return F.coalesce(crc_mod(key, folds) == fold, F.lit(False))
