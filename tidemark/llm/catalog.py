@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, jaccard, langid, licenses, media, oracle, packing, quality, repeats, sharding, suffix_lm
+from tidemark.llm import bpe, collocations, jaccard, langid, licenses, media, neighbours, oracle, packing, quality, repeats, sharding, suffix_lm, variants
 from tidemark.llm.common import crc_mod, prepared, staged, utf8
 
 SHARDS = 40
+QUERIES_EVERY = 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +104,28 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("keyframes="), F.array_join(ranges, ","))).alias("feature"))
 
 
-OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats, op8_suffix_tree_lm, op9_ngram_jaccard, op10_media_columns]
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words, and the frequent word that each leads to."""
+    return variants.group_variants(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by the score of their weakest cut."""
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 20."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, F.pmod("id", F.lit(QUERIES_EVERY)) == 0)
+
+
+OPERATORS = [op1_license_scan, op2_best_fit_packing, op3_byte_bpe, op4_language_id, op5_quality_rules, op6_sharding, op7_suffix_repeats,
+             op8_suffix_tree_lm, op9_ngram_jaccard, op10_media_columns, op11_spelling_variants, op12_collocations, op13_nearest_vectors]
 QUERIES = {fn.__name__: shipped(fn) for fn in OPERATORS} | {"pipeline": shipped(corpus_pipeline.run)}
 SQL = {"op1_license_scan": oracle.license_scan(),
        "op5_quality_rules": oracle.quality_rules(), "op6_sharding": oracle.sharding(SHARDS),
-       "op7_suffix_repeats": oracle.repeats(repeats.LENGTH), "op9_ngram_jaccard": oracle.near_classes(jaccard.WORDS, jaccard.THRESHOLD)}
+       "op7_suffix_repeats": oracle.repeats(repeats.LENGTH), "op9_ngram_jaccard": oracle.near_classes(jaccard.WORDS, jaccard.THRESHOLD),
+       "op11_spelling_variants": oracle.spelling_variants(variants.SLIP, variants.MIN_LENGTH, variants.MIN_COUNT),
+       "op12_collocations": oracle.collocations(collocations.LONGEST, collocations.MIN_COUNT, collocations.TOP, collocations.COVERED),
+       "op13_nearest_vectors": oracle.nearest_vectors(neighbours.K, QUERIES_EVERY)}

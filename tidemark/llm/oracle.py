@@ -141,3 +141,53 @@ equal_sets AS (SELECT a AS rid, min(d.doc_id) AS other FROM links JOIN d ON d.ri
 counts AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
 SELECT doc_id, least(doc_id, coalesce(other, doc_id)) AS set_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links
 FROM d JOIN classes USING (rid) LEFT JOIN equal_sets USING (rid) LEFT JOIN counts USING (rid)"""
+
+
+#: State of a crc32 after each value of its lowest eight bits.
+CRC_TABLE = """(SELECT list(c ORDER BY n) AS t FROM (WITH RECURSIVE r AS (SELECT n, 0 AS k, CAST(n AS BIGINT) AS c FROM range(256) AS a(n) UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM r WHERE k < 8) SELECT n, c FROM r WHERE k = 8))"""
+
+
+def spelling_variants(slip: int, min_length: int, min_count: int) -> str:
+    """Near words share what is left after deleting a letter, or one is what is left of the other."""
+    letters = "[A-Za-zÀ-ÿ]+"
+    return f"""WITH RECURSIVE runs AS (SELECT doc_id, w, count(*) AS n FROM (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{letters}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) GROUP BY ALL),
+keyed AS (SELECT row_number() OVER () AS rid, w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM runs),
+crcs AS (SELECT rid, w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM keyed CROSS JOIN {CRC_TABLE}),
+slips AS (SELECT CASE WHEN crc % {slip} = 0 THEN substr(w, 1, CAST(crc % length(w) AS INTEGER)) || substr(w, CAST(crc % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM crcs),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= {min_length} GROUP BY word HAVING sum(n) >= {min_count}),
+less AS MATERIALIZED (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words) UNION ALL SELECT word, word FROM words),
+near AS MATERIALIZED (SELECT DISTINCT a.word AS a, b.word AS b FROM less a JOIN less b USING (d) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+ways AS (SELECT a, b, y.n AS bn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) AS turn FROM near JOIN words y ON y.word = b),
+led AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n
+  FROM words LEFT JOIN (SELECT * FROM ways WHERE turn = 1) ON a = word),
+walk AS (SELECT word, word AS at FROM led UNION ALL SELECT walk.word, led.form FROM walk JOIN led ON led.word = walk.at WHERE led.form IS NOT NULL)
+SELECT led.word, n, n_near, form, form_n, walk.at AS root FROM led JOIN walk USING (word) JOIN led AS last ON last.word = walk.at WHERE last.form IS NULL"""
+
+
+def collocations(longest: int, min_count: int, top: int, covered: int) -> str:
+    """Every n-gram length exploded on its own."""
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})" for k in range(1, longest + 1))
+    return f"""WITH pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM ({grams}) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, p AS phrase, f AS a, string_split(p, ' ') AS w FROM f WHERE k >= 2 AND f >= {min_count}),
+cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS c FROM cand),
+scored AS (SELECT cuts.lang, phrase, a, c, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.p = array_to_string(w[1:c], ' ') JOIN f y ON y.lang = cuts.lang AND y.p = array_to_string(w[c + 1:cuts.k], ' ') JOIN total ON total.lang = cuts.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+kept AS (SELECT * FROM weakest s WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.lang = s.lang AND length(b.phrase) > length(s.phrase)
+  AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= {covered} * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {top}"""
+
+
+def nearest_vectors(k: int, every: int) -> str:
+    """Every query against every row."""
+    return f"""WITH rows_ AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM rows_ q JOIN rows_ c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= {k}"""
