@@ -70,10 +70,10 @@ def test_pieces_and_places(docs, extra):
 
 def test_slices_of_long_texts(monkeypatch):
     text = "one two\nthree four five " * 40 + "tail" * 30
-    whole = packing.WordIds(PATH)([text])
+    whole = packing.WordIds(PATH)([text.encode()])
     monkeypatch.setattr(packing, "SLICE", 37)
-    monkeypatch.setattr(packing, "MEMO_WORDS", 3)
-    assert packing.WordIds(PATH)([text]) == whole == [brute(text)[:-1].tobytes()]
+    monkeypatch.setattr(packing, "MEMO_PARTS", 3)
+    assert packing.WordIds(PATH)([text.encode()]) == whole == [brute(text)[:-1].tobytes()]
 
 
 def test_hot_length_ranks_in_chunks(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from typing import NamedTuple
 
@@ -26,96 +27,165 @@ from tidemark.llm.common import portions, staged
 
 CAPACITY = 4096
 END_ID = 1
-#: Words kept with their ids in a worker; the memo starts anew beyond it (speed only).
-MEMO_WORDS = 450_000
-#: Fixed value: the split of the public word vocabulary.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SLICE = 4_000_000
+#: Parts kept with their ids in a worker; the memo starts anew beyond it (speed only).
+MEMO_PARTS = 600_000
+#: Bytes of text that are split at a time, and the most of one slice of a text.
+AT_ONCE, SLICE = 4 << 20, 4 << 20
 ROWS_PER_CHUNK = 20_000
 
+BLANK, LETTER, DIGIT, OTHER, WHOLE = range(5)
+_CODES = np.arange(256)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each character below 256 by the tokenizer's split, and its lower case; characters that are blanks or
+    control characters to the tokenizer, but for space and line feed, make their word one that is not split."""
+    kind = np.full(256, OTHER, np.uint8)
+    lower = _CODES.copy()
+    for c in _CODES:
+        ch = chr(c)
+        if ch.isalpha():
+            kind[c], lower[c] = LETTER, ord(ch.lower())
+        elif ch.isnumeric():
+            kind[c] = DIGIT
+    kind[(_CODES < 33) | ((_CODES > 126) & (_CODES < 161))] = WHOLE
+    kind[[10, 32]] = BLANK
+    return kind, lower.astype(np.uint8)
+
+
+KIND, LOWER = _classes()
 
-class WordIds:
-    """Ids of a tokenizer whose words end at blanks: each distinct word is encoded once while it is remembered.
 
-    The tokenizer lower-cases a word and splits it at PARTS; most new words are made of parts that are known already.
+def split_parts(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Parts of all texts in order, lower-cased, and how many each text has.
+
+    A part is a contraction's ending, a run of letters, one digit or a run of other characters; a word with characters
+    beyond Latin-1, control characters or unusual blanks is one part as it stands.
     """
+    data = np.frombuffer(b" ".join(texts) + b"  ", np.uint8).copy()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    lead = (data == 0xC2) | (data == 0xC3)
+    tail = np.concatenate([[False], lead[:-1]])
+    code = np.where(tail, (data & 0x3F) + np.where(np.roll(data, 1) == 0xC3, 192, 128), data).astype(np.uint8)
+    kind = KIND[code]
+    first = np.flatnonzero(lead)
+    kind[first] = kind[first + 1]
+    kind[~lead & ~tail & (data >= 0x80)] = WHOLE
+    blank = kind == BLANK
+    odd = np.flatnonzero(kind == WHOLE)
+    if len(odd):
+        word = np.cumsum(blank)
+        kind[np.isin(word, np.unique(word[odd])) & ~blank] = WHOLE
+    split = ~blank & (kind != WHOLE)
+    low = np.where(split & ~lead, LOWER[code], code)
+    data = np.where(split & tail, 0x80 | (low & 0x3F), np.where(split & ~lead, low, data)).astype(np.uint8)
+    new = ~blank & ((kind != np.concatenate([[BLANK], kind[:-1]])) | ((kind == DIGIT) & ~tail))
+    mark = np.flatnonzero(new & split & (data == 39))
+    one, two = data[mark + 1], data[np.minimum(mark + 2, len(data) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+    # an ending belongs to its apostrophe, and what follows it is a part of its own
+    joined = short | long
+    new[mark[joined] + 1] = False
+    after = mark[joined] + np.where(short, 2, 3)[joined]
+    new[after] = ~blank[after]
+    start = np.flatnonzero(new)
+    keep = data[~blank]
+    offset = np.append(np.cumsum(~blank)[start] - 1, len(keep)).astype(np.int32)
+    parts = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offset), pa.py_buffer(keep)])
+    return parts, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+class WordIds:
+    """Ids of a tokenizer whose words end at blanks: each distinct part is encoded once while it is remembered."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ends = frozenset(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
-        self.parts_of, self.plain = regex.compile(PARTS).findall, regex.compile(r"[\x21-\x7E\xA1-\xFF]*").fullmatch
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        # in this range lower-casing and composing act on single characters, as they do in Python
-        plain = {w: self.parts_of(w.lower()) for w in words if self.plain(w)}
-        fresh = set().union(*plain.values()).difference(self.parts)
-        if len(self.parts) + len(fresh) > MEMO_WORDS:
-            self.parts.clear()
-            fresh = set().union(*plain.values())
-        self.encode(list(fresh))
-        for w, parts in plain.items():
-            self.memo[w] = b"".join(map(self.parts.__getitem__, parts))
-        other = [w for w in words if w not in plain]
-        for lo in range(0, len(other), 1000):
-            for w, e in zip(other[lo:lo + 1000], self.tokenizer.encode_batch_fast(other[lo:lo + 1000], add_special_tokens=False), strict=False):
-                self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, parts: list[str]) -> None:
-        """Ids of parts, many to a text; each ends with its first id that ends a word."""
-        for lo in range(0, len(parts), 6400):
-            some = parts[lo:lo + 6400]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {}
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Ids of parts, many to a text; each ends with its first id that ends a word.  A part that the tokenizer may
+        split or change is a text of its own."""
+        plain = [p for p in parts if not ODD(p)]
+        for lo in range(0, len(plain), 6400):
+            some = plain[lo:lo + 6400]
             lines = [some[k:k + 64] for k in range(0, len(some), 64)]
-            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
                 ids = np.asarray(e.ids, "<u4")
-                stops = [0, *(k + 1 for k, i in enumerate(e.ids) if i in self.ends)]
-                for part, a, b in zip(line, stops[:-1], stops[1:], strict=True):
-                    self.parts[part] = ids[a:b].tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                data, at = ids.tobytes(), 0
+                for part, stop in zip(line, stops, strict=True):
+                    self.memo[part] = data[at:stop]
+                    at = stop
+        odd = [p for p in parts if ODD(p)]
+        for lo in range(0, len(odd), 1000):
+            some = odd[lo:lo + 1000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.memo[part] = np.asarray(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        parts, n = split_parts(texts)
+        names = parts.dictionary_encode()
+        words = names.dictionary.to_pylist()
+        fresh = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(fresh) > MEMO_PARTS:
+            self.memo.clear()
+            fresh = words
+        self.learn(fresh)
+        found = [self.memo[w] for w in words]
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        code = names.indices.to_numpy()
+        many = size[code]
+        to = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - to[:-1], many) + np.arange(to[-1])]
+        edges = to[np.concatenate([[0], np.cumsum(n)])]
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[list[bytes]] = [[] for _ in texts]
-        pending: list[tuple[int, list[str]]] = []
+        pending: list[tuple[int, bytes]] = []
         held = 0
+
+        def flush():
+            for (k, _), ids in zip(pending, self.encode([t for _, t in pending]), strict=True):
+                out[k].append(ids)
+            pending.clear()
+
         for k, text in enumerate(texts):
             at = 0
             while at < len(text):
                 end = self.cut(text, at)
-                words = text[at:end].replace("\n", " ").split(" ")
-                pending.append((k, words))
-                held += len(words)
+                pending.append((k, text[at:end]))
+                held += end - at
                 at = end
-                if held >= 200_000:
-                    self.flush(pending, out)
+                if held >= AT_ONCE:
+                    flush()
                     held = 0
-        self.flush(pending, out)
+        if pending:
+            flush()
         return [b"".join(parts) for parts in out]
 
-    def flush(self, pending, out) -> None:
-        fresh = set().union(*(w for _, w in pending)).difference(self.memo)
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo.clear()
-            fresh = set().union(*(w for _, w in pending))
-        self.learn(list(fresh))
-        for k, words in pending:
-            out[k].append(b"".join(map(self.memo.__getitem__, words)))
-        pending.clear()
-
     @staticmethod
-    def cut(text: str, at: int) -> int:
+    def cut(text: bytes, at: int) -> int:
         """End of the next slice: at a blank, so that no word is cut."""
         if len(text) - at <= SLICE:
             return len(text)
-        end = text.rfind(" ", at + 1, at + SLICE)
-        end = end if end > 0 else text.find(" ", at + SLICE)
+        end = text.rfind(b" ", at + 1, at + SLICE)
+        end = end if end > 0 else text.find(b" ", at + SLICE)
         return end if end > 0 else len(text)
 
 
+#: Bytes that only parts hold which are not split: control characters, and leads of characters up to U+00A0 or beyond U+00FF.
+ODD = re.compile(rb"[\x00-\x20\x7F]|\xC2[\x80-\xA0]|[\xC4-\xFF]").search
+
+
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -139,7 +209,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         own = word_ids(SparkFiles.get(name))
         for batch in portions(batches, "text", 8 << 20):
             rows = []
-            for doc_id, made in zip(batch.column(0).to_pylist(), own([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, made in zip(batch.column(0).to_pylist(), own([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                 made += closing
                 for k, at in enumerate(range(0, len(made), 4 * capacity)):
                     part = made[at:at + 4 * capacity]
