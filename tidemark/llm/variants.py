@@ -13,13 +13,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import portions, row_portions, staged
+from tidemark.llm.common import portions, staged
 
 #: Letters fall on so many symbols, by code point.  Fewer symbols make smaller neighbourhoods and more pairs to verify.
 SYMBOLS = 6
@@ -29,6 +30,8 @@ MIN_COUNT = 3
 SLIP = 97
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 300_000
+#: Letters of a word that goes with each row of its neighbourhood, and of the words that are reduced at a time.
+CARRIED, PORTION = 64, 64 << 10
 RUN = re.compile("[a-zÀ-ÿ]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -102,33 +105,48 @@ class Reduced:
             yield self.word[i], self.whole[self.word[i]] + (VALUES[s + step] - VALUES[s]) * self.power[self.at[i]]
 
 
-def reduced_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_portions(batches, 4096):
+def reduced_words(batches: Iterable[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in portions(batches, "word", PORTION):
         key = Reduced(batch.column("word").to_pylist()).whole
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", *batch.schema.names])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.select(carry).columns], ["key", *carry])
 
 
-def neighbourhoods(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, same, word, n): the word under its own reduced form and those one edit away."""
-    for batch in row_portions(batches, 4096):
-        words = Reduced(batch.column("word").to_pylist())
+def neighbourhoods(batches: Iterable[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
+    """(key, same, carried columns): the word under its own reduced form and those one edit away."""
+    for batch in portions(batches, "word", PORTION):
+        words, kept = Reduced(batch.column("word").to_pylist()), batch.select(carry)
         parts = [(np.arange(batch.num_rows), words.whole), words.deletions(), *words.replacements()]
         for kind, (word, key) in enumerate(parts):
-            rows = batch.take(pa.array(word))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(word), kind == 0)), *rows.columns],
-                                             ["key", "same", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(word), kind == 0)), *kept.take(pa.array(word)).columns],
+                                             ["key", "same", *carry])
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): pairs of words exactly one edit apart, each pair once."""
-    sides = words.select("word", "n")
-    left = sides.mapInArrow(neighbourhoods, "key long, same boolean, word string, n long").toDF("key", "same", "a", "n_a")
-    right = sides.mapInArrow(reduced_words, "key long, word string, n long").toDF("key", "b", "n_b")
+def one_edit_apart(pairs: DataFrame) -> DataFrame:
+    """Pairs (same, a, b) that are near, each once: equal reduced forms find a pair of equal lengths from both sides, and
+    a deletion leads to the shorter word."""
     longer = F.length("a") - F.length("b")
-    # equal reduced forms find a pair of equal lengths from both sides, and a deletion leads to the shorter word
     once = F.when(F.col("same"), (longer == 0) & (F.col("a") < F.col("b"))).otherwise(longer.isin(0, 1))
-    met = left.join(right, "key").where(once)
-    return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
+    return pairs.where(once).where(F.levenshtein("a", "b", 1) == 1)
+
+
+def near_pairs(words: DataFrame) -> DataFrame:
+    """(a, n_a, b, n_b): pairs of words exactly one edit apart, each pair once.
+
+    Neighbourhoods carry their word, but for words of over CARRIED letters, which stand in for themselves by an id."""
+    def met(longer: DataFrame, other: DataFrame, carry: list[str], kinds: str) -> DataFrame:
+        left = longer.mapInArrow(partial(neighbourhoods, carry=carry), f"key long, same boolean, {kinds}")
+        right = other.mapInArrow(partial(reduced_words, carry=carry), f"key long, {kinds}")
+        return left.toDF("key", "same", *[f"{c}_a" for c in carry]).join(right.toDF("key", *[f"{c}_b" for c in carry]), "key")
+
+    size, sides = F.length("word"), words.select("word", "n")
+    short = sides.where(size <= CARRIED)
+    near = one_edit_apart(met(short, short, ["word", "n"], "word string, n long").withColumnsRenamed({"word_a": "a", "word_b": "b"}))
+    named = sides.withColumn("id", F.xxhash64("word"))
+    long = met(named.where(size > CARRIED), named.where(size >= CARRIED), ["id"], "id long")
+    for side in "ab":
+        long = long.join(named.where(size >= CARRIED).select(F.col("word").alias(side), F.col("n").alias(f"n_{side}"), F.col("id").alias(f"id_{side}")), f"id_{side}")
+    out = ["a", "n_a", "b", "n_b"]
+    return near.select(out).unionByName(one_edit_apart(long).select(out))
 
 
 def roots(steps: DataFrame) -> DataFrame:
