@@ -285,10 +285,9 @@ def config_score(spark, sf):
 SELECT CASE pair WHEN 'L20_S20' THEN 'Standard_0.20' ELSE 'Standard_0.25' END AS variation, symbol, trade_date, direction, entry_time_ist
 FROM strategy WHERE pair IN ('L20_S20', 'L25_S25') AND rejection_reason = 'EXECUTED'""")
 def export_variations(spark, sf):
-    done = strategy(spark, sf).where("rejection_reason = 'EXECUTED'")
-    tag = lambda pair, name: done.where(F.col("pair") == pair).select(
-        F.lit(name).alias("variation"), "symbol", "trade_date", "direction", "entry_time_ist")
-    return tag("L20_S20", "Standard_0.20").unionByName(tag("L25_S25", "Standard_0.25"))
+    names = F.create_map(*[F.lit(x) for x in ("L20_S20", "Standard_0.20", "L25_S25", "Standard_0.25")])
+    done = strategy(spark, sf).where("rejection_reason = 'EXECUTED'").withColumn("variation", F.try_element_at(names, "pair"))
+    return done.where("variation IS NOT NULL").select("variation", "symbol", "trade_date", "direction", "entry_time_ist")
 
 
 # --------------------------------------------------------------------------- alerts

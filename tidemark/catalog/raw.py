@@ -431,7 +431,8 @@ def large_flag(spark, sf):
     return naive_ts(large_trade_flag(T.infer_trades(book(spark, sf)), order=order))
 
 
-@query("bar_count_pivot", f"""SELECT * FROM (PIVOT (SELECT symbol, strftime(trade_date, 'd%Y_%m_%d') AS day, count(DISTINCT {SQL_BAR}) AS bars FROM ({SQL_TICKS}) GROUP BY ALL)
-  ON day USING CAST(coalesce(sum(bars), 0) AS BIGINT) GROUP BY symbol)""")
+@query("bar_count_pivot", f"""WITH n AS (SELECT symbol, strftime(trade_date, 'd%Y_%m_%d') AS day, count(DISTINCT {SQL_BAR}) AS bars FROM ({SQL_TICKS}) GROUP BY ALL)
+SELECT symbol, day, CAST(coalesce(bars, 0) AS BIGINT) AS bars FROM (SELECT DISTINCT symbol FROM n) CROSS JOIN (SELECT DISTINCT day FROM n) LEFT JOIN n USING (symbol, day)""")
 def bar_count_pivot(spark, sf):
-    return P.bar_count_pivot(ticks(spark, sf), bar=BAR)
+    """The pivot's cells as rows: its columns are the days of the data, which no fixed SQL can name."""
+    return P.bar_count_pivot(ticks(spark, sf), bar=BAR).unpivot("symbol", None, "day", "bars")

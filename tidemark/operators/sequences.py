@@ -3,13 +3,13 @@
 Per (symbol, day, direction, threshold pair): the first bar whose probability reaches the
 threshold; then the first later bar with momentum at or beyond the mark; then the first later
 bar back under it; then the first later bar beyond it again (the trigger).  A symbol-day is
-gathered once and every step is a search of its array, so the bars are shuffled once and never
-multiplied by the parameters.
+gathered once and all steps are found in one pass over its array, so the bars are shuffled once and
+never multiplied by the parameters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import exchange_time, slug
@@ -59,13 +59,42 @@ def day_metrics(bars: DataFrame, keys: tuple[str, ...] = KEYS, extra: tuple = ()
     ).withColumn("intraday_range_pct", (F.col("high") - F.col("low")) / F.col("low") * 100)
 
 
+#: Stages of the walk over a day: waiting for the four steps, in the trade, out of it.
+_IN_TRADE, _OUT = 4, 5
+_STEPS = ("theta", "mark1", "between", "trigger")
+
+
+def _walk(theta: Column, is_long: Column, threshold: float) -> Column:
+    """One pass over a day: row numbers of the steps and of the exit, highest and lowest price in between.
+
+    The exit is the first bar from the trigger on that is at or behind the cutoff, else the last bar."""
+    def stepped(at: Column, x: Column) -> Column:
+        bar, stage = x["b"], at["stage"]
+        prob = F.when(is_long, bar["prob_long"]).otherwise(bar["prob_short"])
+        move = F.when(is_long, bar["roc"]).otherwise(-bar["roc"])
+        hit = (F.when(stage == 0, prob >= theta).when(stage.isin(1, 3), move >= threshold).when(stage == 2, move < threshold))
+        enters = F.coalesce(hit, F.lit(False))
+        inside = (stage == _IN_TRADE) | ((stage == _IN_TRADE - 1) & enters)
+        onward = F.when(inside & (bar["clock"] >= ENTRY_CUTOFF), _OUT).when(enters, stage + 1).otherwise(stage)
+        now = lambda name, value: F.when(inside, value).otherwise(at[name]).alias(name)
+        return F.struct(onward.alias("stage"),
+                        *[F.when(enters & (stage == i), x["rn"]).otherwise(at[name]).alias(name) for i, name in enumerate(_STEPS)],
+                        now("exit", x["rn"]), now("high", F.greatest(at["high"], bar["ltp"])), now("low", F.least(at["low"], bar["ltp"])))
+
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    start = F.struct(F.lit(0).alias("stage"), *[none(n, "int") for n in (*_STEPS, "exit")], none("high", "double"), none("low", "double"))
+    return F.coalesce(F.aggregate("_day", start, stepped), start)
+
+
 def double_momentum(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
                     keys: tuple[str, ...] = KEYS, threshold: float = ROC_THRESHOLD, extra: tuple = ()) -> DataFrame:
-    """One row per (symbol-day, pair, direction): the bars of the four steps, their row numbers, and day facts.
+    """One row per (symbol-day, pair, direction): row numbers of the four steps and the exit, their bars, and day facts.
 
     A day is gathered once, by the aggregate that also gives its facts, into an array of at most one
-    element per bar time.  Parameters meet that one row, and each step is a search of the array;
-    a day whose probability never reaches a threshold meets it without its bars.
+    element per bar time.  Parameters meet that one row and one pass over its array finds all steps; a
+    day whose probability never reaches a threshold meets it without its bars.  The pass goes through a
+    generator, below which no filter on its result is pushed: it runs once for each row, whatever is
+    asked of the result.
     """
     bar = F.struct(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), exchange_time("ts").alias("clock"), F.col("ltp").cast("double").alias("ltp"),
@@ -78,14 +107,11 @@ def double_momentum(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
     best = F.when(is_long, F.col("max_prob_long")).otherwise(F.col("max_prob_short"))
     # pairs is a parameter table of a few dozen rows
     out = days.crossJoin(F.broadcast(pairs)).withColumn("_day", F.when(best >= F.col("theta"), F.col("_day")))
-    prob = lambda x: F.when(is_long, x["b"]["prob_long"]).otherwise(x["b"]["prob_short"])
-    move = lambda x: F.when(is_long, x["b"]["roc"]).otherwise(-x["b"]["roc"])
-    first = lambda test: F.get(F.filter("_day", test), F.lit(0))
-    out = out.withColumn("_theta", first(lambda x: prob(x) >= F.col("theta")))
-    out = out.withColumn("_mark1", first(lambda x: (x["rn"] > F.col("_theta.rn")) & (move(x) >= threshold)))
-    out = out.withColumn("_between", first(lambda x: (x["rn"] > F.col("_mark1.rn")) & (move(x) < threshold)))
-    out = out.withColumn("_trigger", first(lambda x: (x["rn"] > F.col("_between.rn")) & (move(x) >= threshold)))
-    return out.withColumns({f"i_{step}": F.col(f"_{step}.rn") for step in ("theta", "mark1", "between", "trigger")})
+    walked = out.select("*", F.explode(F.array(_walk(F.col("theta"), is_long, threshold))).alias("_walk"))
+    at = lambda name: F.get("_day", F.col(f"_walk.{name}") - 1)
+    kept = [c for c in walked.columns if c not in ("_day", "_walk")]
+    return walked.select(*kept, *[at(name).alias(f"_{name}") for name in (*_STEPS, "exit")], F.col("_walk.high").alias("held_high"),
+                         F.col("_walk.low").alias("held_low"), *[F.col(f"_walk.{name}").alias(f"i_{name}") for name in _STEPS])
 
 
 def sequence_trades(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
@@ -98,15 +124,11 @@ def sequence_trades(bars: DataFrame, pairs: DataFrame, roc_col: str = "roc_3",
         *[earliest_best(f"prob_{s}", F.col("delta_1m") * F.col("close_price") / 100000.0).alias(f"best_{s}_value")
           for s in ("long", "short")],
     ))
-    late = F.filter("_day", lambda x: (x["rn"] >= F.col("i_trigger")) & (x["b"]["clock"] >= ENTRY_CUTOFF))
-    steps = steps.withColumn("_exit", F.when(F.col("i_trigger").isNotNull(), F.coalesce(F.get(late, F.lit(0)), F.element_at("_day", -1))))
-    held = F.transform(F.slice("_day", F.col("i_trigger"), F.col("_exit.rn") - F.col("i_trigger") + 1), lambda x: x["b"]["ltp"])
     entry = F.col("_trigger.b")
     return _resolve(steps.withColumns({
         "theta_caught_time": F.col("_theta.b.clock"), "mark1_ts": F.col("_mark1.b.clock"), "between_ts": F.col("_between.b.clock"),
         "entry_time_ist": entry["clock"], "entry_price": entry["ltp"], "raw_exit": F.col("_exit.b.ltp"), "roc_at_entry": entry["roc"],
-        "entry_prob": F.when(F.col("direction") == "LONG", entry["prob_long"]).otherwise(entry["prob_short"]), "entry_delta": entry["delta"],
-        "held_high": F.array_max(held), "held_low": F.array_min(held)}).drop("_day"))
+        "entry_prob": F.when(F.col("direction") == "LONG", entry["prob_long"]).otherwise(entry["prob_short"]), "entry_delta": entry["delta"]}))
 
 
 def _resolve(t: DataFrame) -> DataFrame:

@@ -230,6 +230,7 @@ SCORE_WEIGHTS = {
 
 def config_metrics(trades: DataFrame, threshold_pct: float = 5.0) -> DataFrame:
     """Trade results and mover confusion of each pair, with the thresholds read from its label."""
+    trades = stage(trades)  # read by three branches
     done = trades.where("rejection_reason = 'EXECUTED'").withColumns({
         "eod_pnl_pct": F.coalesce("eod_pnl_pct", F.lit(0.0)), "mfe_pct": F.coalesce("mfe_pct", F.lit(0.0))})
     ran = done.groupBy("pair").agg(
