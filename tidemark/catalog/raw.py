@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.inputs import (
@@ -14,6 +16,7 @@ from tidemark.operators import clean as C
 from tidemark.operators import profile as P
 from tidemark.operators import trades as T
 from tidemark.operators.features import large_trade_flag
+from tidemark.session import checkpoint_dir
 from tidemark.sources import files as S
 from tidemark.sources import sinks as W
 
@@ -44,6 +47,18 @@ def clean_ticks(spark, sf):
     return naive_ts(C.clean_ticks(raw, keep=("seq",)))
 
 
+@query("clean_counts", f"""WITH b AS ({sql_book()}), t AS ({SQL_TICKS})
+SELECT 'book' AS feed, count(*) AS raw_rows, count(*) FILTER (WHERE ts IS NOT NULL AND symbol IS NOT NULL AND symbol <> '' AND ask1 > bid1 AND bid1 > 0 AND ask1 > 0 AND {_IN_SESSION}) AS clean_rows FROM b
+UNION ALL SELECT 'ticks', count(*), count(*) FILTER (WHERE ts IS NOT NULL AND symbol IS NOT NULL AND {_IN_SESSION}) FROM t
+UNION ALL SELECT 'no ticks', 0, 0""")
+def clean_counts(spark, sf):
+    """Counts of the jobs that write the cleaned feeds, an empty one among them."""
+    place = f"{checkpoint_dir(spark)}/clean/{uuid.uuid4().hex}"
+    feeds = [("book", book(spark, sf), C.clean_book), ("ticks", ticks(spark, sf), C.clean_ticks), ("no ticks", ticks(spark, sf).where("symbol = 'none such'"), C.clean_ticks)]
+    counts = [(name, *W.clean_to_table(rows, f"{place}/{name.replace(' ', '_')}", clean, keep=("seq", "trade_date")).values()) for name, rows, clean in feeds]
+    return spark.createDataFrame(counts, "feed string, raw_rows long, clean_rows long")
+
+
 @query("session_filter", f"""
 WITH t AS ({SQL_TICKS})
 SELECT symbol, trade_date, count(*) AS n FROM t WHERE {_IN_SESSION} GROUP BY ALL""")

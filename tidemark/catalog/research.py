@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.bars_features import SQL_LABELS, labelled_bars
@@ -13,6 +15,7 @@ from tidemark.catalog.inputs import (
 )
 from tidemark.models import oof as O
 from tidemark.models import splits as P
+from tidemark.models import store as V
 from tidemark.operators import compare as C
 from tidemark.operators import metrics as X
 from tidemark.operators import paths as H
@@ -20,7 +23,7 @@ from tidemark.operators import stats as S
 from tidemark.operators.labels import forward_return
 from tidemark.operators.momentum import with_trailing_volatility
 from tidemark.operators.ranks import decile_of, exact_quantiles, global_rank, top_fraction
-from tidemark.session import stage
+from tidemark.session import checkpoint_dir, stage
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -450,6 +453,79 @@ def permutation_importance(spark, sf):
     return O.fold_means(_per_fold(run)(spark, sf), ["feature"], ["mcc", "mcc_shuffled", "importance"])
 
 
+@query("boosting_rounds", f"""SELECT CAST(fold AS BIGINT) AS fold, class, 25 AS max_rounds, TRUE AS stopped_early
+FROM range(1, 4) AS f(fold) CROSS JOIN (SELECT unnest(['LONG', 'SHORT', 'NO_TRADE']) AS class)""")
+def boosting_rounds(spark, sf):
+    """Labels that are permuted hold nothing to learn: held-back days stop every fold and class before the last round."""
+    b = _model_bars(spark, sf).where(F.col(_LABEL).isNotNull())
+    noise = stage(O.shuffled(b.withColumn("_g", F.lit(0)), _LABEL, ["_g"]).drop("_g"))
+    used = O.rounds_used(noise, P.block_folds(noise, 3), _LABEL, _INPUTS, None, rounds=25, depth=3, step=0.3, hold_back=0.25)
+    return used.select(F.col("fold").cast("bigint").alias("fold"), "class", "max_rounds", (F.col("rounds") < F.col("max_rounds")).alias("stopped_early"))
+
+
+#: Of the calendar, the days that come after the stored table; and a symbol that it lacks on its last day.
+_NEW_DAYS, _LATE_SYMBOL = 3, "S0"
+_SQL_OLD = f"""days AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date DESC) AS back FROM (SELECT DISTINCT trade_date FROM bars)),
+ kept AS (SELECT bars.*, back > {_NEW_DAYS} AND NOT (back = {_NEW_DAYS} + 1 AND symbol = '{_LATE_SYMBOL}') AS old FROM bars JOIN days USING (trade_date))"""
+
+
+def _stored_scores(spark, sf):
+    """All but the last days, scored out of fold and stored."""
+    from pyspark.sql import Window
+
+    b = _model_bars(spark, sf)
+    back = b.select("trade_date").distinct().withColumn("back", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("trade_date"))))
+    marked = b.join(F.broadcast(back), "trade_date")  # one row per day of the calendar
+    old = stage(marked.where((F.col("back") > _NEW_DAYS) & ~((F.col("back") == _NEW_DAYS + 1) & (F.col("symbol") == _LATE_SYMBOL))).drop("back"))
+    path = f"{checkpoint_dir(spark)}/scores/{uuid.uuid4().hex}"
+    V.save_scores(O.out_of_fold(old, P.block_folds(old, 2), O.logistic(max_iter=10), _LABEL, _INPUTS, None), path, "first")
+    return b, path
+
+
+def _same_rows(before, after):
+    """How many rows of each day are unchanged."""
+    cols = [F.col(c) for c in before.columns]
+    return before.withColumn("_h", F.xxhash64(*cols)).join(after.select(*before.columns).withColumn("_h", F.xxhash64(*cols)).select("_h", *_HEAD), ["_h", *_HEAD])
+
+
+@query("oof_extend", f"""WITH {SQL_BARS}, {_SQL_OLD}
+SELECT trade_date, count(*) AS rows, count(*) FILTER (WHERE NOT old) AS new_rows, count(*) FILTER (WHERE old) AS unchanged_rows, count(*) AS sums_to_one
+FROM kept GROUP BY 1""")
+def oof_extend(spark, sf):
+    """New days, and a symbol that a stored day lacked, are appended; the stored rows stay as they are."""
+    b, path = _stored_scores(spark, sf)
+    before = stage(V.scores(spark, path))
+    V.extend_scores(b, path, O.logistic(max_iter=10), _LABEL, "second", _INPUTS, 0)
+    after = V.scores(spark, path)
+    total = sum((F.col(p) for p in O.PROBS), F.lit(0.0))
+    rows = after.groupBy("trade_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(V.VERSION) == "second").alias("new_rows"), F.count_if(F.abs(total - 1) < 1e-6).alias("sums_to_one"))
+    same = _same_rows(before, after).groupBy("trade_date").agg(F.count(F.lit(1)).alias("unchanged_rows"))
+    return rows.join(same, "trade_date", "left").withColumn("unchanged_rows", F.coalesce("unchanged_rows", F.lit(0).cast("bigint")))
+
+
+@query("oof_refresh", f"""WITH {SQL_BARS}, {_SQL_OLD}, last AS (SELECT max(trade_date) AS day FROM kept WHERE old)
+SELECT trade_date, count(*) AS rows, CASE WHEN trade_date = day THEN 'second' ELSE 'first' END AS model_version,
+  CASE WHEN trade_date = day THEN count(*) ELSE 0 END AS replaced_rows, CASE WHEN trade_date = day THEN 0 ELSE count(*) END AS unchanged_rows,
+  count(*) AS same_bars, CAST(0 AS BIGINT) AS replaced_again FROM kept CROSS JOIN last WHERE old GROUP BY trade_date, day""")
+def oof_refresh(spark, sf):
+    """The last stored day is scored by a newer model; a second call has nothing to do."""
+    b, path = _stored_scores(spark, sf)
+    before = stage(V.scores(spark, path))
+    last = before.agg(F.max("trade_date")).first()[0]
+    newer = O.forest(5, 3, 5, every=1)(O.training_rows(b.where(F.col("trade_date") < F.lit(last)), _LABEL, _INPUTS), _INPUTS)
+    done = V.refresh_scores(spark, path, newer, "second", str(last))
+    again = V.refresh_scores(spark, path, newer, "second", str(last))
+    after = V.scores(spark, path)
+    rows = after.groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.max(V.VERSION).alias("model_version"))
+    count = lambda df, name: df.groupBy("trade_date").agg(F.count(F.lit(1)).alias(name))
+    bars_only = [c for c in before.columns if c not in (*O.PROBS, V.VERSION)]
+    out = rows.join(done.withColumnRenamed("rows", "replaced_rows"), "trade_date", "left").join(again.withColumnRenamed("rows", "replaced_again"), "trade_date", "left")
+    out = out.join(count(_same_rows(before, after), "unchanged_rows"), "trade_date", "left")
+    out = out.join(count(_same_rows(before.select(bars_only), after), "same_bars"), "trade_date", "left")
+    return out.na.fill(0)
+
+
 # --------------------------------------------------------------------------- comparison and audit
 
 @query("table_diff", f"""WITH {SQL_BARS}, b AS (SELECT symbol, ts, volume_1m, CASE WHEN volume_1m > 100 THEN close_price + 1 ELSE close_price END AS close_price FROM bars WHERE delta_1m <= 90),

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from tidemark.catalog.bars_features import _FEAT_SQL
 from tidemark.catalog.events import SQL_SEQ
 from tidemark.catalog.inputs import BAR, BOOK_TEXT, Registry, naive_ts, rounded, table
+from tidemark.models.oof import PROBS, fit_and_save, load_scorer
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
 from tidemark.operators.compare import table_diff
 from tidemark.operators.schema import MODEL_FEATURES
+from tidemark.operators.labels import label_matrix
+from tidemark.operators.sequences import pair_table, sequence_trades
 from tidemark.operators.trades import infer_trades
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, stage
 from tidemark.streaming import live as L
 
 query = Registry()
@@ -38,12 +41,12 @@ def _place(spark):
     return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def _bars_table(spark, sf):
-    place = _place(spark)
-    stream = L.live_bars(_stream(spark, sf), BAR, session=False, max_gap_s=None)
+def _bars_table(spark, sf, **rules):
+    place, rules = _place(spark), {"session": False, "max_gap_s": None} | rules
+    stream = L.live_bars(_stream(spark, sf), BAR, **rules)
     L.run_to_table(stream, f"{place}/closed", f"{place}/bars_ckpt")
     closed = spark.read.parquet(f"{place}/closed").drop("batch_id")
-    rest = L.flush(spark, f"{place}/bars_ckpt", BAR, max_gap_s=None)
+    rest = L.flush(spark, f"{place}/bars_ckpt", BAR, max_gap_s=rules["max_gap_s"])
     closed.unionByName(rest).write.parquet(f"{place}/bars")
     return f"{place}/bars"
 
@@ -68,6 +71,21 @@ def stream_trades(spark, sf):
     return naive_ts(rounded(out, "vwap_1m"))
 
 
+# The same with the exchange's session only, and no trades from a snapshot after an hour of silence.
+_GAP_S = 3600.0
+_SESSION = "CAST(ts + INTERVAL '330 minutes' AS TIME) BETWEEN TIME '09:15:00' AND TIME '15:30:00'"
+_SQL_RULED = (_SQL_LIVE.replace("FROM events)", f"FROM events WHERE {_SESSION})")
+              .replace("lag(ltp) OVER w AS p_ltp", "lag(ltp) OVER w AS p_ltp, lag(ts) OVER w AS p_ts")
+              .replace("FROM lagged", f"FROM (SELECT * FROM lagged WHERE ts - p_ts <= INTERVAL '{int(_GAP_S)} seconds')"))
+
+
+@query("stream_session_bars", f"{_SQL_RULED} SELECT symbol, trade_date, ts, {', '.join(_FLOWS)}, {', '.join(f'rd({c}, 5) AS {c}' for c in [*_PX, 'vwap_1m'])} FROM live")
+def stream_session_bars(spark, sf):
+    """Session and gap rules on: snapshots outside trading hours are ignored, and one after a long silence trades nothing."""
+    out = spark.read.parquet(_bars_table(spark, sf, session=True, max_gap_s=_GAP_S)).select(*_HEAD, *_FLOWS, *_PX, "vwap_1m")
+    return naive_ts(rounded(out, *_PX, "vwap_1m", places=5))
+
+
 @query("stream_features", f"{_SQL_LIVE} SELECT symbol, trade_date, ts, {', '.join(f'rd({c}, 5) AS {c}' for c in [*MODEL_FEATURES, 'roc_3'])} FROM live")
 def stream_features(spark, sf):
     out = spark.read.parquet(_bars_table(spark, sf)).select(*_HEAD, *MODEL_FEATURES, "roc_3")
@@ -108,6 +126,48 @@ def stream_signals(spark, sf):
                    "entry_price", "roc_at_entry", places=5)
 
 
+@query("stream_misses", f"""{_SIG_SQL.partition("SELECT symbol, trade_date, direction, theta_caught_time")[0]}
+SELECT direction, rejection_reason, count(*) AS n FROM strategy WHERE pair = 'L25_S25'
+  AND (max_stage = 'TRIGGERED' OR trade_date + INTERVAL '25 hours' <= (SELECT max(ts) FROM live) - INTERVAL '2 minutes') GROUP BY ALL""")
+def stream_misses(spark, sf):
+    """Why directions did not signal, reported when the watermark has passed their day, in one summary with the signals."""
+    bars, place = _bars_table(spark, sf), _place(spark)
+    feed = _score(spark.readStream.schema(spark.read.parquet(bars).schema).parquet(bars))
+    L.run_to_table(L.live_signals(feed, report_misses=True), f"{place}/signals", f"{place}/ckpt")
+    return L.state_summary(spark.read.parquet(f"{place}/signals"))
+
+
+_INPUTS, _LABEL = ["delta_1m", "volume_burst", "aggressor_ratio", "roc_3"], "label_4m_1pct"
+_SIGNAL_FACTS = ["direction", "entry_time_ist", "entry_price", "rejection_reason"]
+
+
+def model_replay(spark, sf):
+    """Bars, their scores and signals by a stored model: from batch, and replayed as streams."""
+    path, place = _bars_table(spark, sf), _place(spark)
+    bars = spark.read.parquet(path)
+    fit_and_save(label_matrix(bars, (4,), (0.01,)), _LABEL, f"{place}/model", _INPUTS, trees=10)
+    feed = lambda: spark.readStream.schema(bars.schema).parquet(path)
+    L.run_to_table(L.score_bars(feed(), f"{place}/model", _INPUTS), f"{place}/scores", f"{place}/scores_ckpt")
+    theta = 0.4
+    L.run_to_table(L.model_signals(feed(), f"{place}/model", _INPUTS, long_theta=theta, short_theta=theta), f"{place}/signals", f"{place}/signals_ckpt")
+    batch = stage(load_scorer(f"{place}/model", _INPUTS)(bars))
+    trades = sequence_trades(batch, pair_table(spark, ["L40_S40"])).where("max_stage = 'TRIGGERED'")
+    return batch, spark.read.parquet(f"{place}/scores"), trades, spark.read.parquet(f"{place}/signals")
+
+
+@query("stream_model_scores", f"{_SQL_LIVE} SELECT symbol, trade_date, count(*) AS bars, CAST(0 AS BIGINT) AS other_scores, CAST(0 AS BIGINT) AS other_signals FROM live GROUP BY ALL")
+def stream_model_scores(spark, sf):
+    """Scores and signals of a replay, by a stored model, against those of the batch: no difference expected."""
+    batch, live, trades, signals = model_replay(spark, sf)
+    probs = [F.round(p, 9).alias(p) for p in PROBS]
+    other = lambda a, b: a.exceptAll(b).unionAll(b.exceptAll(a))
+    count = lambda df, name: df.groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias(name))
+    scores = other(batch.select(*_HEAD, *probs), live.select(*_HEAD, *probs))
+    entries = other(trades.select("symbol", "trade_date", *_SIGNAL_FACTS), signals.select("symbol", "trade_date", *_SIGNAL_FACTS))
+    out = count(live, "bars").join(count(scores, "other_scores"), ["symbol", "trade_date"], "left").join(count(entries, "other_signals"), ["symbol", "trade_date"], "left")
+    return out.na.fill(0)
+
+
 @query("stream_batch_diff", f"""{_SQL_LIVE} SELECT "column", count(*) AS rows, CAST(0 AS BIGINT) AS mismatches
 FROM live CROSS JOIN (SELECT unnest({['<rows>', *_PX, *_FLOWS]}) AS "column") GROUP BY 1""")
 def stream_batch_diff(spark, sf):

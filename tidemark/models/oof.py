@@ -83,14 +83,30 @@ def forest(trees: int = 100, depth: int = 10, min_leaf: int = 20, every: int = 5
     return fit
 
 
-def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 42) -> Fit:
-    """One boosted tree model per class against the rest; scores are rescaled to sum to 1."""
+def _held_back(train: DataFrame, share: float, seed: int) -> Column:
+    """A seeded share of the symbol-days, for deciding when to stop."""
+    return F.pmod(F.xxhash64(F.lit(seed), "symbol", F.col("trade_date").cast("string")), F.lit(1000)) < int(share * 1000)
+
+
+def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 42, hold_back: float = 0.0,
+            tolerance: float = 0.001) -> Fit:
+    """One boosted tree model per class against the rest; scores are rescaled to sum to 1.
+
+    With ``hold_back``, that share of the training symbol-days decides when a class stops: at the first round that
+    does not lower their error by ``tolerance`` of it.  The scoring function names the rounds of each class (``rounds``).
+    """
     def fit(train: DataFrame, features: list[str]):
         assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-        rows = assembler.transform(train)
+        kept = [c for c in ("symbol", "trade_date") if c in train.columns] if hold_back else []
+        rows = assembler.transform(train).select("features", "y", "w", *kept)
+        early = {}
+        if hold_back:
+            rows = rows.withColumn("held_back", _held_back(rows, hold_back, seed))
+            early = {"validationIndicatorCol": "held_back", "validationTol": tolerance}
+        rows = stage(rows)  # the assembled table that all classes are fitted on
         models = [
             GBTClassifier(labelCol="is_class", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step,
-                          seed=seed, checkpointInterval=-1).fit(rows.withColumn("is_class", (F.col("y") == float(i)).cast("double")))
+                          seed=seed, checkpointInterval=-1, **early).fit(rows.withColumn("is_class", (F.col("y") == float(i)).cast("double")))
             for i in range(len(CLASSES))
         ]
 
@@ -101,10 +117,23 @@ def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 4
                     "rawPrediction", "probability", "prediction")
             total = F.col(PROBS[0]) + F.col(PROBS[1]) + F.col(PROBS[2])
             return out.withColumns({n: F.col(n) / total for n in PROBS}).drop("features")
+
+        score.rounds = {name: model.getNumTrees for name, model in zip(CLASSES, models)}
         return score
     return fit
 
 
+def rounds_used(bars: DataFrame, folds: DataFrame, label: str, features: list[str], horizon_min: int | None = 60,
+                **options) -> DataFrame:
+    """fold, class, max_rounds, rounds: where boosting with held-back days stopped (``boosted`` options)."""
+    most = options.setdefault("rounds", 100)
+
+    def run(train: DataFrame, val: DataFrame) -> DataFrame:
+        used = boosted(**options)(training_rows(train, label, features), features).rounds
+        return bars.sparkSession.createDataFrame([(c, most, n) for c, n in used.items()], "class string, max_rounds int, rounds int")
+    return per_fold(bars, folds, run, label, horizon_min)
+
+
 def out_of_fold(bars: DataFrame, folds: DataFrame, fit: Fit, label: str, features: list[str] | None = None,
                 horizon_min: int | None = 60) -> DataFrame:
     """Each validation day scored by a model that never saw it: bars with probabilities and fold.

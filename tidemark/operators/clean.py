@@ -80,9 +80,10 @@ def standardize_dtypes(df: DataFrame) -> DataFrame:
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
-    """Two passes: one aggregate over the data, then a projection.  One row reaches the driver."""
+    """Two passes: one aggregate over the data, then a projection.  One row reaches the driver.  A table without any
+    value, as one without rows, keeps its columns: they are not known to be empty ones."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c] > 0])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c] > 0]) if any(counts) else df
 
 
 def valid_book(ask: str = "ask1", bid: str = "bid1") -> Column:

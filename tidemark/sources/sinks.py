@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import has_key, imbalance, not_sentinel, within_symbols
@@ -39,6 +41,18 @@ def replace_days(df: DataFrame, path: str) -> None:
     write_table(df, path, ("trade_date",), "overwrite")
 
 
+def clean_to_table(raw: DataFrame, path: str, clean: Callable[..., DataFrame], **options) -> dict[str, int]:
+    """Write the cleaned rows of a feed by day and return raw_rows and clean_rows, counted by the job that writes.
+
+    ``clean`` is ``clean_book`` or ``clean_ticks``.  Cleaning is narrow and so is this write: no shuffle, whose empty
+    result adaptive execution would drop together with the counts.  Each task writes the days that it reads.
+    """
+    counts = Observation()
+    (clean(raw, observe=counts, **options).sortWithinPartitions("trade_date", "symbol", "ts")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path))
+    return {name: counts.get[name] for name in ("raw_rows", "clean_rows")}
+
+
 def new_pairs_only(incoming: DataFrame, existing: DataFrame,
                    keys: tuple[str, ...] = ("symbol", "trade_date")) -> DataFrame:
     """Rows whose (symbol, day) is not stored yet."""

@@ -8,15 +8,17 @@ store and is restored from the query checkpoint after a restart.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from tidemark.functions.clock import as_utc, exchange_time, in_session, order_key, seconds_of
 from tidemark.functions.scalars import is_equity
+from tidemark.models.oof import load_scorer
 from tidemark.operators.schema import KEYS, MODEL_FEATURES
 from tidemark.operators.sequences import BYPASS_PROB
 from tidemark.streaming import book as K
@@ -243,6 +245,17 @@ def live_signals(scored_bars: DataFrame, long_theta: float = 0.25, short_theta:
         outputMode="Append", timeMode="EventTime")
 
 
+def score_bars(bars: DataFrame, model_path: str, features: list[str] | None = None) -> DataFrame:
+    """Class probabilities of a stored model beside the bars, which may be a stream: scoring looks at one row at a time,
+    so a replay has the scores of the batch."""
+    return load_scorer(model_path, features)(bars)
+
+
+def model_signals(bars: DataFrame, model_path: str, features: list[str] | None = None, **options) -> DataFrame:
+    """Stream of signals from a stream of closed bars, scored by a stored model on the way (``live_signals`` options)."""
+    return live_signals(score_bars(bars, model_path, features), **options)
+
+
 def tradable(signals: DataFrame, mode: str = "VIRTUAL") -> DataFrame:
     """Signals of single equities only, marked with the running mode."""
     return signals.where(is_equity("symbol")).withColumn("mode", F.lit(mode))
@@ -266,8 +279,38 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = Tru
     return query
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up, over all batches of every query of the session, the rows that came behind the watermark."""
+
+    def __init__(self) -> None:
+        self.rows: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] += 0
+
+    def onQueryProgress(self, event) -> None:
+        self.rows[str(event.progress.id)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.rows[str(event.id)] += 0
+
+    def of(self, query) -> int:
+        return self.rows[str(query.id)]
+
+
+def count_late_rows(spark: SparkSession) -> LateRows:
+    """Start counting; ``spark.streams.removeListener`` ends it.  Spark reports a batch shortly after it is done."""
+    late = LateRows()
+    spark.streams.addListener(late)
+    return late
+
+
 def late_rows(query) -> int:
-    """Rows that a finished or running query dropped because they came behind its watermark (last hundred batches)."""
+    """Rows that a query dropped because they came behind its watermark, in its last hundred batches; ``count_late_rows``
+    has them all."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
