@@ -47,6 +47,7 @@ SEED = 7
 class Lists(NamedTuple):
     centres: np.ndarray
     probes: int
+    sample: np.ndarray
 
 
 class Places(NamedTuple):
@@ -106,7 +107,7 @@ def fit(sample: np.ndarray, total: int, k: int) -> Lists:
     near = np.argpartition(-(sample[trial] @ sample.T), min(k, len(sample) - 1), axis=1)[:, :k + 1]
     rank = np.argsort(np.argsort(-(sample[trial] @ centres.T), axis=1), axis=1)
     needed = np.sort(rank[np.arange(len(trial))[:, None], nearest_cell(sample, centres)[near]].ravel())
-    return Lists(centres, int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1)
+    return Lists(centres, int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1, sample)
 
 
 def assign(batches: Iterable[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -116,11 +117,17 @@ def assign(batches: Iterable[pa.RecordBatch], centres: np.ndarray) -> Iterator[p
 
 
 def probe(batches: Iterable[pa.RecordBatch], lists: Lists, places: Places, k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, vector, block, lists, first): a query's probed lists by block; `first` for the best list of all.
-
-    A query goes on beyond the usual number of probes until its lists hold k + 1 vectors."""
-    for batch in row_portions(batches, 1024):
-        order = np.argsort(-(matrix(batch.column("vector")) @ lists.centres.T), axis=1, kind="stable")
+    """(query_id, vector, block, lists, first, bound): a query's probed lists by block; `first` for the best list of all.
+
+    A query goes on beyond the usual number of probes until its lists hold k + 1 vectors.  Its bound is the k + 1-st best
+    product with the sample, which its result can't be worse than."""
+    most = np.sqrt((lists.sample ** 2).sum(1).max())
+    for batch in row_portions(batches, 256):
+        x = matrix(batch.column("vector")).astype(np.float64)
+        order = np.argsort(-(x @ lists.centres.T), axis=1, kind="stable")
+        bound = np.full(len(x), -np.inf)
+        if len(lists.sample) > k:
+            bound = np.partition(x @ lists.sample.T, -(k + 1), axis=1)[:, -(k + 1)] - 1e-9 * most * np.sqrt((x ** 2).sum(1))
         held = np.cumsum(places.size[order], axis=1)
         upto = np.maximum(lists.probes, 1 + (held < min(k + 1, held[0, -1] if len(held) else 0)).sum(1))
         filled = places.size[order] > 0
@@ -138,8 +145,9 @@ def probe(batches: Iterable[pa.RecordBatch], lists: Lists, places: Places, k: in
         ends = np.append(new, len(row)).astype(np.int32)
         rows = batch.select(["query_id", "vector"]).take(pa.array(row[new]))
         yield pa.RecordBatch.from_arrays(
-            [*rows.columns, pa.array(block[new].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.astype(np.int32))), pa.array(first[new])],
-            ["query_id", "vector", "block", "lists", "first"])
+            [*rows.columns, pa.array(block[new].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.astype(np.int32))), pa.array(first[new]),
+             pa.array(bound[row[new]])],
+            ["query_id", "vector", "block", "lists", "first", "bound"])
 
 
 class Block:
@@ -325,13 +333,17 @@ def nearest(vectors: DataFrame, asks: Column, k: int = K, key: str = "vec_id", v
     candidates = assigned.select("vector", "ids", "list", block.alias("block"))
     queries = rows.where(asks).select(F.col("id").alias("query_id"), "vector")
     probes = staged(queries.mapInArrow(partial(probe, lists=lists, places=places, k=k),
-                                       f"query_id long, vector {kind}, block int, lists array<int>, first boolean"), "probes")
+                                       f"query_id long, vector {kind}, block int, lists array<int>, first boolean, bound double"), "probes")
     blocks = int((places.first + places.parts).max())
-    unbounded = probes.where("first").select("query_id", "vector", "block", "lists", F.lit(None).cast("double").alias("bound"))
-    near = staged(meet(candidates, unbounded, blocks, k), "near")
-    bounds = near.groupBy("query_id").agg(F.max("bound").alias("bound"))
-    bounded = probes.where("not first").join(bounds, "query_id", "left").select("query_id", "vector", "block", "lists", "bound")
-    found = near.unionByName(meet(candidates, bounded, blocks, k)).select("query_id", "score", F.explode("ids").alias("vec_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(order))
+    asked = lambda rows: rows.select("query_id", "vector", "block", "lists", "bound")
+    near = staged(meet(candidates, asked(probes.where("first")), blocks, k), "near")
+    better = near.groupBy("query_id").agg(F.max("bound").alias("better"))
+    rest = probes.where("not first").join(better, "query_id", "left").withColumn("bound", F.greatest("bound", "better"))
+    found = near.unionByName(meet(candidates, asked(rest), blocks, k)).select("query_id", "score", "ids")
+    # of vectors that several ids have, k + 1 are enough for any k of their ids
+    by_vector = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
+    few = found.withColumn("turn", F.row_number().over(by_vector)).where(F.col("turn") <= k + 1)
+    few = few.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
+    by_id = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = few.withColumn("rank", F.row_number().over(by_id))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
