@@ -107,8 +107,7 @@ def realized_variance(spark, sf):
 
 # --------------------------------------------------------------------------- controls
 
-_DRAW = lambda s, c: (s * 7919 + c * 104729) % 1000003
-_SQL_DRAW = "(s.id * 7919 + c.id * 104729) % 1000003"
+_DRAW = H.Draw(order=lambda c: (c * 104729) % 1000003, begin=lambda s: (s * 7919) % 1000003)
 
 
 def _ids():
@@ -117,11 +116,13 @@ def _ids():
 
 def _sql_controls(match, fallback=None, n=20, src="sb", sig="sig"):
     on = lambda keys: " AND ".join(f"s.{k} = c.{k}" for k in keys)
-    fall = "" if fallback is None else f""" UNION ALL SELECT s.id AS sid, c.*, {_SQL_DRAW} AS o FROM {sig} s JOIN quiet c ON {on(fallback)}
+    placed = lambda keys: f"(SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY (id * 104729) % 1000003, id) - 1 AS place, count(*) OVER (PARTITION BY {', '.join(keys)}) AS size FROM quiet)"
+    turn = "(c.place - (s.id * 7919) % 1000003 % c.size + c.size) % c.size + 1 AS draw_no"
+    fall = "" if fallback is None else f""" UNION ALL SELECT s.id AS sid, c.*, {turn} FROM {sig} s JOIN {placed(fallback)} c ON {on(fallback)}
     WHERE NOT EXISTS (SELECT 1 FROM quiet c2 WHERE {' AND '.join(f's.{k} = c2.{k}' for k in match)})"""
     return f"""quiet AS (SELECT * FROM {src} WHERE symbol NOT IN (SELECT symbol FROM sig)),
-cand AS (SELECT s.id AS sid, c.*, {_SQL_DRAW} AS o FROM {sig} s JOIN quiet c ON {on(match)}{fall}),
-ctl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY o, id) AS draw_no FROM cand) WHERE draw_no <= {n})"""
+cand AS (SELECT s.id AS sid, c.*, {turn} FROM {sig} s JOIN {placed(match)} c ON {on(match)}{fall}),
+ctl AS (SELECT * FROM cand WHERE draw_no <= {n})"""
 
 
 _CTL_OUT = "SELECT sid AS signal_id, trade_date, draw_no, symbol, ts, close_price FROM ctl"

@@ -61,24 +61,43 @@ def feature_by_label(labeled: DataFrame, label: str, features: list[str]) -> Dat
         F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features])
 
 
+def _power(k: Column) -> Column:
+    return F.pow(F.lit(2.0), k).cast("int")
+
+
 def first_touch_label(bars: DataFrame, threshold: float = 0.015, price: str = "ltp", cutoff: str = "15:00:00",
                       keys: tuple[str, ...] = KEYS) -> DataFrame:
     """LONG / SHORT by which barrier a later bar of the day touches first, else NO_TRADE.
 
     Barriers are relative to each bar's own price.  A day is one array of at most one element per bar
-    time and is searched where it lies; its bars get back only the two times.
+    time.  Extremes of 1, 2, 4 ... bars from each bar on are tabulated once, and the first touch is found by
+    halving steps: n log n for a day of n bars.  Its bars get back only the two times.
     """
     live = bars.where(exchange_time("ts") < cutoff)
-    point = F.struct(F.col("ts").cast("timestamp").alias("t"), F.col(price).alias("p"))
-    days = live.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_path"))
-
-    def first_at(x, test):
-        hits = F.filter("_path", lambda y: (y["t"] > x["t"]) & test(y["p"]))
-        return F.get(hits, F.lit(0))["t"]
-
-    touched = days.select(*keys, F.explode(F.transform("_path", lambda x: F.struct(
-        x["t"].alias("_at"), first_at(x, lambda p: p >= x["p"] * (1 + threshold)).alias("up_ts"),
-        first_at(x, lambda p: p <= x["p"] * (1 - threshold)).alias("down_ts")))).alias("_touch")).select(*keys, "_touch.*")
+    point = F.struct(F.col("ts").cast("timestamp").alias("t"), F.col(price).cast("double").alias("p"))
+    days = live.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_path")).withColumn("_n", F.size("_path"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_n"), F.lit(2)))).cast("int"))
+
+    def table(further):
+        """The extremes of 2**k bars from each bar on, by k; fewer at the end of the day."""
+        def twice(levels, k):
+            last = F.element_at(levels, -1)
+            return F.concat(levels, F.array(F.transform(last, lambda x, i: further(x, F.get(last, i + _power(k))))))
+        return F.aggregate(steps, F.array(F.transform("_path", lambda x: x["p"])), twice)
+
+    tables = days.select(*keys, "_path", "_n", F.explode(F.array(F.struct(table(F.greatest).alias("most"), table(F.least).alias("least")))).alias("_x"),
+                         F.reverse(steps).alias("_steps"))
+
+    def first_at(i, name, beyond):
+        """Leap over runs of bars that do not touch, longest first; the place behind them touches, if there is one."""
+        levels = F.col(f"_x.{name}")
+        at = F.aggregate("_steps", i + 1, lambda at, k: F.when(
+            (at < F.col("_n")) & ~beyond(F.get(F.get(levels, k), at)), F.least(at + _power(k), F.col("_n"))).otherwise(at))
+        return F.get("_path", at)["t"]
+
+    touched = tables.select(*keys, F.explode(F.transform("_path", lambda x, i: F.struct(
+        x["t"].alias("_at"), first_at(i, "most", lambda p: p >= x["p"] * (1 + threshold)).alias("up_ts"),
+        first_at(i, "least", lambda p: p <= x["p"] * (1 - threshold)).alias("down_ts")))).alias("_touch")).select(*keys, "_touch.*")
     up, down = F.col("up_ts"), F.col("down_ts")
     met = live.withColumn("_at", F.col("ts").cast("timestamp")).join(touched.dropDuplicates([*keys, "_at"]), [*keys, "_at"]).drop("_at")
     return met.withColumn(

@@ -62,8 +62,18 @@ def prefix_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """by..., q: linearly interpolated quantiles in the order of ``probs``, and ``n``."""
+#: Moments over a table of counts (_x, n), for ``exact_quantiles``.
+MEAN = "sum(_x * n) / sum(n)"
+DEVIATION = "sqrt(greatest(sum(_x * _x * n) / sum(n) - power(sum(_x * n) / sum(n), 2), 0.0D))"
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
+                    more: dict[str, str] | None = None) -> DataFrame:
+    """by..., q: linearly interpolated quantiles in the order of ``probs``, and ``n``.
+
+    All comes from one table of counts per distinct value; ``more`` names further aggregates over
+    it, as SQL over the value _x and its count n.
+    """
     by = list(by or [])
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -74,12 +84,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         pos = (F.col("total_n") - 1) * F.lit(float(p))
         for side, at in (("l", F.floor(pos)), ("h", F.ceil(pos))):
             picks.append(F.max(F.when((lo <= at) & (at < hi), F.col("_x"))).alias(f"_{side}{i}"))
-    agg = ranked.groupBy(*by).agg(F.max("total_n").alias("n"), *picks)
+    further = [F.expr(sql).alias(name) for name, sql in (more or {}).items()]
+    agg = ranked.groupBy(*by).agg(F.max("total_n").alias("_n"), *picks, *further).withColumnRenamed("_n", "n")
     out = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
         out.append(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (pos - F.floor(pos)))
-    return agg.select(*by, F.array(*out).alias("q"), "n")
+    return agg.select(*by, F.array(*out).alias("q"), "n", *(more or {}))
 
 
 def global_rank(df: DataFrame, value: str, order: list[str], by: list[str] | None = None,

@@ -7,27 +7,20 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clock import exchange_time
 from tidemark.functions.scalars import clamp, pair_thresholds
-from tidemark.operators.ranks import decile_of, exact_quantiles, global_rank, top_fraction
+from tidemark.operators.ranks import DEVIATION, MEAN, decile_of, exact_quantiles, global_rank, top_fraction
 from tidemark.session import stage
 
 
 def trade_metrics(trades: DataFrame, by: list[str], pnl: str = "pnl") -> DataFrame:
-    """Count, win rate, mean, median, profit factor and cumulative result per group."""
-    p = F.col(pnl)
-    wins, losses = F.sum(F.when(p > 0, p)), F.abs(F.sum(F.when(p <= 0, p)))
-    wins, losses = F.coalesce(wins, F.lit(0.0)), F.coalesce(losses, F.lit(0.0))
-    base = trades.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("num_trades"),
-        F.round(F.avg((p > 0).cast("double")), 4).alias("win_rate"),
-        F.round(F.avg(p), 6).alias("mean_pnl"),
+    """Count, win rate, mean, median, profit factor and cumulative result per group, NULL groups too."""
+    out = exact_quantiles(trades, pnl, [0.5], by, more={
+        "_wins": "coalesce(sum(if(_x > 0, _x * n, NULL)), 0.0D)", "_losses": "coalesce(abs(sum(if(_x <= 0, _x * n, NULL))), 0.0D)",
+        "_won": "sum(if(_x > 0, n, 0)) / sum(n)", "_mean": MEAN, "_sum": "sum(_x * n)"})
+    wins, losses = F.col("_wins"), F.col("_losses")
+    return out.select(
+        *by, F.col("n").alias("num_trades"), F.round("_won", 4).alias("win_rate"), F.round("_mean", 6).alias("mean_pnl"),
         F.round(F.when(losses > 0, wins / losses).when(wins > 0, wins).otherwise(F.lit(1.0)), 4).alias("profit_factor"),
-        F.round(F.sum(p), 6).alias("cumulative_pnl"),
-    )
-    # NULL group values (a strategy without expiry) must survive the join
-    key = F.struct(*by)
-    median = exact_quantiles(trades.withColumn("_k", F.to_json(key)), pnl, [0.5], ["_k"])
-    return base.withColumn("_k", F.to_json(key)).join(
-        median.select("_k", F.round(F.col("q")[0], 6).alias("median_pnl")), "_k").drop("_k")
+        F.round("_sum", 6).alias("cumulative_pnl"), F.round(F.col("q")[0], 6).alias("median_pnl"))
 
 
 def threshold_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
@@ -58,14 +51,11 @@ TAILS = [("Top 10%", 0.1, 0), ("Top 1%", 0.01, 0), ("Top 0.1%", 0.001, 0), ("Top
 
 
 def _bucket_stats(rows: DataFrame, by: list[str], ret: str) -> DataFrame:
-    r = F.col(ret)
-    base = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(r).alias("mean_bps"), F.stddev_pop(r).alias("std_bps"),
-        (F.avg((r > 100.0).cast("double")) * 100).alias("share_gt_100bps"),
-        (F.avg((r < -100.0).cast("double")) * 100).alias("share_lt_minus_100bps"))
-    q = exact_quantiles(rows, ret, [0.5, 0.05, 0.95], by)
-    return base.join(q.drop("n"), by).select(
-        *by, "rows", *[F.round(c, 2).alias(c) for c in ("mean_bps", "std_bps", "share_gt_100bps", "share_lt_minus_100bps")],
+    out = exact_quantiles(rows, ret, [0.5, 0.05, 0.95], by, more={
+        "mean_bps": MEAN, "std_bps": DEVIATION, "share_gt_100bps": "sum(if(_x > 100, n, 0)) / sum(n) * 100",
+        "share_lt_minus_100bps": "sum(if(_x < -100, n, 0)) / sum(n) * 100"})
+    return out.select(
+        *by, F.col("n").alias("rows"), *[F.round(c, 2).alias(c) for c in ("mean_bps", "std_bps", "share_gt_100bps", "share_lt_minus_100bps")],
         F.round(F.col("q")[0], 2).alias("median_bps"), F.round(F.col("q")[1], 2).alias("p5_bps"),
         F.round(F.col("q")[2], 2).alias("p95_bps"))
 
@@ -81,7 +71,6 @@ def ranked_returns(bars: DataFrame, score: str, ret: str, direction: str = "LONG
 def decile_table(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Statistics of each tenth; decile 1 holds the highest scores."""
     by = list(by or [])
-    ranked = stage(ranked)
     return _bucket_stats(ranked.withColumn("decile", decile_of("rn", "n")), [*by, "decile"], "ret")
 
 
@@ -91,7 +80,7 @@ def tail_buckets(ranked: DataFrame) -> DataFrame:
               for name, p, lo in TAILS]
     # no row lies in the tails beyond the first cut: filter before the explode
     top = ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(TAILS[0][1]))))
-    rows = stage(top.withColumn("bucket", F.explode(F.filter(F.array(*inside), lambda b: b.isNotNull()))))
+    rows = top.withColumn("bucket", F.explode(F.filter(F.array(*inside), lambda b: b.isNotNull())))
     return _bucket_stats(rows, ["bucket"], "ret")
 
 
