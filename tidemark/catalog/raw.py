@@ -244,6 +244,84 @@ def key_intersection(spark, sf):
     return S.common_keys([t.where(TICK_FEED), t.where(BOOK_FEED), t.where(_DONE)], ["symbol", "trade_date"])
 
 
+def _place(spark):
+    return f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+_READ = ["symbol", "trade_date", "ts", "ltp", "trade_qty"]
+_SQL_LAST = f"(SELECT max(trade_date) FROM ({SQL_TICKS}))"
+
+
+@query("day_files", f"""SELECT DISTINCT 'ticks' AS kind, trade_date FROM ({SQL_TICKS}) WHERE trade_date > {_SQL_LAST} - INTERVAL 5 DAY""")
+def day_files(spark, sf):
+    """Day-level files by their names, beside files of other names, which are passed over."""
+    t, place = ticks(spark, sf).select(*_READ), _place(spark)
+    last = t.agg(F.max("trade_date")).first()[0]
+    name = F.date_format("trade_date", "'ticks_year='yyyy'_month='MM'_day='dd'_ticks.parquet'")
+    days = t.where(F.datediff(F.lit(last), "trade_date") < 5).withColumn("file", name)
+    W.write_named_files(days.unionByName(days.where(F.col("trade_date") == F.lit(last)).withColumn("file", F.lit("notes.parquet"))), place, "file")
+    return S.discover_day_files(spark, place).select("kind", "trade_date")
+
+
+@query("mixed_files", f"""WITH t AS (SELECT * FROM ({SQL_TICKS}) WHERE trade_date > {_SQL_LAST} - INTERVAL 3 DAY AND symbol IN ('S0', 'S1'))
+SELECT symbol, strftime(trade_date, '%d_%b_%y') AS date_str, count(*) AS rows, rd(sum(ltp), 4) AS ltp_sum, rd(sum(CASE WHEN symbol = 'S0' THEN ltp + 1 ELSE ltp END), 4) AS close_sum FROM t GROUP BY ALL""")
+def mixed_files(spark, sf):
+    """Files of differing schemas with the day in their names, a damaged and an empty one among them."""
+    t, place = ticks(spark, sf).select("symbol", "trade_date", "ltp"), _place(spark)
+    last = t.agg(F.max("trade_date")).first()[0]
+    some = t.where((F.datediff(F.lit(last), "trade_date") < 3) & F.col("symbol").isin("S0", "S1")).withColumn("file", F.concat(slug("symbol", "trade_date"), F.lit(".parquet")))
+    W.write_named_files(some.where("symbol = 'S0'").withColumn("close_price", F.col("ltp") + 1), f"{place}/a", "file")
+    W.write_named_files(some.where("symbol = 'S1'"), f"{place}/b", "file")
+    some.limit(1).select(F.rpad(F.lit("no parquet"), 400, ".").alias("value")).coalesce(1).write.text(f"{place}/c/damaged.parquet")
+    read = S.read_tolerant(spark, f"{place}/*", ["symbol", "date_str", "ltp", "close_price"], {"close_price": "ltp"}, recursive=True)
+    return read.groupBy("symbol", "date_str").agg(F.count(F.lit(1)).alias("rows"), rd(F.sum("ltp"), 4).alias("ltp_sum"), rd(F.sum("close_price"), 4).alias("close_sum"))
+
+
+@query("day_load", f"""WITH t AS ({SQL_TICKS}), d AS (SELECT DISTINCT trade_date FROM t ORDER BY 1 DESC LIMIT 2)
+SELECT trade_date, symbol, count(*) AS rows, rd(sum(ltp), 4) AS close_sum FROM t JOIN d USING (trade_date) GROUP BY ALL""")
+def day_load(spark, sf):
+    """The last two days of a table partitioned by day, two columns of it, closes taken from the last price."""
+    t, place = ticks(spark, sf).select(*_READ), _place(spark)
+    W.write_table(t, place)
+    days = [str(r.trade_date) for r in t.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(2).collect()]
+    out = S.load_days(spark.read.parquet(place).withColumn("close_price", F.lit(None).cast("double")), days, ["symbol", "trade_date", "close_price", "ltp"], ["close_price"])
+    return out.groupBy("trade_date", "symbol").agg(F.count(F.lit(1)).alias("rows"), rd(F.sum("close_price"), 4).alias("close_sum"))
+
+
+@query("symbol_day_split", f"""SELECT symbol, trade_date, count(*) AS rows, sum(trade_qty) AS qty
+FROM (SELECT *, bool_or({_DONE}) OVER (PARTITION BY symbol, trade_date) AS stored FROM ({SQL_TICKS})) WHERE symbol <> 'S3' AND ({_DONE} OR NOT stored) GROUP BY ALL""")
+def symbol_day_split(spark, sf):
+    """Day-level rows dealt to (day, symbol) folders; sentinel symbols are dropped, pairs that exist are kept as they are."""
+    sentinel = F.when(F.col("symbol") == "S3", F.lit("dom_snapshots")).otherwise(F.col("symbol"))
+    t, place = ticks(spark, sf).select(*_READ).withColumn("symbol", sentinel), _place(spark)
+    first = t.where(_DONE)
+    W.split_day(first, place, force=True)
+    W.split_day(t.withColumn("trade_qty", F.when(F.expr(_DONE), F.lit(-1)).otherwise(F.col("trade_qty")).cast(t.schema["trade_qty"].dataType)), place, existing=spark.read.parquet(place))
+    return spark.read.parquet(place).groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_qty").cast("decimal(38,0)").alias("qty"))
+
+
+@query("replaced_day", f"""SELECT trade_date, count(*) AS rows, sum(CASE WHEN trade_date = {_SQL_LAST} THEN 2 * trade_qty ELSE trade_qty END) AS qty FROM ({SQL_TICKS}) GROUP BY 1""")
+def replaced_day(spark, sf):
+    """One day of a stored table written again, with its quantities doubled; the other days stay."""
+    t, place = ticks(spark, sf).select(*_READ), _place(spark)
+    W.write_table(t, place)
+    last = t.agg(F.max("trade_date")).first()[0]
+    W.replace_days(t.where(F.col("trade_date") == F.lit(last)).withColumn("trade_qty", F.col("trade_qty") * 2), place)
+    return spark.read.parquet(place).groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_qty").cast("decimal(38,0)").alias("qty"))
+
+
+@query("result_formats", f"""SELECT format, symbol, count(*) AS rows, sum(trade_qty) AS qty FROM ({SQL_TICKS}) CROSS JOIN (SELECT unnest(['parquet', 'csv', 'json']) AS format) GROUP BY ALL""")
+def result_formats(spark, sf):
+    """The same rows through each of the result writers and back."""
+    t, place = ticks(spark, sf).select("symbol", "trade_qty"), _place(spark)
+    parts = []
+    for fmt in ("parquet", "csv", "json"):
+        W.write_results(t, f"{place}/{fmt}", fmt)
+        parts.append(spark.read.schema(t.schema).option("header", "true").format(fmt).load(f"{place}/{fmt}").withColumn("format", F.lit(fmt)))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.groupBy("format", "symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_qty").cast("decimal(38,0)").alias("qty"))
+
+
 @query("root_priority", f"""
 WITH t AS (SELECT *, {_SLUG} AS file_name FROM ({SQL_TICKS})),
  f AS (SELECT file_name, 0 AS root_no, count(*) AS n FROM t WHERE {_DONE} GROUP BY 1 UNION ALL SELECT file_name, 1, count(*) FROM t GROUP BY 1)

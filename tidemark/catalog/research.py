@@ -14,6 +14,7 @@ from tidemark.catalog.inputs import (
     Registry, SQL_BARS, naive_ts, rd, rounded, scored_bars, sql_clock,
 )
 from tidemark.models import oof as O
+from tidemark.models.audit import prediction_audit as prediction_audit_table
 from tidemark.models import splits as P
 from tidemark.models import store as V
 from tidemark.operators import compare as C
@@ -24,6 +25,7 @@ from tidemark.operators.labels import forward_return
 from tidemark.operators.momentum import with_trailing_volatility
 from tidemark.operators.ranks import decile_of, exact_quantiles, global_rank, top_fraction
 from tidemark.session import checkpoint_dir, stage
+from tidemark.sources.sinks import write_results
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -325,6 +327,41 @@ def fold_map(spark, sf):
     return P.check_folds(P.mapped_folds(b, P.seeded_folds(b)))
 
 
+# A stored map knows the symbols with an even number; the others fall to the digest.
+_MAPPED = f"{_SYM} % 2 = 0"
+_SQL_MD5 = " + ".join(f"CAST(('0x' || substr(md5(upper(symbol)), {k}, 8)) AS BIGINT)" for k in (1, 9, 17, 25))
+_SQL_FOLD = f"CASE WHEN {_MAPPED} THEN {_SYM} // 2 % 5 ELSE ({_SQL_MD5}) % 5 END"
+
+
+def _stored_folds(spark, sf):
+    """The map of even symbols, written as JSON and read again."""
+    known = scored_bars(spark, sf).select("symbol").distinct().where(_MAPPED).withColumn("fold", F.expr(f"CAST({_SYM} div 2 % 5 AS INT)"))
+    path = f"{checkpoint_dir(spark)}/folds/{uuid.uuid4().hex}"
+    P.save_fold_map(known, path)
+    return P.load_fold_map(spark, path)
+
+
+@query("mapped_folds", f"WITH {SQL_BARS} SELECT symbol, CAST({_SQL_FOLD} AS INTEGER) AS fold, count(*) AS rows FROM bars GROUP BY 1")
+def mapped_folds(spark, sf):
+    assigned = P.mapped_folds(scored_bars(spark, sf), _stored_folds(spark, sf))
+    return assigned.groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("prediction_audit", f"""WITH {SQL_BARS}, {SQL_LABELS}, ok AS (SELECT * FROM labelled WHERE label_8m_1pct IS NOT NULL AND ltp IS NOT NULL AND delta_1m IS NOT NULL AND volume_1m IS NOT NULL AND roc_3 IS NOT NULL)
+SELECT ts, symbol, upper(symbol) || '_' || strftime(trade_date, '%d_%b_%y') AS slug, CAST({_SQL_FOLD} AS INTEGER) AS fold, rd(ltp, 6) AS ltp,
+  rd((ltp - lag(ltp, 9) OVER w) / lag(ltp, 9) OVER w * 100, 6) AS roc_9pct, label_8m_1pct, rd(return_8m, 6) AS return_8m, TRUE AS lr_said, TRUE AS rf_said
+FROM ok WINDOW w AS ({_D})""")
+def prediction_audit(spark, sf):
+    """The exported table read back; the predictions themselves have no counterpart outside Spark, but each bar has both."""
+    out = prediction_audit_table(_model_bars(spark, sf), _stored_folds(spark, sf), {"lr": O.logistic(max_iter=10), "rf": O.forest(5, 4, 5, every=2)},
+                                 _LABEL, "return_8m", ["delta_1m", "volume_1m", "roc_3"])
+    path = f"{checkpoint_dir(spark)}/audit/{uuid.uuid4().hex}"
+    write_results(out, path, "csv")
+    said = lambda m: F.col(f"pred_{m}").isin(*O.CLASSES).alias(f"{m}_said")
+    back = spark.read.option("header", "true").schema(out.schema).csv(path)
+    return naive_ts(rounded(back.select("ts", "symbol", "slug", "fold", "ltp", "roc_9pct", _LABEL, "return_8m", said("lr"), said("rf")), "ltp", "roc_9pct", "return_8m"))
+
+
 _SQL_PL = f"{SQL_LABELS}, lp AS (SELECT *, {_PRED.format(t=0.6)} AS pred, label_8m_1pct AS y FROM labelled WHERE label_8m_1pct IS NOT NULL)"
 
 

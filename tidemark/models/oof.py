@@ -185,8 +185,14 @@ def keyed_out_of_fold(bars: DataFrame, fit: Fit, label: str, features: list[str]
     bars = stage(bars)
     parts = []
     for k in range(folds):
-        rows = training_rows(bars.where(F.col("fold") != k), label, features)
-        parts.append(fit(rows, features)(bars.where(F.col("fold") == k)))
+        mine = bars.where(F.col("fold") == k)
+        if mine.isEmpty():
+            continue
+        rows = stage(training_rows(bars.where(F.col("fold") != k), label, features))
+        if rows.select("y").distinct().limit(2).count() == 2:  # else there is nothing to learn from
+            parts.append(fit(rows, features)(mine))
+    if not parts:
+        raise ValueError("no fold has training rows of two classes")
     return reduce(DataFrame.unionByName, parts)
 
 

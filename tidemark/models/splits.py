@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import md5_fold
@@ -34,6 +34,20 @@ def mapped_folds(df: DataFrame, fold_map: DataFrame, key: str = "symbol", folds:
     return df.join(known, key, "left").withColumn("fold", F.coalesce("_known", md5_fold(key, folds))).drop("_known")
 
 
+def save_fold_map(fold_map: DataFrame, path: str, key: str = "symbol") -> None:
+    """The map as one JSON object, key to fold (one entry per symbol)."""
+    entries = F.sort_array(F.collect_list(F.struct(F.col(key), F.col("fold").cast("int").alias("fold"))))
+    fold_map.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_fold_map(spark: SparkSession, path: str, key: str = "symbol") -> DataFrame:
+    """key, fold from a stored JSON object; keys that carry a day behind ``_`` stand for their symbol."""
+    text = spark.read.option("wholetext", "true").text(path).where("trim(value) <> ''")
+    pairs = text.select(F.explode(F.from_json("value", "map<string,int>")).alias(key, "fold"))
+    base = F.upper(F.split(key, "_")[0])
+    return pairs.select(base.alias(key), "fold", F.col(key).alias("_name")).groupBy(key).agg(F.max_by("fold", "_name").alias("fold"))
+
+
 def check_folds(assigned: DataFrame, key: str = "symbol", folds: int = 5) -> DataFrame:
     """rule, passed: every key in one fold, every fold used, sizes within one of each other."""
     per_key = assigned.groupBy(key).agg(F.countDistinct("fold").alias("n"), F.min("fold").alias("fold"))

@@ -46,14 +46,14 @@ def usable_files(files: DataFrame, min_bytes: int = MIN_FILE_BYTES) -> DataFrame
 
 
 def read_tolerant(spark: SparkSession, path: str, columns: list[str] | None = None,
-                  defaults: dict[str, str] | None = None, skip_bad: bool = True) -> DataFrame:
+                  defaults: dict[str, str] | None = None, skip_bad: bool = True, recursive: bool = False) -> DataFrame:
     """Parquet with differing schemas: columns united by name, the day taken from the file name, an absent
     column filled from another (close_price <- ltp).
 
     ``skip_bad``: damaged and near-empty files are left out, and ``bad_files`` names them; otherwise the
     read fails on the first one.
     """
-    reader = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(skip_bad).lower())
+    reader = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(skip_bad).lower()).option("recursiveFileLookup", str(recursive).lower())
     df = reader.parquet(path)
     if skip_bad:
         df = df.where(F.col("_metadata.file_size") > MIN_FILE_BYTES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -101,6 +102,22 @@ def _extra(df: DataFrame) -> list[str]:
     return [c for c in ("trade_date", "seq") if c in df.columns]
 
 
+def write_named_files(df: DataFrame, path: str, name: str) -> None:
+    """One parquet file for each value of ``name``, which is its file name, for tools that read names: rows of a file meet in
+    one writer, and each is moved to its name when all are written."""
+    spark = df.sparkSession
+    df.repartition(name).write.mode("overwrite").partitionBy(name).parquet(f"{path}/_parts")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(place(f"{path}/_parts")):  # one per file
+        label, _, value = folder.getPath().getName().partition("=")
+        if label == name:
+            for part in files.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), place(f"{path}/{unquote(value)}"))
+    files.delete(place(f"{path}/_parts"), True)
+
+
 def write_by_pair(strategy_rows: DataFrame, summary: DataFrame, path: str) -> None:
     """One table partitioned by threshold pair, and its summary next to it."""
     strategy_rows.write.mode("overwrite").partitionBy("pair").parquet(f"{path}/pairs")
