@@ -4,9 +4,9 @@ Every word position is counted once, by the window of words that it leads: up to
 the piece of text ends.  Spark's ROLLUP over the window columns sums the counts of successively shorter prefixes, and
 a phrase's count is the sum of the windows that begin with it, so no n-gram length is exploded on its own.
 
-A phrase of enough occurrences holds only pairs of enough occurrences.  Pairs are therefore counted first, by a hash,
-and a window is padded from the first rare pair on.  The frequent pairs' hashes go to the tasks as a bit set of fixed
-size: the fuller it is the fewer windows are cut short, and the counts are exact at any fill.
+A phrase of enough occurrences holds only words and shorter phrases of enough occurrences.  They are therefore counted
+first, length by length and by hashes, and a window is padded from the first rare phrase on.  The frequent hashes go to
+the tasks as a bit set of fixed size: the fuller it is the fewer windows are cut short, and the counts are exact at any fill.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import portions, staged
+from tidemark.llm.hashcounts import is_live, live_bits, mixed, range_bits
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -30,11 +31,9 @@ TOP = 2000
 #: A shorter phrase goes if a longer candidate around it has this percentage of its count.
 COVERED = 100
 UNKNOWN = "und"
-#: Bits of the set of frequent pairs: 16 MB whatever the corpus.
-LIVE_BITS = 27
-#: Pairs are counted by so many bits of their hash.
-PAIR_BITS = 32
-PORTION = 8 << 20
+#: Bytes of text at a time, and windows that a task merges before it passes them on.
+PORTION, MERGED = 4 << 20, 600_000
+STEP = np.uint64(0xD6E8FEB86659FD93)
 SEPARATORS = r"[.,;:!?\x0A-\x0D]"
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
@@ -51,18 +50,22 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.where(code == end, -1, code), words
 
 
-def mixed(a: np.ndarray) -> np.ndarray:
-    a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return a ^ (a >> np.uint64(29))
-
-
-def pair_hashes(code: np.ndarray, words: pa.Array, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose next word is in the same piece, and the hash of each such pair."""
+def live_phrases(code: np.ndarray, words: pa.Array, lang: str, live: np.ndarray | None, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By length: hash of the phrase that begins at each position, and whether it may be frequent, which its words and
+    both phrases one word shorter must be.  Without a bit set all words and pairs may be."""
     seed = xxhash.xxh64_intdigest(lang)
     names = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], dtype=np.uint64)
-    at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
-    found = mixed(mixed(names[code[at]]) + names[code[at + 1]])
-    return at, found & np.uint64((1 << PAIR_BITS) - 1)
+    name = np.where(code >= 0, names[code], np.uint64(0))
+    hashes, chosen = [mixed(name)], [code >= 0]
+    for k in range(1, longest):
+        found, ok = np.zeros(len(code), np.uint64), np.zeros(len(code), bool)
+        found[:-k] = mixed(hashes[-1][:-k] * STEP + name[k:])
+        if live is not None:
+            chosen[-1][chosen[-1]] = is_live(live, hashes[-1][chosen[-1]])
+        ok[:-1] = chosen[-1][:-1] & chosen[-1][1:]
+        hashes.append(found)
+        chosen.append(ok)
+    return hashes, chosen
 
 
 def by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
@@ -72,68 +75,103 @@ def by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.nda
             yield lang, *coded(batch.column("text").filter(pc.equal(langs, lang)))
 
 
-def pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def phrase_hashes(batches: Iterable[pa.RecordBatch], live: Broadcast | None, length: int) -> Iterator[np.ndarray]:
+    """Hashes of the phrases of a length that may be frequent as far as the bit set tells; pairs come with their words."""
     for lang, code, words in by_language(batches):
-        pair, n = np.unique(pair_hashes(code, words, lang)[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n)], ["pair", "n"])
+        hashes, chosen = live_phrases(code, words, lang, live and live.value, length)
+        yield np.concatenate([hashes[k][chosen[k]] for k in range(0 if length == 2 else length - 1, length)])
 
 
 def grouped(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One row number for each distinct row of the columns, and how often the row is there."""
-    key = columns[0]
-    for column in columns[1:]:
-        key = np.unique(key * (column.max(initial=0) + 2) + column + 1, return_inverse=True)[1]
+    key, longer = columns[0], np.arange(len(columns[0]))
+    for column in columns[1:]:  # only rows with another word are told apart further
+        longer = longer[column[longer] >= 0]
+        some = key[longer] * (column.max(initial=0) + 2) + column[longer] + 1
+        key = key.copy()
+        key[longer] = np.unique(some, return_inverse=True)[1] + key.max(initial=0) + 1
     _, first, n = np.unique(key, return_index=True, return_counts=True)
     return first, n
 
 
-def windows(batches: Iterable[pa.RecordBatch], live: Broadcast, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counted windows: the leading word, then words as long as each next pair is frequent, then NULL."""
+def windows(batches: Iterable[pa.RecordBatch], live: Broadcast, longest: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counted windows: words from the leading one on as long as the phrase is frequent, then NULL.  All windows that a
+    rare word leads are one, of NULLs only.  A row holds a task's windows of a range of their hashes, as lists."""
+    names = ["lang", *WORDS[:longest]]
+    held, rows = [], 0
+
+    def merged() -> pa.Table:
+        return summed_windows(pa.Table.from_batches(held), ["range", *names])
+
     for lang, code, words in by_language(batches):
-        at, pair = pair_hashes(code, words, lang)
-        slot = pair & np.uint64((1 << LIVE_BITS) - 1)
-        ok = np.zeros(len(code), bool)
-        ok[at] = (live.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        alone = np.bincount(code[(code >= 0) & ~ok], minlength=len(words))
-        lone = np.flatnonzero(alone)
-        start = np.flatnonzero(ok)
-        columns, going = [code[start]], np.ones(len(start), bool)
-        for i in range(1, longest):
-            going = going & ok[np.minimum(start + i - 1, len(code) - 1)]
-            columns.append(np.where(going, code[np.minimum(start + i, len(code) - 1)], -1))
+        hashes, chosen = live_phrases(code, words, lang, live.value, longest)
+        chosen[-1][chosen[-1]] = is_live(live.value, hashes[-1][chosen[-1]])
+        start = np.flatnonzero(code >= 0)
+        columns = [np.where(chosen[k][start], code[np.minimum(start + k, len(code) - 1)], -1) for k in range(longest)]
         first, n = grouped(columns)
-        out = [np.concatenate([lone, columns[0][first]])] + [np.concatenate([np.full(len(lone), -1), c[first]]) for c in columns[1:]]
-        arrays = [words.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in out]
-        total = np.concatenate([alone[lone], n])
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), *arrays, pa.array(total)],
-                                         ["lang", *WORDS[:longest], "n"])
+        part = np.zeros(len(first), np.uint64)
+        for k, column in enumerate(columns):
+            part = np.where(column[first] >= 0, hashes[k][start[first]], part)
+        arrays = [words.take(pa.array(c[first], mask=c[first] < 0)).cast(pa.string()) for c in columns]
+        held.append(pa.RecordBatch.from_arrays([pa.array((part >> np.uint64(64 - bits)).astype(np.int32)), pa.array([lang] * len(first), pa.string()), *arrays, pa.array(n)],
+                                               ["range", *names, "n"]))
+        rows += len(first)
+        if rows > MERGED:
+            table = merged()
+            held, rows = table.combine_chunks().to_batches(), len(table)
+            if rows > MERGED // 2:
+                yield listed(table)
+                held, rows = [], 0
+    if held:
+        yield listed(merged())
+
+
+def summed_windows(rows: pa.Table, names: list[str]) -> pa.Table:
+    return rows.group_by(names, use_threads=False).aggregate([("n", "sum")]).select([*names, "n_sum"]).rename_columns([*names, "n"])
+
+
+def listed(table: pa.Table) -> pa.RecordBatch:
+    """One row for each range, the other columns as lists."""
+    rows = table.sort_by("range").combine_chunks()
+    part = rows.column("range").to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    offsets = pa.array(np.append(edges, len(part)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in rows.column_names[1:]]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges]), *lists], rows.column_names)
+
+
+def window_counts(rows: DataFrame, live: Broadcast, longest: int, bits: int) -> DataFrame:
+    """(lang, w1 and on, n): every window of all tasks once."""
+    names = ["lang", *WORDS[:longest]]
+    lists = rows.mapInArrow(partial(windows, live=live, longest=longest, bits=bits),
+                            "range int, " + ", ".join(f"{c} array<string>" for c in names) + ", n array<long>")
 
+    def together(part: pa.Table) -> pa.Table:
+        return summed_windows(pa.table({c: pa.chunked_array([x.flatten() for x in part.column(c).chunks]) for c in [*names, "n"]}), names)
 
-def live_pairs(rows: DataFrame, min_count: int) -> np.ndarray:
-    """Bit set over the hashes of pairs that may have `min_count` occurrences."""
-    pairs = rows.mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    slot = F.col("pair").bitwiseAND((1 << LIVE_BITS) - 1)
-    bits = (pairs.select(F.shiftright(slot, 3).alias("byte"), F.expr("shiftleft(1, cast(pair & 7 as int))").alias("bit"))
-            .groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow())
-    out = np.zeros(1 << (LIVE_BITS - 3), np.uint8)
-    out[bits.column("byte").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint8)
-    return out
+    return lists.groupBy("range").applyInArrow(together, ", ".join(f"{c} string" for c in names) + ", n long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
     """(lang, words, f): count of every phrase of one to `longest` words that has `min_count` occurrences, and, with no
     words, the number of word occurrences of the language."""
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").alias("text"))
-    live = rows.sparkSession.sparkContext.broadcast(live_pairs(rows, min_count))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    context, live, bits = rows.sparkSession.sparkContext, None, 0
+    for length in range(2, longest + 1):  # each length is counted where the shorter ones are frequent
+        bits = bits | live_bits(rows, partial(phrase_hashes, live=live, length=length), min_count, size)
+        live = context.broadcast(bits)
     names = WORDS[:longest]
-    schema = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n long"
-    counted = rows.mapInArrow(partial(windows, live=live, longest=longest), schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    counted = window_counts(rows, live, longest, max(1, range_bits(size) - 3))
     summed = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     # a prefix of k words is rolled up from word k + 1 on, and is whole if its last word isn't padding
-    level = [F.when(F.col("rolled") == (1 << (longest - k)) - 1, F.array(*names[:k])) for k in range(longest + 1)]
-    whole = F.coalesce(*level)
-    found = summed.where("rolled < %d" % (1 << longest)).select("lang", whole.alias("words"), "f")
-    return found.where((F.size("words") == 0) | ((F.col("f") >= min_count) & F.element_at("words", -1).isNotNull()))
+    rolled = lambda k: F.col("rolled") == (1 << (longest - k)) - 1
+    whole = rolled(0)
+    for k, name in enumerate(names, 1):
+        whole = whole | (rolled(k) & F.col(name).isNotNull())
+    phrase = F.coalesce(*[F.when(rolled(k), F.array(*names[:k])) for k in range(longest + 1)])
+    found = summed.where(whole).where(rolled(0) | (F.col("f") >= min_count))
+    return found.select("lang", phrase.alias("words"), "f")
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, covered: int = COVERED, longest: int = LONGEST) -> DataFrame:

@@ -164,7 +164,7 @@ ways AS (SELECT a, b, y.n AS bn, count(*) OVER (PARTITION BY a) AS n_near, row_n
 led AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n
   FROM words LEFT JOIN (SELECT * FROM ways WHERE turn = 1) ON a = word),
 walk AS (SELECT word, word AS at FROM led UNION ALL SELECT walk.word, led.form FROM walk JOIN led ON led.word = walk.at WHERE led.form IS NOT NULL)
-SELECT led.word, n, n_near, form, form_n, walk.at AS root FROM led JOIN walk USING (word) JOIN led AS last ON last.word = walk.at WHERE last.form IS NULL"""
+SELECT led.word, led.n, led.n_near, led.form, led.form_n, walk.at AS root FROM led JOIN walk USING (word) JOIN led AS last ON last.word = walk.at WHERE last.form IS NULL"""
 
 
 def collocations(longest: int, min_count: int, top: int, covered: int) -> str:
