@@ -137,28 +137,25 @@ def stream_misses(spark, sf):
     return L.state_summary(spark.read.parquet(f"{place}/signals"))
 
 
-_INPUTS, _LABEL = ["delta_1m", "volume_burst", "aggressor_ratio", "roc_3"], "label_4m_1pct"
 _SIGNAL_FACTS = ["direction", "entry_time_ist", "entry_price", "rejection_reason"]
 
 
-def model_replay(spark, sf):
-    """Bars, their scores and signals by a stored model: from batch, and replayed as streams."""
-    path, place = _bars_table(spark, sf), _place(spark)
-    bars = spark.read.parquet(path)
-    fit_and_save(label_matrix(bars, (4,), (0.01,)), _LABEL, f"{place}/model", _INPUTS, trees=10)
+def model_replay(spark, path, inputs, theta=0.4):
+    """Scored bars and signals by a model that is fitted and stored: of the batch, and of the bars replayed as streams."""
+    place, bars = _place(spark), spark.read.parquet(path)
+    fit_and_save(label_matrix(bars, (4,), (0.01,)), "label_4m_1pct", f"{place}/model", inputs, trees=10)
     feed = lambda: spark.readStream.schema(bars.schema).parquet(path)
-    L.run_to_table(L.score_bars(feed(), f"{place}/model", _INPUTS), f"{place}/scores", f"{place}/scores_ckpt")
-    theta = 0.4
-    L.run_to_table(L.model_signals(feed(), f"{place}/model", _INPUTS, long_theta=theta, short_theta=theta), f"{place}/signals", f"{place}/signals_ckpt")
-    batch = stage(load_scorer(f"{place}/model", _INPUTS)(bars))
-    trades = sequence_trades(batch, pair_table(spark, ["L40_S40"])).where("max_stage = 'TRIGGERED'")
-    return batch, spark.read.parquet(f"{place}/scores"), trades, spark.read.parquet(f"{place}/signals")
+    L.run_to_table(L.score_bars(feed(), f"{place}/model", inputs), f"{place}/scores", f"{place}/scores_ckpt")
+    L.run_to_table(L.model_signals(feed(), f"{place}/model", inputs, long_theta=theta, short_theta=theta), f"{place}/signals", f"{place}/signals_ckpt")
+    batch = stage(load_scorer(f"{place}/model", inputs)(bars))
+    trades = sequence_trades(batch, pair_table(spark, [f"L{theta * 100:.0f}_S{theta * 100:.0f}"])).where("max_stage = 'TRIGGERED'")
+    return batch, spark.read.parquet(f"{place}/scores"), trades, spark.read.schema(L.SIGNAL_SCHEMA).parquet(f"{place}/signals")
 
 
 @query("stream_model_scores", f"{_SQL_LIVE} SELECT symbol, trade_date, count(*) AS bars, CAST(0 AS BIGINT) AS other_scores, CAST(0 AS BIGINT) AS other_signals FROM live GROUP BY ALL")
 def stream_model_scores(spark, sf):
     """Scores and signals of a replay, by a stored model, against those of the batch: no difference expected."""
-    batch, live, trades, signals = model_replay(spark, sf)
+    batch, live, trades, signals = model_replay(spark, _bars_table(spark, sf), ["delta_1m", "volume_burst", "aggressor_ratio", "roc_3"])
     probs = [F.round(p, 9).alias(p) for p in PROBS]
     other = lambda a, b: a.exceptAll(b).unionAll(b.exceptAll(a))
     count = lambda df, name: df.groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias(name))
