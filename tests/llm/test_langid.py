@@ -44,3 +44,38 @@ def test_nothing_to_learn(docs):
     row = langid.predict(docs([(1, "text")]), model).first()
     assert (row.lang_pred, row.score) == ("und", 0.0)
     assert langid.predict(docs([]), model).collect() == []
+
+
+def plain_buckets(text):
+    """Hashed n-grams of the whole text, one character after the other."""
+    mix = [2654435761, 2246822519, 3266489917]
+    codes = [32, *(ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text), 32] if text else []
+    for n in langid.ORDERS:
+        for i in range(len(codes) - n + 1):
+            value = 0
+            for c, m in zip(codes[i:i + n], mix):
+                value = (value ^ c) * m % (1 << 32)
+                value ^= value >> 15
+            yield (value + n) % (1 << 32) % langid.BUCKETS
+
+
+def test_against_a_plain_model(docs):
+    rows = [(1, "The cat sat on the mat, twice.", "en"), (2, "A dog!", "en"), (3, "Der Hund läuft über die Straße", "de"), (4, "Ein ÄÖÜ 12", "de"), (5, None, "fr"),
+            (6, "Le chien est là", "fr"), (7, "", "en"), (8, "x", None)]
+    languages, prior, logs = langid.train(docs([(i, t, lang, "s", 1) for i, t, lang in rows]))
+    assert languages == ["de", "en", "fr"]
+    counts = {lang: np.bincount([b for _, t, x in rows if x == lang for b in plain_buckets(t or "")], minlength=langid.BUCKETS) for lang in languages}
+    of = [sum(x == lang for *_, x in rows) for lang in languages]
+    assert np.allclose(prior, np.log(np.array(of) / sum(of)))
+    want = {lang: np.log((n + langid.SMOOTHING) / (n.sum() + langid.SMOOTHING * langid.BUCKETS)) for lang, n in counts.items()}
+    for k, lang in enumerate(languages):
+        assert np.allclose(logs[:, k], want[lang])
+    texts = {1: "the mat", 2: "die Straße und ein Hund", 3: "chien", 4: "Ω zz", 5: "On the dog là"}
+    got = {r.doc_id: r for r in langid.predict(docs(list(texts.items())), (languages, prior, logs), fit="fit").collect()}
+    for i, text in texts.items():
+        grams = list(plain_buckets(text))
+        total = np.array([prior[k] + sum(want[lang][b] for b in grams) for k, lang in enumerate(languages)])
+        share = np.exp(total - total.max())
+        r, best = got[i], int(total.argmax())
+        assert (r.lang_pred, r.fit_n) == (languages[best], len(grams))
+        assert np.isclose(r.score, share[best] / share.sum()) and np.isclose(r.fit, (total[best] - prior[best]) / len(grams))

@@ -71,3 +71,20 @@ def test_split_runs_read_in_order(spark):
     data = bytes(range(100))
     df = spark.createDataFrame([(bytearray(data), ([(10, 3), (50, 2)],))], "media binary, facts struct<samples:array<struct<offset:bigint,length:bigint>>>")
     assert bytes(df.select(media.sample_bytes("media", "facts").alias("r")).first().r) == data[10:13] + data[50:52]
+
+
+def test_every_track_and_fragments():
+    import struct
+
+    one, two = media.write_container(b"a" * 128), media.write_container(b"b" * 64)
+    at = one.index(b"moov") - 4
+    size = int.from_bytes(one[at:at + 4], "big")
+    other = two.index(b"trak") - 4
+    track = two[other:other + int.from_bytes(two[other:other + 4], "big")]
+    # a second track beside the first; chunk places are not moved, so both read from the file that there is
+    both = one[:at] + struct.pack(">I", size + len(track)) + one[at + 4:at + size] + track + one[at + size:]
+    found = media.describe(both)
+    assert found["error"] is None and [t["n_samples"] for t in found["tracks"]] == [2, 1] and found["n_samples"] == 2
+    assert found["tracks"][0]["codec"] == found["codec"] and "samples" not in found["tracks"][0]
+    cut = media.describe(one + struct.pack(">I", 8) + b"moof")
+    assert "moof" in cut["error"] and cut["codec"] is None and cut["tracks"] is None

@@ -7,7 +7,7 @@ from tidemark.llm import catalog
 
 def test_registered():
     names = [n.partition("_")[0] for n in catalog.QUERIES]
-    assert names == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert names == [f"op{n}" for n in range(1, 14)] + ["pipeline"]
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.SQL) <= set(catalog.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_copies", "repeats", "packing"]
 
@@ -92,3 +92,17 @@ def test_unlearned_languages_and_noise_go(spark, docs, sf):
     short = [(2001, "The house stands on a hill.", None, "s", 1), (2002, "Das Wasser ist gut.", None, "s", 1)]
     got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs(rows + odd + short), sf).collect()}
     assert got == {r[0] for r in rows + short}
+
+
+def test_clashing_columns_and_order(spark, docs, sf):
+    """Columns named like those that operators add are carried along, in their places."""
+    from pyspark.sql import functions as F
+
+    names = ["key", "kept", "removed", "copies", "spans", "_row", "_language", "_language_score", "_text", "_turn", "_kept", "measured", "quality", "n_words", "fit_n", "a.b"]
+    df = spark.read.parquet(f"{sf}/documents.parquet").select(*[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names], "doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, sf)
+        assert df.columns == [*names, "doc_id", "text", "lang", "source", "n_chars"]
+    rows = df.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names) and all(r.n_chars == len(r.text) for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf).select("doc_id").distinct().count() == len(rows)

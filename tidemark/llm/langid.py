@@ -20,9 +20,10 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 SLICE = 1 << 19
-#: Allowance below a language's usual score per n-gram, in standard deviations; calibration rows that a language needs for its own bound.
+#: Allowance below a language's usual score per n-gram, in standard deviations; calibration rows that the common deviation of
+#: all languages counts for beside a language's own.
 DEVIATIONS = 6.0
-LEAST_ROWS = 5
+COMMON_ROWS = 5
 UNKNOWN = "und"
 
 MIX = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
@@ -179,19 +180,22 @@ def calibrate(labelled: DataFrame, model, text: str = "text", label: str = "lang
     """language: (usual mean log probability of a text's n-grams, its deviation between texts, variance of one n-gram).
 
     From labelled rows that the model has not learned from: quartiles of the rows that it gives their own label, so that a
-    few rows of noise do not widen them.  A language with less than LEAST_ROWS rows has the widest bound of the others; if all
-    have less, there are no bounds.  One row for each language reaches the driver.
+    few rows of noise do not widen them.  A language's deviation is drawn towards that of all languages, the more so the fewer
+    rows it has; one without rows has the lowest middle of the others.  Without any row there are no bounds.  One row for each
+    language reaches the driver.
     """
     languages, _, logs = model
     found = predict(labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label")), model, orders=orders, fit="fit")
     rows = found.where("lang_pred = label").groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("fit", [0.25, 0.5, 0.75], 100_000).alias("q")).collect()
     share = np.exp(logs)
     one = ((share * logs ** 2).sum(axis=0) - (share * logs).sum(axis=0) ** 2).tolist()
-    own = {r.label: (r.q[1], (r.q[2] - r.q[0]) / 1.349) for r in rows if r.n >= LEAST_ROWS}
-    if not own:
+    if not rows:
         return {}
-    widest = min(m for m, _ in own.values()), max(d for _, d in own.values())
-    return {lang: (*own.get(lang, widest), one[k]) for k, lang in enumerate(languages)}
+    spread = {r.label: (r.q[2] - r.q[0]) / 1.349 for r in rows}
+    common = sum(r.n * spread[r.label] for r in rows) / sum(r.n for r in rows)
+    own = {r.label: (r.q[1], (r.n * spread[r.label] + COMMON_ROWS * common) / (r.n + COMMON_ROWS)) for r in rows}
+    other = min(m for m, _ in own.values()), max(common, *[d for _, d in own.values()])
+    return {lang: (*own.get(lang, other), one[k]) for k, lang in enumerate(languages)}
 
 
 def fits(bounds: dict[str, tuple[float, float, float]], prediction: str = "lang_pred", fit: str = "fit", orders=ORDERS, deviations: float = DEVIATIONS) -> Column:

@@ -24,8 +24,9 @@ SAMPLES_PER_CHUNK = 1024
 TIMESCALE = 8000
 IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
-FACTS = ("struct<codec:string,handler:string,timescale:bigint,duration:bigint,n_samples:bigint,n_keyframes:bigint,"
-         "keyframes:array<struct<offset:bigint,length:bigint>>,samples:array<struct<offset:bigint,length:bigint>>,error:string>")
+_RANGES = "array<struct<offset:bigint,length:bigint>>"
+_TRACK = f"codec:string,handler:string,timescale:bigint,duration:bigint,n_samples:bigint,n_keyframes:bigint,keyframes:{_RANGES}"
+FACTS = f"struct<{_TRACK},samples:{_RANGES},tracks:array<struct<{_TRACK}>>,error:string>"
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -105,47 +106,58 @@ def _table(data: memoryview, lo: int, hi: int, kind: str, columns: int = 1, skip
     return np.frombuffer(data, kind, n * columns, lo + skip + 4).astype(np.int64).reshape(n, columns)
 
 
+def _track(data: memoryview, track: dict[bytes, tuple[int, int]]) -> dict:
+    """Facts of a track from the places of its boxes."""
+    out: dict = {"handler": None}
+    lo, _ = track[b"mdhd"]
+    out["timescale"], out["duration"] = struct.unpack_from(">IQ" if data[lo] == 1 else ">II", data, lo + (20 if data[lo] == 1 else 12))
+    if b"hdlr" in track:
+        out["handler"] = bytes(data[track[b"hdlr"][0] + 8:track[b"hdlr"][0] + 12]).decode("latin-1")
+    out["codec"] = bytes(data[track[b"stsd"][0] + 12:track[b"stsd"][0] + 16]).decode("latin-1")
+    lo, hi = track[b"stsz"]
+    fixed, n = struct.unpack_from(">II", data, lo + 4)
+    sizes = np.full(n, fixed, np.int64) if fixed else _table(data, lo, hi, ">u4", skip=8)[:, 0]
+    wide = b"co64" in track
+    chunk_at = _table(data, *track[b"co64" if wide else b"stco"], ">u8" if wide else ">u4")[:, 0]
+    runs = _table(data, *track[b"stsc"], ">u4", 3)
+    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
+    if per_chunk.sum() != n:
+        raise ValueError("sample tables disagree")
+    before = np.cumsum(sizes) - sizes
+    first = np.cumsum(per_chunk) - per_chunk
+    offsets = before + np.repeat(chunk_at - before[first], per_chunk) if n else before
+    if n and (offsets[-1] + sizes[-1] > len(data)):
+        raise ValueError("samples reach past the file")
+    keys = _table(data, *track[b"stss"], ">u4")[:, 0] - 1 if b"stss" in track else np.arange(n)
+    joined = np.flatnonzero(np.append(True, offsets[1:] != offsets[:-1] + sizes[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(joined[1:], n) - 1 if n else joined
+    return out | {"n_samples": int(n), "n_keyframes": len(keys),
+                  "keyframes": [{"offset": int(offsets[k]), "length": int(sizes[k])} for k in keys],
+                  "samples": [{"offset": int(offsets[a]), "length": int(offsets[b] + sizes[b] - offsets[a])} for a, b in zip(joined, ends, strict=True)]}
+
+
+TRACK = ("codec", "handler", "timescale", "duration", "n_samples", "n_keyframes", "keyframes", "samples")
+
+
 def describe(media: bytes) -> dict:
-    """Facts of the first track with samples; `error` says why a file can't be read (the rest is then NULL)."""
-    out: dict = dict.fromkeys(("codec", "handler", "timescale", "duration", "n_samples", "n_keyframes", "keyframes", "samples", "error"))
+    """Facts of the first track with samples, and in `tracks` those of all such tracks but their sample runs; `error` says
+    why a file can't be read (the rest is then NULL).  Files in fragments, whose samples are not in the tables, are such."""
+    out: dict = dict.fromkeys((*TRACK, "tracks", "error"))
     try:
         data, tracks = memoryview(media), []
         for path, lo, hi in walk(data, 0, len(data)):
+            if path[-1] == b"moof":
+                raise ValueError("fragments (moof) are not read")
             if path[-1] == b"trak":
                 tracks.append({})
             elif tracks and b"trak" in path:
                 tracks[-1].setdefault(path[-1], (lo, hi))
-        track = next((t for t in tracks if {b"mdhd", b"stsd", b"stts", b"stsc"} <= t.keys()), None)
-        if track is None:
+        found = [_track(data, t) for t in tracks if {b"mdhd", b"stsd", b"stts", b"stsc"} <= t.keys()]
+        if not found:
             raise ValueError("no track with sample tables")
-        lo, _ = track[b"mdhd"]
-        out["timescale"], out["duration"] = struct.unpack_from(">IQ" if data[lo] == 1 else ">II", data, lo + (20 if data[lo] == 1 else 12))
-        if b"hdlr" in track:
-            out["handler"] = bytes(data[track[b"hdlr"][0] + 8:track[b"hdlr"][0] + 12]).decode("latin-1")
-        out["codec"] = bytes(data[track[b"stsd"][0] + 12:track[b"stsd"][0] + 16]).decode("latin-1")
-        lo, hi = track[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, lo + 4)
-        sizes = np.full(n, fixed, np.int64) if fixed else _table(data, lo, hi, ">u4", skip=8)[:, 0]
-        wide = b"co64" in track
-        chunk_at = _table(data, *track[b"co64" if wide else b"stco"], ">u8" if wide else ">u4")[:, 0]
-        runs = _table(data, *track[b"stsc"], ">u4", 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
-        if per_chunk.sum() != n:
-            raise ValueError("sample tables disagree")
-        before = np.cumsum(sizes) - sizes
-        first = np.cumsum(per_chunk) - per_chunk
-        offsets = before + np.repeat(chunk_at - before[first], per_chunk) if n else before
-        if n and (offsets[-1] + sizes[-1] > len(data)):
-            raise ValueError("samples reach past the file")
-        keys = _table(data, *track[b"stss"], ">u4")[:, 0] - 1 if b"stss" in track else np.arange(n)
-        joined = np.flatnonzero(np.append(True, offsets[1:] != offsets[:-1] + sizes[:-1])) if n else np.zeros(0, np.int64)
-        ends = np.append(joined[1:], n) - 1 if n else joined
-        out |= {"n_samples": int(n), "n_keyframes": len(keys),
-                "keyframes": [{"offset": int(offsets[k]), "length": int(sizes[k])} for k in keys],
-                "samples": [{"offset": int(offsets[a]), "length": int(offsets[b] + sizes[b] - offsets[a])} for a, b in zip(joined, ends, strict=True)]}
+        return out | found[0] | {"tracks": [{k: v for k, v in t.items() if k != "samples"} for t in found]}
     except (ValueError, KeyError, IndexError, struct.error) as fault:
-        return dict.fromkeys(out) | {"error": str(fault) or type(fault).__name__}
-    return out
+        return out | {"error": str(fault) or type(fault).__name__}
 
 
 def payload_of(text: str | Column, unit: int = SAMPLE_BYTES) -> Column:
@@ -170,7 +182,7 @@ def store(df: DataFrame, payload: str = "payload", media: str = "media") -> Data
 
 def media_columns(df: DataFrame, media: str = "media", column: str = "facts") -> DataFrame:
     """Adds a struct column of what the boxes say: codec, handler, timescale, duration, counts, keyframe byte ranges,
-    and the byte runs that samples fill.
+    and the byte runs that samples fill, of the first track with samples; `tracks` lists all.
 
     A NULL, empty, cut or foreign file gives a struct whose `error` is set and whose other fields are NULL.
     Other columns, whatever their names, are carried along; a former column of that name is replaced.
@@ -179,7 +191,8 @@ def media_columns(df: DataFrame, media: str = "media", column: str = "facts") ->
     schema = df.select("*", F.lit(None).cast(FACTS).alias(column)).schema
     span = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
     facts = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()),
-                       ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", span), ("samples", span), ("error", pa.string())])
+                       ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", span), ("samples", span)])
+    facts = pa.struct([*facts, ("tracks", pa.list_(pa.struct([f for f in facts if f.name != "samples"]))), ("error", pa.string())])
 
     def run(batches):
         for batch in portions(batches, media):

@@ -23,13 +23,13 @@ def _levelled(text: str) -> str:
 def license_scan() -> str:
     known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN)
     entire = "trim(regexp_replace(lines, ' *\\n *', ' ', 'g'))"
-    return f"""WITH known AS (SELECT sha256({entire}) AS digest, min(license_id) AS license_id
+    return f"""WITH known AS (SELECT sha256(regexp_replace({entire}, ' +', ' ', 'g')) AS known_digest, min(license_id) AS license_id
   FROM (SELECT license_id, {_levelled('text')} AS lines FROM (VALUES {known}) AS k(license_id, text)) GROUP BY 1),
 level AS (SELECT doc_id, {_levelled('text')} AS lines FROM documents),
 units AS (SELECT doc_id, 0 AS unit, {entire} AS words FROM level
   UNION ALL SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER), trim(unnest(parts)) FROM (SELECT doc_id, string_split(lines, chr(10)) AS parts FROM level)),
-hashed AS (SELECT doc_id, unit, sha256(words) AS digest FROM units WHERE unit = 0 OR words <> '')
-SELECT doc_id, unit, digest, license_id FROM hashed LEFT JOIN known USING (digest) WHERE unit = 0 OR license_id IS NOT NULL"""
+hashed AS (SELECT doc_id, unit, sha256(words) AS digest, sha256(regexp_replace(words, ' +', ' ', 'g')) AS known_digest FROM units WHERE unit = 0 OR words <> '')
+SELECT doc_id, unit, digest, license_id FROM hashed LEFT JOIN known USING (known_digest) WHERE unit = 0 OR license_id IS NOT NULL"""
 
 
 def quality_rules() -> str:
@@ -78,31 +78,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM voted JOIN pat USING ({names}) JOIN posterior USING (pid)"""
 
 
-#: The table of shares reaches 64 << DOUBLINGS bits, texts of 262,144 bytes.
-DOUBLINGS = 15
+#: State of a crc32 after each value of its lowest eight bits.
+CRC_TABLE = """(SELECT list(c ORDER BY n) AS t FROM (WITH RECURSIVE r AS (SELECT n, 0 AS k, CAST(n AS BIGINT) AS c FROM range(256) AS a(n) UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM r WHERE k < 8) SELECT n, c FROM r WHERE k = 8))"""
+
+
+def _crc(h: str) -> str:
+    """crc32 of bytes in hexadecimal digits, with the table as t."""
+    steps = f"list_transform(regexp_extract_all({h}, '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
 def sharding(shards: int, seed: str = "0") -> str:
-    """Places by the same fractions; crc32 from the linear share that each set bit has at its distance from the end.
-
-    p0, p1 and on hold the state n steps after a single bit; a second half is the first one's shares of the bits of one state.
-    """
-    power = """p0 AS MATERIALIZED (WITH RECURSIVE one AS (SELECT 0 AS n, CAST(1 AS BIGINT) AS c UNION ALL
-  SELECT n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM one WHERE n < 63) SELECT * FROM one)"""
-    for k in range(1, DOUBLINGS + 1):
-        half = 64 << (k - 1)
-        power += f""",
-p{k} AS MATERIALIZED (SELECT n, c FROM p{k - 1} UNION ALL SELECT {half} + t, bit_xor(c) FROM (
-  SELECT t, coalesce(p.c, CAST(1 AS BIGINT) << greatest(i - t, 0)) AS c FROM (SELECT n AS t, i FROM p{k - 1} CROSS JOIN range(32) AS r(i)
-    WHERE (SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM p{k - 1} WHERE n = {half - 1}) >> i & 1 = 1)
-  LEFT JOIN p{k - 1} AS p ON p.n = t - i) GROUP BY t)"""
-    return f"""WITH {power},
-rows_ AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS len FROM documents),
-octets AS (SELECT rid, len, generate_subscripts(b, 1) AS i, CAST('0x' || unnest(b) AS INTEGER) AS o FROM (SELECT rid, len, regexp_extract_all(h, '..') AS b FROM rows_)),
-bits AS (SELECT rid, 8 * (len - i + 1) - k AS n FROM octets CROSS JOIN range(8) AS r(k) WHERE (o >> k) & 1 = 1
-  UNION ALL SELECT rid, 8 * len - k FROM rows_ CROSS JOIN range(32) AS r(k) WHERE k <= 8 * len),
-low AS (SELECT rid, bit_xor(CAST(1 AS BIGINT) << (k - 8 * len)) AS c FROM rows_ CROSS JOIN range(32) AS r(k) WHERE k > 8 * len GROUP BY rid),
-crc AS (SELECT rid, xor(xor(bit_xor(c), coalesce(any_value(l), 0)), 4294967295) AS crc FROM (SELECT bits.rid, power.c, low.c AS l FROM bits JOIN p{DOUBLINGS} AS power USING (n) LEFT JOIN low ON low.rid = bits.rid) GROUP BY rid),
+    """Places by the same fractions; crc32 byte by byte."""
+    return f"""WITH rows_ AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS len FROM documents),
+crc AS (SELECT rid, {_crc('h')} AS crc FROM rows_ CROSS JOIN {CRC_TABLE}),
 keyed AS (SELECT *, md5('{seed}:' || doc_id) AS o, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s FROM rows_),
 ranked AS (SELECT *, (2 * (row_number() OVER (PARTITION BY s ORDER BY o, doc_id) - 1) + 1) / (2 * count(*) OVER (PARTITION BY s)) AS f FROM keyed),
 placed AS (SELECT *, row_number() OVER (ORDER BY f, s, o, doc_id) - 1 AS p, count(*) OVER () AS total FROM ranked)
@@ -143,23 +133,17 @@ SELECT doc_id, least(doc_id, coalesce(other, doc_id)) AS set_id, class_id, CAST(
 FROM d JOIN classes USING (rid) LEFT JOIN equal_sets USING (rid) LEFT JOIN counts USING (rid)"""
 
 
-#: State of a crc32 after each value of its lowest eight bits.
-CRC_TABLE = """(SELECT list(c ORDER BY n) AS t FROM (WITH RECURSIVE r AS (SELECT n, 0 AS k, CAST(n AS BIGINT) AS c FROM range(256) AS a(n) UNION ALL
-  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM r WHERE k < 8) SELECT n, c FROM r WHERE k = 8))"""
-
-
 def spelling_variants(slip: int, min_length: int, min_count: int) -> str:
-    """Near words share what is left after deleting a letter, or one is what is left of the other."""
+    """Near words share what is left after deleting the letter at one place, or one is what is left of the other."""
     letters = "[A-Za-zÀ-ÿ]+"
     return f"""WITH RECURSIVE runs AS (SELECT doc_id, w, count(*) AS n FROM (
   SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{letters}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) GROUP BY ALL),
 keyed AS (SELECT row_number() OVER () AS rid, w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM runs),
-crcs AS (SELECT rid, w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS BIGINT))),
-  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM keyed CROSS JOIN {CRC_TABLE}),
+crcs AS (SELECT rid, w, n, {_crc('h')} AS crc FROM keyed CROSS JOIN {CRC_TABLE}),
 slips AS (SELECT CASE WHEN crc % {slip} = 0 THEN substr(w, 1, CAST(crc % length(w) AS INTEGER)) || substr(w, CAST(crc % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM crcs),
 words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= {min_length} GROUP BY word HAVING sum(n) >= {min_count}),
-less AS MATERIALIZED (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words) UNION ALL SELECT word, word FROM words),
-near AS MATERIALIZED (SELECT DISTINCT a.word AS a, b.word AS b FROM less a JOIN less b USING (d) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words) UNION ALL SELECT word, 0, word FROM words),
+near AS MATERIALIZED (SELECT DISTINCT a.word AS a, b.word AS b FROM less a JOIN less b USING (d) WHERE a.word <> b.word AND (a.i = b.i OR (a.i = 0) <> (b.i = 0))),
 ways AS (SELECT a, b, y.n AS bn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) AS turn FROM near JOIN words y ON y.word = b),
 led AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n
   FROM words LEFT JOIN (SELECT * FROM ways WHERE turn = 1) ON a = word),
