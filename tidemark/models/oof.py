@@ -268,17 +268,21 @@ def coefficients(bars: DataFrame, label: str, features: list[str], reg: float =
 
 
 def robust_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """(x - median) / interquartile range, exact; a zero range leaves the centred value."""
+    """(x - median) / interquartile range, exact; a zero range leaves the centred value, a column without values is NULL.
+
+    The quantiles of all columns come from one pass over (column, value) counts, and reach the rows as one broadcast row.
+    """
     if fit_on is None:
-        df = stage(df)
-    source = fit_on if fit_on is not None else df
-    out = df
+        df = fit_on = stage(df)
+    long = fit_on.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*")
+    found = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["name"])
+    limits = found.agg(*[F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"_q_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(limits))
     for c in columns:
-        q = exact_quantiles(source, c, [0.25, 0.5, 0.75]).select(F.col("q").alias(f"_q_{c}"))
         spread = F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]
-        out = out.crossJoin(F.broadcast(q)).withColumn(
-            f"{c}_scaled", (F.col(c) - F.col(f"_q_{c}")[1]) / F.when(spread == 0, 1.0).otherwise(spread)).drop(f"_q_{c}")
-    return out
+        out = out.withColumn(f"{c}_scaled", (F.col(c) - F.col(f"_q_{c}")[1]) / F.when(spread == 0, 1.0).otherwise(spread))
+    return out.drop(*[f"_q_{c}" for c in columns])
 
 
 def fit_and_save(bars: DataFrame, label: str, path: str, features: list[str] | None = None, trees: int = 100) -> None:

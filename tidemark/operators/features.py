@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.clock import floor_to
 from tidemark.functions.scalars import add_all, clamp, ratio
 from tidemark.operators.schema import FEATURE_DEPTH, FEATURE_RANGES, KEYS, levels_in
+from tidemark.session import stage
 
 EPS = 1e-8
 
@@ -124,7 +125,7 @@ def numbered(df: DataFrame, keys: tuple[str, ...], order: list[str], chunk: str,
     Rows are numbered inside (keys, chunk); the running count of earlier chunks is added from
     a table with one row per chunk.  The bulk is shuffled once, on (keys, chunk).
     """
-    staged = df.withColumn("chunk", floor_to(ts, chunk))
+    staged = stage(df.withColumn("chunk", floor_to(ts, chunk)))  # counted, then numbered
     sizes = staged.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

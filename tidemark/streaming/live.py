@@ -7,7 +7,6 @@ store and is restored from the query checkpoint after a restart.
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,6 +36,22 @@ SIGNAL_SCHEMA = (
     "daily_open_passed boolean, bypass_used boolean, rejection_reason string")
 
 
+def _fields(names: list[str], whole: tuple[str, ...]) -> str:
+    return ", ".join(f"{n} {'bigint' if n in whole else 'double'}" for n in names)
+
+
+# State of a symbol-day: typed fields, so that the state store reads and writes them as columns.
+BAR_STATE = (f"before array<struct<{_fields(K.SNAPSHOT, ('ts', 'seq'))}>>, open array<struct<{_fields(K.SNAPSHOT, ('ts', 'seq'))}>>, "
+             f"bars array<struct<{_fields(K.BAR, ('ts',))}>>, recent array<double>, large double, timer bigint")
+_SIDE = "struct<stage int, at array<string>, prob double>"
+SIGNAL_STATE = f"open double, upward {_SIDE}, downward {_SIDE}"
+
+
+def _rows(frame: pd.DataFrame, whole: tuple[str, ...]) -> list[tuple]:
+    """Rows as state keeps them: whole numbers and doubles."""
+    return list(zip(*[frame[c].astype("int64" if c in whole else "float64").tolist() for c in frame.columns]))
+
+
 def prepare_session(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
@@ -61,10 +76,10 @@ class BarProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.blob = handle.getValueState("day", "blob string")
+        self.day = handle.getValueState("day", BAR_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.blob.exists():
+        if not self.day.exists():
             self.handle.registerTimer(_day_end_ms(key[1]))
         state = self._load()
         fresh = pd.concat(list(rows))[K.SNAPSHOT].sort_values(["ts", "seq"], kind="stable")
@@ -77,15 +92,22 @@ class BarProcessor(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs()
         yield from self._advance(key, state, None, watermark * 1000)
         if watermark >= _day_end_ms(key[1]):
-            self.blob.clear()
+            self.day.clear()
 
     def close(self) -> None:
         pass
 
+    PARTS = ("before", "open", "bars", "recent", "large", "timer")
+
     def _load(self) -> dict:
-        if self.blob.exists():
-            return json.loads(self.blob.get()[0])
-        return {"before": [], "open": [], "bars": [], "recent": [], "limit": None, "timer": None}
+        if self.day.exists():
+            return self.unpacked(self.day.get())
+        return {"before": [], "open": [], "bars": [], "recent": [], "large": None, "timer": None}
+
+    @classmethod
+    def unpacked(cls, values) -> dict:
+        state = dict(zip(cls.PARTS, values))
+        return state | {n: [tuple(r) for r in state[n]] for n in ("before", "open", "bars")} | {"recent": list(state["recent"])}
 
     def _advance(self, key, state, fresh, watermark) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame(state["open"], columns=K.SNAPSHOT)
@@ -98,11 +120,11 @@ class BarProcessor(StatefulProcessor):
         if done.any():
             closing = rows[done]
             yield self._close(key, state, closing)
-            state["before"] = closing[K.SNAPSHOT].iloc[-1:].to_numpy().tolist()
-        state["open"] = rows.loc[~done, K.SNAPSHOT].to_numpy().tolist()
+            state["before"] = _rows(closing[K.SNAPSHOT].iloc[-1:], ("ts", "seq"))
+        state["open"] = _rows(rows.loc[~done, K.SNAPSHOT], ("ts", "seq"))
         if state["open"]:
             self._set_timer(state, int(start[~done].iloc[0]) + self.width)
-        self.blob.update((json.dumps(state),))
+        self.day.update(tuple(state[n] for n in self.PARTS))
 
     def _set_timer(self, state, end_us: int) -> None:
         wanted = end_us // 1000
@@ -119,13 +141,13 @@ class BarProcessor(StatefulProcessor):
         if self.gap is not None:  # a snapshot after a long silence has no usable predecessor
             stale = rows["ts"].diff() > self.gap * 1e6
             trades = trades[~stale.loc[trades["row"]].to_numpy()]
-        flags, state["recent"], state["limit"] = K.flag_large(trades["qty"].to_numpy(), state["recent"], state["limit"])
+        flags, state["recent"], state["large"] = K.flag_large(trades["qty"].to_numpy(), state["recent"], state["large"])
         trades = trades.assign(is_large=flags)
         bars = K.make_bars(rows.iloc[len(before):], trades, self.width)
         past = pd.DataFrame(state["bars"], columns=K.BAR)
         known = pd.concat([past, bars]).reset_index(drop=True) if len(past) else bars
         out = known.join(K.bar_features(known)).iloc[len(past):]
-        state["bars"] = known[K.BAR].tail(K.HISTORY).to_numpy().tolist()
+        state["bars"] = _rows(known[K.BAR].tail(K.HISTORY), ("ts",))
         return out.assign(symbol=key[0], trade_date=key[1], ts=pd.to_datetime(out["ts"].astype("int64"), unit="us"),
                           **{c: out[c].astype("int64") for c in K.SUMS})[
             ["symbol", "trade_date", *K.BAR[:1], *[c for c in K.BAR[1:] if c not in K.SUMS], *K.SUMS, *MODEL_FEATURES, "roc_3"]]
@@ -172,23 +194,27 @@ class SignalProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.blob = handle.getValueState("day", "blob string")
+        self.day = handle.getValueState("day", SIGNAL_STATE)
 
     def close(self) -> None:
         pass
 
+    def _load(self) -> dict:
+        first, *sides = self.day.get()
+        return {"open": first} | {d: {"stage": s[0], "at": list(s[1]), "prob": s[2]} for d, s in zip(self.theta, sides)}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.blob.exists():
-            state = json.loads(self.blob.get()[0])
+        if self.day.exists():
+            state = self._load()
         else:
             state = {"open": None, **{d: {"stage": 0, "at": [], "prob": None} for d in self.theta}}
             self.handle.registerTimer(_day_end_ms(key[1]))
         found = []
         for bar in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
-            state["open"] = bar.open_price if state["open"] is None else state["open"]
+            state["open"] = float(bar.open_price) if state["open"] is None else state["open"]
             for direction in self.theta:
                 found += self._step(key, state, state[direction], direction, bar)
-        self.blob.update((json.dumps(state),))
+        self.day.update((state["open"], *[(own["stage"], own["at"], own["prob"]) for own in (state[d] for d in self.theta)]))
         if found:
             yield pd.DataFrame(found)
 
@@ -202,7 +228,7 @@ class SignalProcessor(StatefulProcessor):
         own["stage"] += 1
         own["at"].append(bar.clock)
         if own["stage"] == 1:
-            own["prob"] = prob
+            own["prob"] = float(prob)
         if own["stage"] < 4:
             return []
         ahead = (bar.ltp - state["open"]) * sign > 0
@@ -224,9 +250,9 @@ class SignalProcessor(StatefulProcessor):
         return {**base, **values}
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.blob.exists():
-            state = json.loads(self.blob.get()[0])
-            self.blob.clear()
+        if self.day.exists():
+            state = self._load()
+            self.day.clear()
             missed = [self._row(key, d, state[d], self.REASONS[self.STAGES[state[d]["stage"]]])
                       for d in self.theta if state[d]["stage"] < 4]
             if missed and self.report:
@@ -321,13 +347,14 @@ def flush(spark: SparkSession, checkpoint: str, bar: str = "1 minute", max_gap_s
     """
     prepare_session(spark)
     kept = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "day").load()
-    kept = kept.select("key.symbol", "key.trade_date", F.col("value.blob").alias("blob"))
+    kept = kept.select("key.symbol", "key.trade_date", *[F.col(f"value.{n}").alias(n) for n in BarProcessor.PARTS])
     processor = BarProcessor(seconds_of(bar), max_gap_s)
 
     def close(frames):
         for frame in frames:
             for r in frame.itertuples(index=False):
-                state = json.loads(r.blob)
+                plain = lambda part: [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in part]
+                state = processor.unpacked([plain(r.before), plain(r.open), plain(r.bars), r.recent, None if pd.isna(r.large) else r.large, None])
                 if state["open"]:
                     rows = pd.DataFrame(state["open"], columns=K.SNAPSHOT)
                     yield processor._close((r.symbol, r.trade_date), state, rows)
