@@ -24,7 +24,7 @@ def prediction_audit(bars: DataFrame, fold_map: DataFrame, fits: dict[str, Fit],
     rows = mapped_folds(bars.dropna(subset=[label, "ltp", *features]), fold_map, folds=folds)
     rows = stage(rows.withColumn("roc_9pct", roc(9, "ltp", KEYS, fill=None)))
     out = rows.select(*KEYS, "ts", slug("symbol", "trade_date").alias("slug"), "fold", "ltp", "roc_9pct", label, ret)
-    for name, fit in fits.items():
-        said = predicted_class(keyed_out_of_fold(rows, fit, label, features, folds)).select(*KEYS, "ts", F.col("pred").alias(f"pred_{name}"))
+    for name, scored in keyed_out_of_fold(rows, fits, label, features, folds).items():
+        said = predicted_class(scored).select(*KEYS, "ts", F.col("pred").alias(f"pred_{name}"))
         out = out.join(said, [*KEYS, "ts"], "left")
     return out.select("ts", "symbol", "slug", "fold", "ltp", "roc_9pct", *[f"pred_{name}" for name in fits], label, ret)

@@ -178,22 +178,26 @@ def fold_means(results: DataFrame, by: list[str], values: list[str]) -> DataFram
     return results.select("fold", *by, *values).unionByName(means)
 
 
-def keyed_out_of_fold(bars: DataFrame, fit: Fit, label: str, features: list[str] | None = None,
-                      folds: int = 5) -> DataFrame:
-    """As ``out_of_fold`` for rows that carry a fold number by symbol."""
+def keyed_out_of_fold(bars: DataFrame, fits: Fit | dict[str, Fit], label: str, features: list[str] | None = None,
+                      folds: int = 5) -> DataFrame | dict[str, DataFrame]:
+    """As ``out_of_fold`` for rows that carry a fold number by symbol.  Several models, by name, share each fold's rows and
+    give a table each."""
     features = features or MODEL_FEATURES
-    bars = stage(bars)
-    parts = []
+    bars, several = stage(bars), isinstance(fits, dict)
+    named = fits if several else {"": fits}
+    parts: dict[str, list[DataFrame]] = {name: [] for name in named}
     for k in range(folds):
         mine = bars.where(F.col("fold") == k)
         if mine.isEmpty():
             continue
         rows = stage(training_rows(bars.where(F.col("fold") != k), label, features))
         if rows.select("y").distinct().limit(2).count() == 2:  # else there is nothing to learn from
-            parts.append(fit(rows, features)(mine))
-    if not parts:
+            for name, fit in named.items():
+                parts[name].append(fit(rows, features)(mine))
+    if not all(parts.values()):
         raise ValueError("no fold has training rows of two classes")
-    return reduce(DataFrame.unionByName, parts)
+    found = {name: reduce(DataFrame.unionByName, own) for name, own in parts.items()}
+    return found if several else found[""]
 
 
 def predicted_class(df: DataFrame) -> DataFrame:
