@@ -244,3 +244,26 @@ def test_statistics_from_one_table_of_counts(spark):
             (len(p), round((p > 0).mean(), 4), round(p.mean(), 6), p.median(), round(p.sum(), 6), round(wins / losses, 4)))
     one = R.exact_quantiles(spark.createDataFrame(pdf), "pnl", [0.5], more={"m": R.MEAN, "s": R.DEVIATION}).first()
     assert (one.m, one.s) == pytest.approx((pdf.pnl.mean(), pdf.pnl.std(ddof=0)))
+
+
+# --------------------------------------------------------------------------- one class or none
+
+@pytest.mark.parametrize("kept, wanted", [("LONG", [1.0, 0.0, 0.0]), ("NO_TRADE", [0.0, 0.0, 1.0]), (None, [1 / 3] * 3)])
+def test_every_fold_is_scored_whatever_its_classes(spark, kept, wanted):
+    bars = bars_of(spark, days=4, n=12).withColumn("label", F.lit(kept).cast("string"))
+    folds = P.block_folds(bars, 2)
+    for fit in (O.logistic(max_iter=3), O.forest(3, 2, 1, every=2), O.boosted(3, 2)):
+        out = O.out_of_fold(bars, folds, fit, "label", INPUTS, None).toPandas()
+        assert len(out) == bars.count() and np.allclose(out[list(O.PROBS)], wanted)
+    assert (O.rounds_used(bars, folds, "label", INPUTS, None, rounds=4, depth=2).toPandas()["rounds"] == 0).all()
+    run = lambda train, val: O.coefficients(train, "label", INPUTS).select("feature", "coefficient").unionByName(O.tree_importance(train, "label", INPUTS).toDF("feature", "coefficient"))
+    zeros = O.per_fold(bars, folds, run, "label", None).toPandas()
+    assert len(zeros) == 2 * 4 * len(INPUTS) and (zeros.coefficient == 0).all()
+
+
+def test_a_class_that_training_lacks_scores_nothing(spark):
+    bars = bars_of(spark, days=2).where("label <> 'SHORT'")
+    score = O.boosted(2, 2)(O.training_rows(bars, "label", INPUTS), INPUTS)
+    out = score(bars).toPandas()
+    assert score.rounds == {"LONG": 2, "SHORT": 0, "NO_TRADE": 2} and (out.prob_short == 0).all()
+    assert np.allclose(out[list(O.PROBS)].sum(axis=1), 1.0)

@@ -58,8 +58,25 @@ def _score_pipeline(model: PipelineModel, features: list[str]) -> Callable[[Data
     return score
 
 
+def classes_of(train: DataFrame) -> list[float]:
+    """The class indices that training rows hold, three at most."""
+    return sorted(row["y"] for row in train.select("y").distinct().toLocalIterator())
+
+
+def known_class(classes: list[float], features: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Scores where there is nothing to tell apart: 1 for the only class; with no training rows, the same for each class."""
+    share = lambda i: 1.0 / len(CLASSES) if not classes else float(float(i) in classes)
+
+    def score(df: DataFrame) -> DataFrame:
+        return _filled(df, features).withColumns({n: F.lit(share(i)) for i, n in enumerate(PROBS)})
+    score.rounds = dict.fromkeys(CLASSES, 0)
+    return score
+
+
 def _fit(classifier, scale: bool) -> Fit:
     def fit(train: DataFrame, features: list[str]):
+        if len(classes := classes_of(train)) < 2:
+            return known_class(classes, features)
         stages = [VectorAssembler(inputCols=features, outputCol="raw" if scale else "features", handleInvalid="skip")]
         if scale:
             stages.append(RobustScaler(inputCol="raw", outputCol="features", withCentering=True))
@@ -93,9 +110,12 @@ def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 4
     """One boosted tree model per class against the rest; scores are rescaled to sum to 1.
 
     With ``hold_back``, that share of the training symbol-days decides when a class stops: at the first round that
-    does not lower their error by ``tolerance`` of it.  The scoring function names the rounds of each class (``rounds``).
+    does not lower their error by ``tolerance`` of it.  The scoring function names the rounds of each class (``rounds``);
+    a class that the training rows lack takes none and scores 0.
     """
     def fit(train: DataFrame, features: list[str]):
+        if len(classes := classes_of(train)) < 2:
+            return known_class(classes, features)
         assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
         kept = [c for c in ("symbol", "trade_date") if c in train.columns] if hold_back else []
         rows = assembler.transform(train).select("features", "y", "w", *kept)
@@ -104,21 +124,23 @@ def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 4
             rows = rows.withColumn("held_back", _held_back(rows, hold_back, seed))
             early = {"validationIndicatorCol": "held_back", "validationTol": tolerance}
         rows = stage(rows)  # the assembled table that all classes are fitted on
-        models = [
-            GBTClassifier(labelCol="is_class", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step,
+        models = {
+            i: GBTClassifier(labelCol="is_class", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step,
                           seed=seed, checkpointInterval=-1, **early).fit(rows.withColumn("is_class", (F.col("y") == float(i)).cast("double")))
-            for i in range(len(CLASSES))
-        ]
+            for i in range(len(CLASSES)) if float(i) in classes
+        }
 
         def score(df: DataFrame) -> DataFrame:
             out = assembler.transform(_filled(df, features))
-            for name, model in zip(PROBS, models):
+            out = out.withColumns({name: F.lit(0.0) for i, name in enumerate(PROBS) if i not in models})
+            for i, model in models.items():
+                name = PROBS[i]
                 out = model.transform(out).withColumn(name, vector_to_array("probability")[1]).drop(
                     "rawPrediction", "probability", "prediction")
             total = F.col(PROBS[0]) + F.col(PROBS[1]) + F.col(PROBS[2])
             return out.withColumns({n: F.col(n) / total for n in PROBS}).drop("features")
 
-        score.rounds = {name: model.getNumTrees for name, model in zip(CLASSES, models)}
+        score.rounds = {name: models[i].getNumTrees if i in models else 0 for i, name in enumerate(CLASSES)}
         return score
     return fit
 
@@ -138,7 +160,7 @@ def out_of_fold(bars: DataFrame, folds: DataFrame, fit: Fit, label: str, feature
                 horizon_min: int | None = 60) -> DataFrame:
     """Each validation day scored by a model that never saw it: bars with probabilities and fold.
 
-    The loop is over folds (a handful of fits); training and scoring run on the cluster and the
+    Every fold is scored, also one whose training rows hold a single class or none (``known_class``).  The loop is over folds (a handful of fits); training and scoring run on the cluster and the
     scored folds are united lazily.
     """
     features = features or MODEL_FEATURES
@@ -148,27 +170,21 @@ def out_of_fold(bars: DataFrame, folds: DataFrame, fit: Fit, label: str, feature
         train, val = split_fold(bars, folds, row["fold"], horizon_min)
         rows = training_rows(train, label, features)
         rows = stage(rows)
-        if rows.select("y").distinct().count() < 2:
-            continue  # nothing to learn from
         parts.append(fit(rows, features)(val).withColumn("fold", F.lit(row["fold"])))
-    if not parts:
-        raise ValueError("no fold has training rows of two classes")
+    if not parts:  # no days
+        return known_class([], features)(bars.limit(0)).withColumn("fold", F.lit(None).cast(folds.schema["fold"].dataType))
     return reduce(DataFrame.unionByName, parts)
 
 
 def per_fold(bars: DataFrame, folds: DataFrame, run: Callable[[DataFrame, DataFrame], DataFrame], label: str,
              horizon_min: int | None = 60) -> DataFrame:
-    """run(train, validation) of every fold with a column fold; ``bars`` should be staged.
-
-    Folds whose training rows hold fewer than two classes have nothing to learn from and are left out.
-    """
+    """run(train, validation) of every fold with a column fold; ``bars`` should be staged."""
     parts = []
     for row in folds.select("fold").distinct().orderBy("fold").toLocalIterator():
         train, val = split_fold(bars, folds, row["fold"], horizon_min)
-        if train.where(F.col(label).isNotNull()).select(label).distinct().limit(2).count() == 2:
-            parts.append(run(train, val).withColumn("fold", F.lit(row["fold"])))
+        parts.append(run(train, val).withColumn("fold", F.lit(row["fold"])))
     if not parts:
-        raise ValueError("no fold has training rows of two classes")
+        raise ValueError("there are no folds")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -191,12 +207,9 @@ def keyed_out_of_fold(bars: DataFrame, fits: Fit | dict[str, Fit], label: str, f
         if mine.isEmpty():
             continue
         rows = stage(training_rows(bars.where(F.col("fold") != k), label, features))
-        if rows.select("y").distinct().limit(2).count() == 2:  # else there is nothing to learn from
-            for name, fit in named.items():
-                parts[name].append(fit(rows, features)(mine))
-    if not all(parts.values()):
-        raise ValueError("no fold has training rows of two classes")
-    found = {name: reduce(DataFrame.unionByName, own) for name, own in parts.items()}
+        for name, fit in named.items():
+            parts[name].append(fit(rows, features)(mine))
+    found = {name: reduce(DataFrame.unionByName, own) if own else known_class([], features)(bars) for name, own in parts.items()}
     return found if several else found[""]
 
 
@@ -251,8 +264,10 @@ def permutation_importance(scored_by: Callable[[DataFrame], DataFrame], val: Dat
 
 
 def tree_importance(bars: DataFrame, label: str, features: list[str], **forest_options) -> DataFrame:
-    """feature, importance from the forest's split gains (one row per feature)."""
-    rows = training_rows(bars, label, features)
+    """feature, importance from the forest's split gains (one row per feature); 0 where there are no two classes to split."""
+    rows = stage(training_rows(bars, label, features))
+    if len(classes_of(rows)) < 2:
+        return bars.sparkSession.createDataFrame([(f, 0.0) for f in features], "feature string, importance double")
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
     options = {"numTrees": 20, "maxDepth": 5, "seed": 42, **forest_options}
     model = RandomForestClassifier(labelCol="y", weightCol="w", **options).fit(assembled)
@@ -261,8 +276,10 @@ def tree_importance(bars: DataFrame, label: str, features: list[str], **forest_o
 
 
 def coefficients(bars: DataFrame, label: str, features: list[str], reg: float = 1e-4) -> DataFrame:
-    """class, feature, coefficient of the scaled logistic model."""
-    rows = training_rows(bars, label, features)
+    """class, feature, coefficient of the scaled logistic model; 0 where there are no two classes to tell apart."""
+    rows = stage(training_rows(bars, label, features))
+    if len(classes_of(rows)) < 2:
+        return bars.sparkSession.createDataFrame([(c, f, 0.0) for c in CLASSES for f in features], "class string, feature string, coefficient double")
     stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"),
               RobustScaler(inputCol="raw", outputCol="features", withCentering=True),
               LogisticRegression(labelCol="y", weightCol="w", family="multinomial", regParam=reg, maxIter=50)]

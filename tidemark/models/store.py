@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.models.oof import PROBS, Fit, training_rows
+from tidemark.models.oof import PROBS, Fit, classes_of, training_rows
 from tidemark.operators.schema import MODEL_FEATURES
 from tidemark.session import stage
 from tidemark.sources.sinks import append_aligned, new_pairs_only, replace_days, write_table
@@ -31,12 +31,12 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extend_scores(bars: DataFrame, path: str, fit: Fit, label: str, version: str, features: list[str] | None = None,
-                  horizon_min: int = 60) -> DataFrame:
+                  horizon_min: int = 60, least_classes: int = 2) -> DataFrame:
     """Score the symbol-days of ``bars`` that the table lacks and append them; returns (trade_date, rows) of what came.
 
     Walk forward: each new day is scored by a model of the labelled bars before it whose label does not reach into it.
-    Columns are aligned by name with the stored ones.  A day with fewer than two classes before it has nothing to learn
-    from and is left for a later call.  The loop is over new days, and each fit runs on the cluster.
+    Columns are aligned by name with the stored ones.  A day with fewer than ``least_classes`` before it has nothing
+    to learn from and is left for a later call; with 0, every day is scored now.  The loop is over new days, and each fit runs on the cluster.
     """
     features = features or MODEL_FEATURES
     spark = bars.sparkSession
@@ -49,7 +49,7 @@ def extend_scores(bars: DataFrame, path: str, fit: Fit, label: str, version: str
         before = bars.where((F.col("trade_date") < F.lit(day.trade_date))
                             & (F.col("ts").cast("timestamp") < F.lit(day.start) - F.expr(f"INTERVAL {horizon_min} MINUTES")))
         rows = stage(training_rows(before, label, features))
-        if rows.select("y").distinct().limit(2).count() == 2:
+        if len(classes_of(rows)) >= least_classes:
             parts.append(fit(rows, features)(fresh.where(F.col("trade_date") == F.lit(day.trade_date))))
     if not parts:
         return spark.createDataFrame([], "trade_date date, rows bigint")
