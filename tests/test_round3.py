@@ -267,3 +267,15 @@ def test_a_class_that_training_lacks_scores_nothing(spark):
     out = score(bars).toPandas()
     assert score.rounds == {"LONG": 2, "SHORT": 0, "NO_TRADE": 2} and (out.prob_short == 0).all()
     assert np.allclose(out[list(O.PROBS)].sum(axis=1), 1.0)
+
+
+def test_each_signal_ranks_all_controls_anew(spark):
+    key = {"trade_date": date(2026, 5, 1), "ts": T0}
+    rows = [{"symbol": f"C{i}", "id": i, "close_price": 1.0, **key} for i in range(40)]
+    pool = spark.createDataFrame(rows, "symbol string, id long, close_price double, trade_date date, ts timestamp")
+    signals = spark.createDataFrame([{"symbol": f"L{i}", "id": 1000 + i, "close_price": 1.0, **key} for i in range(6)], pool.schema)
+    order = lambda s, c: (s * 7919 + c * 104729) % 1009
+    got = H.matched_controls(signals, pool, ["trade_date", "ts"], n=5, draw=H.PairDraw(order), signal_id=F.col("id"), control_id=F.col("id")).toPandas()
+    for i in range(6):
+        mine = got[got.signal_id == 1000 + i].sort_values("draw_no")
+        assert mine.symbol.tolist() == [f"C{c}" for c in sorted(range(40), key=lambda c: (order(1000 + i, c), c))[:5]]
