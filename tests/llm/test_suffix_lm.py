@@ -129,3 +129,7 @@ def test_symbol_hashes_tell_texts_apart():
     assert text.tolist() == [0, 0, 0, 1, 2, 2, 2, 3, 3, 3]
     a, b = symbol[1], symbol[2]
     assert symbol.tolist() == [S.END, a, b, S.END, S.END, a, b, S.END, b, a, S.END] and len({a, b, S.END}) == 3
+
+
+def test_the_same_edges_in_a_corpus_of_any_size():
+    assert {S.least_count(n) for n in (0, 1_000, 1 << 20, 1 << 30, 1 << 40)} == {2}

@@ -8,10 +8,9 @@ probability of a word that training has not seen.  So each node, like the unigra
 known words, the end and one unknown word, and a token is scored from the longest suffix of what comes before it that
 is a node.
 
-The tree is a set of Spark tables keyed by hashes of symbol sequences, and grows with the corpus: every sequence with
-`least_count` occurrences is in it, a number that rises with the logarithm of the corpus only, as chance repeats more
-sequences of a longer one.  Sequences that occur less often are sorted out beforehand by the bit sets of
-`hashcounts`.  Texts meet what they need of the tree block by block: a block's distinct sequences are looked up once.
+The tree is a set of Spark tables keyed by hashes of symbol sequences, and grows with the corpus: every sequence that
+occurs again is in it, whatever the size of the corpus.  Sequences that occur once are sorted out beforehand by the bit
+sets of `hashcounts`.  Texts meet what they need of the tree block by block: a block's distinct sequences are looked up once.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ from tidemark.llm.hashcounts import is_live, live_bits, mixed
 
 #: Symbols of the longest context.
 DEPTH = 2
-#: Rise of the occurrences that an edge of the tree needs with each doubling of the corpus, and bytes for which it is none.
-COUNT_RISE, COUNT_FROM = 0.65, 25_000
+#: Occurrences that an edge of the tree needs: a sequence that does not occur again says nothing of what follows.
+MIN_COUNT = 2
 #: Least gain of a node over its shorter context, in nats for each of its edges and two more.
 MIN_GAIN = 2.0
 DISCOUNT = 0.75
@@ -195,8 +194,8 @@ def found_sequences(rows: DataFrame, live: list[Broadcast], cuts: np.ndarray, li
 
 
 def least_count(n_bytes: int) -> int:
-    """Occurrences that a context with its next symbol must have in a corpus of so many bytes."""
-    return max(2, round(COUNT_RISE * float(np.log2(max(n_bytes, 1) / COUNT_FROM))))
+    """Occurrences that a context with its next symbol must have: the same in a corpus of any size."""
+    return MIN_COUNT
 
 
 class Tree(NamedTuple):
