@@ -1,5 +1,6 @@
 """Several files, one per micro-batch: state must carry across batches and match the batch result."""
 
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -12,6 +13,7 @@ from tidemark.operators.compare import table_diff
 from tidemark.operators.features import all_features, depth_features, large_trade_flag
 from tidemark.operators.schema import MODEL_FEATURES
 from tidemark.operators.trades import infer_trades
+from tidemark.streaming import book as B
 from tidemark.streaming import live as L
 
 T0 = datetime(2026, 5, 29, 3, 45)
@@ -72,3 +74,35 @@ def test_signals(spark, replay):
     assert len(signals) == (hit is not None)
     if hit is not None:
         assert signals.entry_price[0] == pytest.approx(hit.ltp) and signals["mode"][0] == "VIRTUAL"
+
+
+@pytest.mark.parametrize("span", [50, 100])
+def test_large_trades_by_slices(span):
+    """As trade by trade, however the trades are cut; a full span is renewed by every trade."""
+    rng = np.random.default_rng(3)
+    qty, recent, limit, want = rng.integers(1, 400, 700).astype(float) ** 2, [], None, []
+    for q in qty:
+        recent = [*recent, q][-span:]
+        if len(recent) >= 3 and len(recent) % (5 if len(recent) <= 50 else 50) == 0:
+            limit = 10.0 * float(np.median(recent))
+        want.append(int(limit is not None and q > limit))
+    for cuts in ([], [1, 2, 3, 60, 60, 333], list(range(0, 700, 7))):
+        held, last, got = [], None, []
+        for part in np.split(qty, cuts):
+            flags, held, last = B.flag_large(part, held, last, span)
+            got += flags.tolist()
+        assert got == want and held == recent and last == limit
+
+
+def test_a_full_span_of_trades_takes_no_median_each():
+    qty = np.random.default_rng(4).integers(1, 400, 200_000).astype(float)
+    start = time.process_time()
+    B.flag_large(qty, [], None)
+    assert time.process_time() - start < 5  # a median of the span for each trade takes minutes
+
+
+def test_open_snapshots_are_kept_whole():
+    rows = pd.DataFrame({c: np.arange(5) / 3 for c in B.SNAPSHOT}).assign(ts=[2**61 + i for i in range(5)], seq=[2**60 + 1] * 5)
+    rows.loc[2, "bid3"] = np.nan
+    pd.testing.assert_frame_equal(B.snapshots(B.packed(rows)), rows)
+    assert B.packed(rows.iloc[:0]) == b"" and list(B.snapshots(b"").columns) == B.SNAPSHOT

@@ -53,15 +53,29 @@ def _price_moves(rows: pd.DataFrame, traded: np.ndarray):
 
 def flag_large(qty: np.ndarray, recent: list[float], limit: float | None, span: int = 10_000):
     """Running-median flag of new trades given the recent quantities; returns flags, recent, limit."""
-    flags = np.zeros(len(qty), int)
-    for i, q in enumerate(qty):
-        recent.append(float(q))
-        del recent[:-span]
-        n = len(recent)
-        if n >= 3 and n % (5 if n <= 50 else 50) == 0:
-            limit = 10.0 * float(np.median(recent))
-        flags[i] = limit is not None and q > limit
-    return flags, recent, limit
+    values = np.concatenate([np.asarray(recent, float), np.asarray(qty, float)])
+    n = np.minimum(np.arange(len(recent) + 1, len(values) + 1), span)
+    renewed = (n >= 3) & (n % np.where(n <= 50, 5, 50) == 0)  # a full span is renewed by every trade
+    limits = np.full(len(n) + 1, np.nan)
+    limits[0] = np.nan if limit is None else limit
+    if renewed.any():
+        limits[1:][renewed] = 10.0 * pd.Series(values).rolling(span, min_periods=1).median().to_numpy()[len(recent):][renewed]
+    limits = pd.Series(limits).ffill().to_numpy()
+    last = None if np.isnan(limits[-1]) else float(limits[-1])
+    return (values[len(recent):] > limits[1:]).astype(int), values[-span:].tolist(), last
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    """Snapshots as state keeps them: times and sequence numbers, then all other columns as doubles."""
+    return rows[SNAPSHOT[:2]].to_numpy("int64").tobytes() + rows[SNAPSHOT[2:]].to_numpy("float64").tobytes()
+
+
+def snapshots(data: bytes) -> pd.DataFrame:
+    """The rows of ``packed``."""
+    n = len(data) // (8 * len(SNAPSHOT))
+    whole = np.frombuffer(data, np.int64, 2 * n).reshape(n, 2)
+    rest = np.frombuffer(data, np.float64, offset=16 * n).reshape(n, len(SNAPSHOT) - 2)
+    return pd.concat([pd.DataFrame(whole, columns=SNAPSHOT[:2]), pd.DataFrame(rest, columns=SNAPSHOT[2:])], axis=1)
 
 
 def make_bars(rows: pd.DataFrame, trades: pd.DataFrame, width_us: int) -> pd.DataFrame:

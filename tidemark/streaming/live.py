@@ -40,8 +40,9 @@ def _fields(names: list[str], whole: tuple[str, ...]) -> str:
     return ", ".join(f"{n} {'bigint' if n in whole else 'double'}" for n in names)
 
 
-# State of a symbol-day: typed fields, so that the state store reads and writes them as columns.
-BAR_STATE = (f"before array<struct<{_fields(K.SNAPSHOT, ('ts', 'seq'))}>>, open array<struct<{_fields(K.SNAPSHOT, ('ts', 'seq'))}>>, "
+# State of a symbol-day: typed fields, so that the state store reads and writes them as columns; the snapshots of open bars,
+# which can be a whole day's, as one block of bytes.
+BAR_STATE = (f"before array<struct<{_fields(K.SNAPSHOT, ('ts', 'seq'))}>>, open binary, "
              f"bars array<struct<{_fields(K.BAR, ('ts',))}>>, recent array<double>, large double, timer bigint")
 _SIDE = "struct<stage int, at array<string>, prob double>"
 SIGNAL_STATE = f"open double, upward {_SIDE}, downward {_SIDE}"
@@ -102,15 +103,15 @@ class BarProcessor(StatefulProcessor):
     def _load(self) -> dict:
         if self.day.exists():
             return self.unpacked(self.day.get())
-        return {"before": [], "open": [], "bars": [], "recent": [], "large": None, "timer": None}
+        return {"before": [], "open": b"", "bars": [], "recent": [], "large": None, "timer": None}
 
     @classmethod
     def unpacked(cls, values) -> dict:
         state = dict(zip(cls.PARTS, values))
-        return state | {n: [tuple(r) for r in state[n]] for n in ("before", "open", "bars")} | {"recent": list(state["recent"])}
+        return state | {n: [tuple(r) for r in state[n]] for n in ("before", "bars")} | {"open": bytes(state["open"]), "recent": list(state["recent"])}
 
     def _advance(self, key, state, fresh, watermark) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(state["open"], columns=K.SNAPSHOT)
+        held = K.snapshots(state["open"])
         rows = held if fresh is None else pd.concat([held, fresh]) if len(held) else fresh
         if rows.empty:
             return
@@ -121,7 +122,7 @@ class BarProcessor(StatefulProcessor):
             closing = rows[done]
             yield self._close(key, state, closing)
             state["before"] = _rows(closing[K.SNAPSHOT].iloc[-1:], ("ts", "seq"))
-        state["open"] = _rows(rows.loc[~done, K.SNAPSHOT], ("ts", "seq"))
+        state["open"] = K.packed(rows[~done])
         if state["open"]:
             self._set_timer(state, int(start[~done].iloc[0]) + self.width)
         self.day.update(tuple(state[n] for n in self.PARTS))
@@ -354,10 +355,9 @@ def flush(spark: SparkSession, checkpoint: str, bar: str = "1 minute", max_gap_s
         for frame in frames:
             for r in frame.itertuples(index=False):
                 plain = lambda part: [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in part]
-                state = processor.unpacked([plain(r.before), plain(r.open), plain(r.bars), r.recent, None if pd.isna(r.large) else r.large, None])
+                state = processor.unpacked([plain(r.before), r.open, plain(r.bars), r.recent, None if pd.isna(r.large) else r.large, None])
                 if state["open"]:
-                    rows = pd.DataFrame(state["open"], columns=K.SNAPSHOT)
-                    yield processor._close((r.symbol, r.trade_date), state, rows)
+                    yield processor._close((r.symbol, r.trade_date), state, K.snapshots(state["open"]))
     return kept.mapInPandas(close, BAR_SCHEMA)
 
 
