@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import align as A
 
@@ -53,3 +54,12 @@ def test_nearest_matches_merge_asof(spark, tolerance, bucket):
 def test_scores(spark):
     m = A.window_scores(A.align(feed(spark, [100, 40_000]), feed(spark, [80]), 1.0)["window_metrics"]).first()
     assert not m.window_valid and "low_data_completeness" in m.failure_reason
+
+
+def test_tasks_grow_with_the_feeds(spark, monkeypatch):
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    rng = np.random.default_rng(5)
+    left, right = (np.sort(rng.integers(0, 6_000_000, 1_000)).tolist() for _ in range(2))
+    found = A.match_feeds(feed(spark, left), feed(spark, right), 1.0)
+    held = found.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+    assert held.sum() == 2_000 and len(held) > 10 and held.max() < 500

@@ -23,6 +23,10 @@ ALIGNMENT = {
 }
 
 
+#: Rows of both feeds that one task sorts: more rows are dealt over more tasks.
+TASK_ROWS = 50_000
+
+
 def match_feeds(ticks: DataFrame, books: DataFrame, tolerance_s: float, keys: tuple[str, ...] = KEYS,
                 ts: str = "ts", seq: str = "seq", bucket_s: float = 60.0) -> DataFrame:
     """For each row of either feed, the row of the other feed nearest in time within the tolerance
@@ -35,7 +39,8 @@ def match_feeds(ticks: DataFrame, books: DataFrame, tolerance_s: float, keys: tu
     and cut into time buckets at least as wide as the tolerance; a row is copied to a neighbour
     bucket only when it lies within the tolerance of that border.  Inside a bucket, running
     maxima and minima over the time order find both neighbours of every row in linear time.
-    Partitions are (keys, bucket), so a hot symbol spreads over its buckets.
+    Partitions are (keys, bucket), so a hot symbol spreads over its buckets.  The feeds are counted
+    first: the number of tasks grows with them, so that what a task sorts does not.
     """
     tol = int(round(tolerance_s * 1_000_000))
     width = max(tol, int(bucket_s * 1_000_000), 1)
@@ -43,10 +48,15 @@ def match_feeds(ticks: DataFrame, books: DataFrame, tolerance_s: float, keys: tu
         *keys, f"{ts} AS ts", f"unix_micros(CAST({ts} AS timestamp)) AS us", f"CAST({seq} AS bigint) AS row_id",
         f"'{side}' AS side")
     bucket = lambda shift: f"floor((us + {shift}) / CAST({width} AS DECIMAL(20,0)))"
-    both = feed(ticks, "tick").unionByName(feed(books, "dom")).selectExpr(
+    united = feed(ticks, "tick").unionByName(feed(books, "dom"))
+    both = united.selectExpr(
         "*", f"{bucket(0)} AS home",
         f"explode(array_distinct(array({bucket(-tol)}, {bucket(0)}, {bucket(tol)}))) AS bucket")
 
+    tasks = -(-united.count() // TASK_ROWS)
+    if tasks > 1:
+        both = both.repartition(tasks, *keys, "bucket")
+
     cell = Window.partitionBy(*keys, "bucket")
     upto = cell.orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     onward = cell.orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
