@@ -269,6 +269,14 @@ def test_a_class_that_training_lacks_scores_nothing(spark):
     assert np.allclose(out[list(O.PROBS)].sum(axis=1), 1.0)
 
 
+def test_a_class_that_training_lacks_has_coefficients_of_zero(spark):
+    for lacked in O.CLASSES:
+        rows = bars_of(spark, days=2).where(F.col("label") != lacked)
+        out = O.coefficients(rows, "label", INPUTS).toPandas()
+        assert len(out) == 6 and set(out["class"]) == set(O.CLASSES)
+        assert np.allclose(out.coefficient[out["class"] == lacked], 0, atol=1e-3) and (out.coefficient[out["class"] != lacked].abs() > 0.01).any()
+
+
 def test_each_signal_ranks_all_controls_anew(spark):
     key = {"trade_date": date(2026, 5, 1), "ts": T0}
     rows = [{"symbol": f"C{i}", "id": i, "close_price": 1.0, **key} for i in range(40)]

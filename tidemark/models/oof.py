@@ -276,7 +276,7 @@ def tree_importance(bars: DataFrame, label: str, features: list[str], **forest_o
 
 
 def coefficients(bars: DataFrame, label: str, features: list[str], reg: float = 1e-4) -> DataFrame:
-    """class, feature, coefficient of the scaled logistic model; 0 where there are no two classes to tell apart."""
+    """class, feature, coefficient of the scaled logistic model; 0 for a class that training rows lack, and where there are no two to tell apart."""
     rows = stage(training_rows(bars, label, features))
     if len(classes_of(rows)) < 2:
         return bars.sparkSession.createDataFrame([(c, f, 0.0) for c in CLASSES for f in features], "class string, feature string, coefficient double")
@@ -284,7 +284,8 @@ def coefficients(bars: DataFrame, label: str, features: list[str], reg: float =
               RobustScaler(inputCol="raw", outputCol="features", withCentering=True),
               LogisticRegression(labelCol="y", weightCol="w", family="multinomial", regParam=reg, maxIter=50)]
     matrix = Pipeline(stages=stages).fit(rows).stages[-1].coefficientMatrix.toArray()
-    flat = [(CLASSES[c], f, float(matrix[c][i])) for c in range(matrix.shape[0]) for i, f in enumerate(features)]
+    # a class after the last that the training rows hold has no row in the matrix
+    flat = [(name, f, float(matrix[c][i]) if c < len(matrix) else 0.0) for c, name in enumerate(CLASSES) for i, f in enumerate(features)]
     return bars.sparkSession.createDataFrame(flat, "class string, feature string, coefficient double")
 
 
