@@ -277,6 +277,13 @@ def test_a_class_that_training_lacks_has_coefficients_of_zero(spark):
         assert np.allclose(out.coefficient[out["class"] == lacked], 0, atol=1e-3) and (out.coefficient[out["class"] != lacked].abs() > 0.01).any()
 
 
+@pytest.mark.parametrize("share", [0.0001, 0.9999])
+def test_boosting_with_nothing_or_all_held_back(spark, share):
+    bars = bars_of(spark, days=2)
+    score = O.boosted(3, 2, hold_back=share)(O.training_rows(bars, "label", INPUTS), INPUTS)
+    assert np.allclose(score(bars).toPandas()[list(O.PROBS)].sum(axis=1), 1.0)
+
+
 def test_each_signal_ranks_all_controls_anew(spark):
     key = {"trade_date": date(2026, 5, 1), "ts": T0}
     rows = [{"symbol": f"C{i}", "id": i, "close_price": 1.0, **key} for i in range(40)]

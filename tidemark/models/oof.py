@@ -111,7 +111,8 @@ def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 4
 
     With ``hold_back``, that share of the training symbol-days decides when a class stops: at the first round that
     does not lower their error by ``tolerance`` of it.  The scoring function names the rounds of each class (``rounds``);
-    a class that the training rows lack takes none and scores 0.
+    a class that the training rows lack takes none and scores 0.  Where no symbol-day falls to one of the two sides,
+    nothing is held back and all rounds are run.
     """
     def fit(train: DataFrame, features: list[str]):
         if len(classes := classes_of(train)) < 2:
@@ -124,6 +125,8 @@ def boosted(rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 4
             rows = rows.withColumn("held_back", _held_back(rows, hold_back, seed))
             early = {"validationIndicatorCol": "held_back", "validationTol": tolerance}
         rows = stage(rows)  # the assembled table that all classes are fitted on
+        if hold_back and rows.select("held_back").distinct().count() < 2:
+            early = {}
         models = {
             i: GBTClassifier(labelCol="is_class", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step,
                           seed=seed, checkpointInterval=-1, **early).fit(rows.withColumn("is_class", (F.col("y") == float(i)).cast("double")))
