@@ -134,7 +134,7 @@ def listed(table: pa.Table) -> pa.RecordBatch:
     """One row for each range, the other columns as lists."""
     rows = table.sort_by("range").combine_chunks()
     part = rows.column("range").to_numpy()
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[:len(part)])
     offsets = pa.array(np.append(edges, len(part)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in rows.column_names[1:]]
     return pa.RecordBatch.from_arrays([pa.array(part[edges]), *lists], rows.column_names)
