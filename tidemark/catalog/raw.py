@@ -294,10 +294,10 @@ def symbol_day_split(spark, sf):
     """Day-level rows dealt to (day, symbol) folders; sentinel symbols are dropped, pairs that exist are kept as they are."""
     sentinel = F.when(F.col("symbol") == "S3", F.lit("dom_snapshots")).otherwise(F.col("symbol"))
     t, place = ticks(spark, sf).select(*_READ).withColumn("symbol", sentinel), _place(spark)
-    first = t.where(_DONE)
+    first, stored = t.where(_DONE), lambda: spark.read.schema(t.schema).parquet(place)  # there may be no file yet
     W.split_day(first, place, force=True)
-    W.split_day(t.withColumn("trade_qty", F.when(F.expr(_DONE), F.lit(-1)).otherwise(F.col("trade_qty")).cast(t.schema["trade_qty"].dataType)), place, existing=spark.read.parquet(place))
-    return spark.read.parquet(place).groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_qty").cast("decimal(38,0)").alias("qty"))
+    W.split_day(t.withColumn("trade_qty", F.when(F.expr(_DONE), F.lit(-1)).otherwise(F.col("trade_qty")).cast(t.schema["trade_qty"].dataType)), place, existing=stored())
+    return stored().groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_qty").cast("decimal(38,0)").alias("qty"))
 
 
 @query("replaced_day", f"""SELECT trade_date, count(*) AS rows, sum(CASE WHEN trade_date = {_SQL_LAST} THEN 2 * trade_qty ELSE trade_qty END) AS qty FROM ({SQL_TICKS}) GROUP BY 1""")
