@@ -63,3 +63,14 @@ def test_tasks_grow_with_the_feeds(spark, monkeypatch):
     found = A.match_feeds(feed(spark, left), feed(spark, right), 1.0)
     held = found.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
     assert held.sum() == 2_000 and len(held) > 10 and held.max() < 500
+
+
+def test_rows_are_dealt_with_one_long_for_their_bucket(spark, monkeypatch):
+    """A decimal in each row would take three times the bytes of a long in the sort before the shuffle."""
+    monkeypatch.setattr(A, "TASK_ROWS", 2)
+    found = A.match_feeds(feed(spark, [100, 59_950, 60_020, 61_000]), feed(spark, [80, 60_010, 60_990]), 1.0)
+    dealt = [line for line in found._jdf.queryExecution().analyzed().toString().splitlines() if "Generate explode" in line]
+    assert len(dealt) == 1 and "BIGINT" in dealt[0].upper()
+    assert "home#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.side, r.row_id): r.match_id for r in found.collect()} == {
+        ("tick", 0): 0, ("tick", 1): 1, ("tick", 2): 1, ("tick", 3): 2, ("dom", 0): 0, ("dom", 1): 2, ("dom", 2): 3}

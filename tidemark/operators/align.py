@@ -47,11 +47,9 @@ def match_feeds(ticks: DataFrame, books: DataFrame, tolerance_s: float, keys: tu
     feed = lambda df, side: df.selectExpr(
         *keys, f"{ts} AS ts", f"unix_micros(CAST({ts} AS timestamp)) AS us", f"CAST({seq} AS bigint) AS row_id",
         f"'{side}' AS side")
-    bucket = lambda shift: f"floor((us + {shift}) / CAST({width} AS DECIMAL(20,0)))"
+    bucket = lambda shift: f"CAST(floor((us + {shift}) / CAST({width} AS DECIMAL(20,0))) AS BIGINT)"
     united = feed(ticks, "tick").unionByName(feed(books, "dom"))
-    both = united.selectExpr(
-        "*", f"{bucket(0)} AS home",
-        f"explode(array_distinct(array({bucket(-tol)}, {bucket(0)}, {bucket(tol)}))) AS bucket")
+    both = united.selectExpr("*", f"explode(array_distinct(array({bucket(-tol)}, {bucket(0)}, {bucket(tol)}))) AS bucket")
 
     tasks = -(-united.count() // TASK_ROWS)
     if tasks > 1:
@@ -65,7 +63,7 @@ def match_feeds(ticks: DataFrame, books: DataFrame, tolerance_s: float, keys: tu
     found = both.withColumns({
         "before": other(F.max(spot("dom")).over(upto), F.max(spot("tick")).over(upto)),
         "after": other(F.min(spot("dom")).over(onward), F.min(spot("tick")).over(onward)),
-    }).where("bucket = home")
+    }).where(f"bucket = {bucket(0)}")
     return found.selectExpr(
         *keys, "ts", "side", "row_id", "us",
         "CASE WHEN after IS NULL OR us - before.us <= after.us - us THEN before ELSE after END AS hit",
