@@ -4,13 +4,20 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import suffix_lm as S
 from tidemark.llm.common import crc_mod
+from tidemark.llm.hashcounts import planes
+from tidemark.session import checkpoint_dir
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -133,3 +140,38 @@ def test_symbol_hashes_tell_texts_apart():
 
 def test_the_same_edges_in_a_corpus_of_any_size():
     assert {S.least_count(n) for n in (0, 1_000, 1 << 20, 1 << 30, 1 << 40)} == {2}
+
+
+def test_sequences_cross_the_shuffle_by_their_first_symbol():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, 20_000) % 5_000) for _ in range(4)]
+    batch = pa.RecordBatch.from_pydict({"text": [t.encode() for t in texts]})
+    live = [SimpleNamespace(value=np.full(1 << 24, 255, np.uint8))] * 2
+    chunks = pa.Table.from_batches(list(S.sequence_chunks([batch], live, 6)))
+    symbol, _ = S.symbols([t.encode() for t in texts])
+    found = S.Sequences.of(symbol)
+    want = Counter(found.hashes[2][found.valid[2]].tolist())
+    parts = [S.counted_sequences(chunks.filter(pc.equal(chunks.column("range"), r)), 2) for r in range(64)]
+    assert {int(s): int(n) for seq, n, *_ in parts for s, n in zip(seq, n)} == want
+    pressed = sum(len(zstandard.ZstdCompressor(1).compress(b)) for c in ("gaps", "kinds", "first", "n") for b in chunks.column(c).to_pylist())
+    assert pressed < 17 * len(want)  # a row of three hashes and a count has 24 bytes that don't compress
+
+
+def test_told_by_the_first_bits_of_a_hash():
+    near, far = (5 << 40) + 1, (9 << 40) + 7
+    tree = pa.table({"seq": np.array([near, near + 1, near, far], np.int64), "kind": np.array([0, 1, 2, 0], np.int8), "value": [3.0, -1.5, -0.5, 8.0]})
+    gap = lambda hashes: planes(np.diff([h >> 24 for h in hashes], prepend=0))
+    asked = pa.table({"range": pa.array([0, 0, 0], pa.int32()), "block": pa.array([1, 1, 2], pa.int32()), "gaps": [gap([near]), gap([near]), gap([1 << 30])]})
+    told = S.told_sequences(asked, tree, 8)
+    assert told.column("block").to_pylist() == [1]
+    lookup = S.Lookup(told)
+    at = lookup.at(np.array([near + 1, far, near, 0, (1 << 64) - 1], np.uint64))
+    assert at.tolist() == [1, 2, 0, 2, 2]
+    assert lookup.n[:2].tolist() == [3, 0] and lookup.log_p[1] == -1.5 and lookup.log_rest[0] == -0.5 and np.isnan(lookup.log_p[0])
+
+
+def test_tables_of_the_tree_go_when_texts_are_told(spark, docs):
+    before = set(Path(checkpoint_dir(spark)).glob("*"))
+    S.score(docs([(i, "a b c a b d") for i in range(20)]), held_rows()).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in set(Path(checkpoint_dir(spark)).glob("*")) - before}
+    assert left <= {"nodes", "told"} and "told" in left
